@@ -10,6 +10,7 @@ from .bpe import bpe_round_trip
 from .common import read
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .near_dedup import near_dedup
 from .quality import quality
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -49,6 +50,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents")).drop("n_spans")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(read(spark, sf_dir, "documents"), k=2)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -57,7 +62,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_bpe, op4_exact_dedup, op5_url_filter, op7_substring_dedup, op9_toxicity, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_bpe, op4_exact_dedup, op5_url_filter, op7_substring_dedup, op8_near_dedup, op9_toxicity, op10_decontaminate)}
 
 ORACLE: dict[str, str] = {
     "op1_suffix_dedup": """
@@ -91,4 +96,15 @@ ORACLE: dict[str, str] = {
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t""",
+    "op8_near_dedup": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+             s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])
+                                                       WHEN len(ws) = 1 THEN [ws[1]] ELSE CAST([] AS VARCHAR[]) END) AS g FROM d),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+                   JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+                   GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+             r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
+             c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+        SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id""",
 }
