@@ -214,6 +214,11 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
     return out.withColumn("doc_id", id_out())
 
 
+def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).astype(np.int32)))
+
+
 def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int), offsets (array of int: each slice's first byte): what training reads."""
 
@@ -221,7 +226,8 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
         own = tokenizer(path)
         for ids, texts in chunks(batches, TEXT_BYTES):
             done = list(own.encode(texts))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([np.frombuffer(e, "<u4").astype(np.int32) for e, _ in done], pa.list_(pa.int32())), pa.array([[a for a, _ in s] for _, s in done], pa.list_(pa.int32()))], names=["doc_id", "ids", "offsets"])
+            lists = [lists_of([np.frombuffer(e, "<i4") for e, _ in done]), lists_of([np.fromiter((a for a, _ in s), np.int32, len(s)) for _, s in done])]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *lists], names=["doc_id", "ids", "offsets"])
 
     return plain(docs).mapInArrow(run, "doc_id long, ids array<int>, offsets array<int>").withColumn("doc_id", id_out())
 

@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, id_out, plain
+from .common import chunks, filtered, id_out, plain
 from .labels import Features, logistic, scores
 
-TEXT_BYTES, SAMPLE = 4 << 20, 8_000
+TEXT_BYTES, SAMPLE, THRESHOLD = 4 << 20, 8_000, 0.5
 ABSTAIN, KEEP, REJECT = 0, 1, 2
 #: A measure, up to which value it counts as calm, and from which its labeller votes reject.
 MEASURES = (
@@ -140,18 +140,40 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(posterior, accuracy, logistic(slots, np.minimum(values * SCALE, 3), label, size, rounds=150))
 
 
-def quality(docs: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
+def scorer(weights: np.ndarray):
+    """Texts to scores; an empty text's is 0."""
+    own = Features()
+
+    def run(texts: list[bytes]) -> np.ndarray:
+        words = [t.split() for t in texts]
+        values = np.array([measures(t, w) for t, w in zip(texts, words, strict=True)])
+        s = scores([own.slots(w) for w in words], np.minimum(values * SCALE, 3), weights, own.size)
+        s[[not w for w in words]] = 0
+        return s
+
+    return run
+
+
+def quality(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score (probability of keep), keep."""
     docs = plain(docs)
     weights = fit(docs, sample).weights
 
     def run(batches):
-        own = Features()
+        score = scorer(weights)
         for ids, texts in chunks(batches, TEXT_BYTES):
-            words = [t.split() for t in texts]
-            s = scores([own.slots(w) for w in words], np.minimum(np.array([measures(t, w) for t, w in zip(texts, words, strict=True)]) * SCALE, 3), weights, own.size)
-            s[[not w for w in words]] = 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(s)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(score(texts))], names=["doc_id", "score"])
 
     out = docs.mapInArrow(run, "doc_id long, score double")
-    return out.select(id_out(), F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("keep"))
+    return out.select(id_out(), F.round("score", 6).alias("score"), (F.round("score", 6) >= threshold).alias("keep"))
+
+
+def quality_filter(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that quality() keeps, all columns, where they lie."""
+    weights = fit(plain(docs), sample).weights
+
+    def make():
+        score = scorer(weights)
+        return lambda texts: np.round(score(texts), 6) >= threshold
+
+    return filtered(docs, make, TEXT_BYTES)
