@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, chunks, id_out, plain
+from .common import NULL_ID, chunks, filtered, id_out, plain
 
-SEED, THRESHOLD, TEXT_BYTES, BLOCK_BYTES = 5, 0.5, 4 << 20, 32 << 20
+SEED, THRESHOLD, TEXT_BYTES, BLOCK_BYTES, CACHE = 5, 0.5, 4 << 20, 32 << 20, 500_000
 
 
 def words(text: bytes) -> list[bytes]:
@@ -66,17 +66,29 @@ def tile(a: np.ndarray, b: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
     return tiles
 
 
+class Numbers(dict):
+    """Words to numbers; those that no item has are kept too, as -1, until forgotten."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = -1
+        return -1
+
+    def forget(self) -> None:
+        for w in [w for w, i in self.items() if i < 0]:
+            del self[w]
+
+
 class Items:
     """A block of benchmark items, indexed by seed."""
 
     def __init__(self, items: list[tuple[int, bytes]], seed: int):
-        self.seed, self.vocabulary, self.items = seed, {}, []
+        self.seed, self.numbers, self.items = seed, Numbers(), []
         self.index: dict[bytes, set[int]] = defaultdict(set)
         for item_id, text in items:
             w = words(text)
             if not w:
                 continue
-            ids = np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w], np.int64)
+            ids = np.array([self.numbers.setdefault(x, len(self.numbers)) for x in w], np.int64)
             for j in range(max(1, len(ids) - seed + 1)):
                 self.index[ids[j : j + seed].tobytes()].add(len(self.items))
             self.items.append((item_id, ids))
@@ -93,29 +105,39 @@ class Items:
             out = out * self.base + v[i : i + len(out)]
         return out
 
-    def candidates(self, ids: np.ndarray) -> set[int]:
-        found: set[int] = set()
+    def candidates(self, ids: np.ndarray, owner: np.ndarray) -> dict[int, set[int]]:
+        """By text the items that share a seed with it. ids: the texts' words, owner: each word's text."""
+        found: dict[int, set[int]] = defaultdict(set)
         for n in [*self.short, self.seed]:
             if len(ids) < n or n == self.seed and not len(self.hashes):
                 continue
-            at = np.flatnonzero(np.isin(self.rolled(ids, n), self.hashes)) if n == self.seed else np.flatnonzero(ids[: len(ids) - n + 1] >= 0)
+            known = np.concatenate([[0], np.cumsum(ids >= 0)])
+            at = np.flatnonzero((known[n:] - known[:-n] == n) & (owner[n - 1 :] == owner[: len(owner) - n + 1]))
+            if n == self.seed:
+                at = at[np.isin(self.rolled(ids, n)[at], self.hashes)]
             for i in at.tolist():
-                found |= self.index.get(ids[i : i + n].tobytes(), set())
+                if items := self.index.get(ids[i : i + n].tobytes()):
+                    found[int(owner[i])] |= items
         return found
 
-    def best(self, text: bytes) -> tuple[int | None, float, int, int]:
-        """item_id, coverage, words covered and number of tiles of the item that the text covers most."""
-        get = self.vocabulary.get
-        ids = np.array([get(w, -1) for w in words(text)], np.int64)
-        out: tuple[int | None, float, int, int] = (None, 0.0, 0, 0)
-        if len(ids) < 1 or not (ids >= 0).any():
-            return out
-        for k in sorted(self.candidates(ids)):
-            item_id, own = self.items[k]
-            tiles = tile(ids, own, min(self.seed, len(own)))
-            covered = sum(n for _, _, n in tiles)
-            if (covered / len(own), -item_id) > (out[1], -(out[0] if out[0] is not None else 2**62)) and covered:
-                out = (item_id, covered / len(own), covered, len(tiles))
+    def best(self, texts: list[bytes]) -> list[tuple[int | None, float, int, int]]:
+        """For each text item_id, coverage, words covered and number of tiles of the item that it covers most."""
+        split = [words(t) for t in texts]
+        lens = np.array([len(w) for w in split], np.int64)
+        if len(self.numbers) > CACHE:
+            self.numbers.forget()
+        ids = np.fromiter((self.numbers[w] for own in split for w in own), np.int64, int(lens.sum()))
+        start = np.cumsum(lens) - lens
+        out: list[tuple[int | None, float, int, int]] = [(None, 0.0, 0, 0)] * len(texts)
+        for t, items in self.candidates(ids, np.repeat(np.arange(len(texts)), lens)).items():
+            own = ids[start[t] : start[t] + lens[t]]
+            for k in sorted(items):
+                item_id, item = self.items[k]
+                tiles = tile(own, item, min(self.seed, len(item)))
+                covered = sum(n for _, _, n in tiles)
+                old = out[t]
+                if covered and (old[0] is None or (covered / len(item), -item_id) > (old[1], -old[0])):
+                    out[t] = (item_id, covered / len(item), covered, len(tiles))
         return out
 
 
@@ -141,7 +163,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, thres
         def run(batches):
             own = Items(items, seed)
             for ids, texts in chunks(batches, TEXT_BYTES):
-                item, cover, n, tiles = zip(*map(own.best, texts), strict=True)
+                item, cover, n, tiles = zip(*own.best(texts), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(item, pa.int64()), pa.array(cover, pa.float64()), pa.array(n, pa.int64()), pa.array(tiles, pa.int64())], names=["doc_id", "item_id", "coverage", "n_covered", "n_tiles"])
 
         return run
@@ -156,4 +178,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, thres
         best = F.max(F.struct("coverage", (-F.coalesce(F.col("item_id"), F.lit(2**62))).alias("order"), "item_id", "n_covered", "n_tiles"))
         out = every.groupBy("doc_id").agg(best.alias("b"), (F.count(F.lit(1)) / len(passes)).cast("int").alias("copies"))
         out = out.select("doc_id", "b.item_id", "b.coverage", "b.n_covered", "b.n_tiles", F.explode(F.expr("array_repeat(0, copies)"))).drop("col")
-    return out.select(id_out(), F.nullif("item_id", F.lit(NULL_ID)).alias("item_id"), F.round("coverage", 6).alias("coverage"), "n_covered", "n_tiles", (F.col("coverage") >= threshold).alias("contaminated"))
+    return out.select(id_out(), F.nullif("item_id", F.lit(NULL_ID)).alias("item_id"), F.round("coverage", 6).alias("coverage"), "n_covered", "n_tiles", (F.round("coverage", 6) >= threshold).alias("contaminated"))
+
+
+def decontamination_filter(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that decontaminate() doesn't call contaminated, all columns, where they lie."""
+
+    def against(items):
+        def make():
+            own = Items(items, seed)
+            return lambda texts: np.array([round(b[1], 6) < threshold for b in own.best(texts)], bool)
+
+        return make
+
+    for items in blocks(benchmark, block_bytes):
+        docs = filtered(docs, against(items), TEXT_BYTES)
+    return docs
