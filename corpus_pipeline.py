@@ -9,31 +9,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.llm.bpe import bpe_encode
-from archivolt.llm.common import cut, read
-from archivolt.llm.decontaminate import decontaminate
+from archivolt.llm.common import NULL_ID, cut, read
+from archivolt.llm.decontaminate import decontamination_filter
 from archivolt.llm.exact_dedup import exact_dedup
-from archivolt.llm.quality import quality
+from archivolt.llm.near_dedup import near_dedup
+from archivolt.llm.quality import quality_filter
 from archivolt.llm.queries import tokenizer_path
 
-WORDS, SIMILARITY = 5, 0.8
+WORDS, SIMILARITY = 5, 80
 
 
-def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in keep (one column, distinct)."""
-    ids = keep.select(F.col("doc_id").alias("_kept"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").select(docs.columns)
+def _kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """Whole rows of docs, one for each doc_id that judged keeps: one exchange of docs serves the join and the removal of repeated rows."""
+    key = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
+    ids = judged.filter("kept").select(key.alias("_key")).distinct()
+    return docs.withColumn("_key", key).join(ids, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, quality(docs).filter("keep").select("doc_id"))
+    """Documents that the quality classifier keeps."""
+    return quality_filter(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, exact_dedup(docs).filter("kept").select("doc_id")).dropDuplicates(["doc_id"])
+    """Of equal texts the one of largest doc_id."""
+    return _kept(docs, exact_dedup(docs))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates (five-word shingles, similarity of 0.8 or more) the one of smallest doc_id."""
+    return _kept(docs, near_dedup(docs, WORDS, SIMILARITY, "pipeline-near"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, decontaminate(docs, read(spark, sf_dir, "benchmark")).filter("not contaminated").select("doc_id"))
+    """Documents that hold less than half of every benchmark item."""
+    return decontamination_filter(docs, read(spark, sf_dir, "benchmark"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +54,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality classifier", quality_stage),
     ("exact dedup", exact_stage),
+    ("near dedup", near_stage),
     ("benchmark decontamination", decontamination_stage),
     ("bpe", encoding_stage),
 ]
