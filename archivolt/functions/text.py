@@ -4,6 +4,7 @@ applied to strings that have non-ASCII characters); the rest stays in whole-stag
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,6 +34,11 @@ def text_of(c: Column | str) -> Column:
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, c being computed once however often f uses it: nested uses would otherwise multiply."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def is_non_ascii(c: Column | str) -> Column:
     """more bytes than characters."""
     return F.octet_length(text_of(c)) > F.char_length(text_of(c))
@@ -74,18 +80,22 @@ def with_missing_closer(c: Column) -> Column:
 def normalize(c: Column | str, compat: bool = True) -> Column:
     """what differs only by form is one name; inner spaces and punctuation stay."""
     s = F.regexp_replace(folded(c, compat), r" *([()\[\]]) *", "$1")
-    return F.lower(F.trim(with_missing_closer(s)))
+    return F.lower(F.trim(let(s, with_missing_closer)))
 
 
 def normalize_cautious(c: Column | str, compat: bool = True) -> Column:
     """for candidates that a person confirms."""
     s = F.translate(normalize(c, compat), MIDDLE_DOTS + DASHES + TILDES, "·" * len(MIDDLE_DOTS) + "-" * len(DASHES) + "~" * len(TILDES))
-    for _ in range(2):
+
+    def unquoted(x: Column) -> Column:
         quoted = F.lit(False)
         for pair in QUOTES:
-            quoted = quoted | (F.startswith(s, F.lit(pair[0])) & F.endswith(s, F.lit(pair[1])) & (F.length(s) >= 2))
-        s = F.when(quoted, F.trim(F.substring(s, F.lit(2), F.length(s) - 2))).otherwise(s)
-    s = without_extra_closer(s)
+            quoted = quoted | (F.startswith(x, F.lit(pair[0])) & F.endswith(x, F.lit(pair[1])) & (F.length(x) >= 2))
+        return F.when(quoted, F.trim(F.substring(x, F.lit(2), F.length(x) - 2))).otherwise(x)
+
+    for _ in range(2):
+        s = let(s, unquoted)
+    s = let(s, without_extra_closer)
     return F.lower(F.trim(F.regexp_replace(s, r"(?<!\.)\.$", "")))
 
 
@@ -106,14 +116,15 @@ def without_extra_closer(c: Column) -> Column:
 
 def unwrapped(c: Column | str) -> Column:
     """up to two pairs of brackets around the whole name go."""
-    s = F.trim(text_of(c))
-    for _ in range(2):
+
+    def inner_of(x: Column) -> Column:
         wrapped = F.lit(False)
         for pair in WRAPPERS:
-            wrapped = wrapped | (F.startswith(s, F.lit(pair[0])) & F.endswith(s, F.lit(pair[1])))
-        inner = F.trim(F.substring(s, F.lit(2), F.greatest(F.length(s) - 2, F.lit(0))))
-        s = F.when(wrapped & (F.length(s) >= 2) & (inner != ""), inner).otherwise(s)
-    return s
+            wrapped = wrapped | (F.startswith(x, F.lit(pair[0])) & F.endswith(x, F.lit(pair[1])))
+        inner = F.trim(F.substring(x, F.lit(2), F.greatest(F.length(x) - 2, F.lit(0))))
+        return F.when(wrapped & (F.length(x) >= 2) & (inner != ""), inner).otherwise(x)
+
+    return let(let(F.trim(text_of(c)), inner_of), inner_of)
 
 
 def without_full_stop(c: Column | str, compat: bool = True) -> Column:
@@ -123,32 +134,46 @@ def without_full_stop(c: Column | str, compat: bool = True) -> Column:
 
 def cjk_joined(c: Column | str, compat: bool = True) -> Column:
     """two to four parts join if each has kana or Han characters."""
-    s = normalize(c, compat)
-    parts = F.filter(F.split(s, " "), lambda p: p != "")
-    return F.when(F.size(parts).between(2, 4) & F.forall(parts, lambda p: p.rlike(CJK)), F.array_join(parts, "")).otherwise(s)
+
+    def joined(s: Column) -> Column:
+        parts = F.filter(F.split(s, " "), lambda p: p != "")
+        return F.when(F.size(parts).between(2, 4) & F.forall(parts, lambda p: p.rlike(CJK)), F.array_join(parts, "")).otherwise(s)
+
+    return let(normalize(c, compat), joined)
 
 
 def structured_parts(c: Column | str, compat: bool = True) -> Column:
     """struct(society, creators) of "society (creator, creator)", or null."""
-    s = unwrapped(F.trim(with_missing_closer(folded(c, compat))))
-    society = F.regexp_replace(F.trim(F.regexp_extract(s, r"^\s*(.*?)\s*\(\s*(.*?)\s*\)\s*$", 1)), r"[ +＋]+$", "")
-    inside = F.trim(F.regexp_extract(s, r"^\s*(.*?)\s*\(\s*(.*?)\s*\)\s*$", 2))
-    creators = first_by_norm(F.filter(F.transform(F.split(inside, SEPARATORS), lambda x: F.trim(x)), lambda x: x != ""))
-    return F.when((society != "") & (F.size(creators) > 0), F.struct(society.alias("society"), creators.alias("creators")))
+    shape = r"^\s*(.*?)\s*\(\s*(.*?)\s*\)\s*$"
+
+    def parts(s: Column) -> Column:
+        society = F.regexp_replace(F.trim(F.regexp_extract(s, shape, 1)), r"[ +＋]+$", "")
+        names = F.filter(F.transform(F.split(F.trim(F.regexp_extract(s, shape, 2)), SEPARATORS), lambda x: F.trim(x)), lambda x: x != "")
+        return F.struct(society.alias("society"), let(names, first_by_norm).alias("creators"))
+
+    out = let(unwrapped(F.trim(let(folded(c, compat), with_missing_closer))), parts)
+    return let(out, lambda p: F.when((p["society"] != "") & (F.size(p["creators"]) > 0), p))
 
 
 def first_by_norm(names: Column) -> Column:
     """Of names that are one when normalised (compatibility form aside) the first stays."""
-    keys = F.transform(names, lambda x: normalize(x, compat=False))
-    return F.filter(names, lambda x, i: (F.element_at(keys, (i + 1).cast("int")) != "") & (F.array_position(keys, F.element_at(keys, (i + 1).cast("int"))) == i + 1))
+
+    def kept(keys: Column) -> Column:
+        key = lambda i: F.element_at(keys, (i + 1).cast("int"))
+        return F.filter(names, lambda x, i: (key(i) != "") & (F.array_position(keys, key(i)) == i + 1))
+
+    return let(F.transform(names, lambda x: normalize(x, compat=False)), kept)
 
 
 def safe_segments(c: Column | str, compat: bool = True) -> Column:
     """F8: two or three parts of two or more characters, each with kana or Han characters; else none."""
-    s = with_missing_closer(folded(c, compat))
-    parts = F.split(s, " ")
-    fine = ~s.rlike(r"[()\[\]]") & F.size(parts).between(2, 3) & F.forall(parts, lambda p: (F.length(p) >= 2) & p.rlike(CJK))
-    return F.when(fine, first_by_norm(parts)).otherwise(F.array().cast("array<string>"))
+
+    def segments(s: Column) -> Column:
+        parts = F.split(s, " ")
+        fine = ~s.rlike(r"[()\[\]]") & F.size(parts).between(2, 3) & F.forall(parts, lambda p: (F.length(p) >= 2) & p.rlike(CJK))
+        return F.when(fine, first_by_norm(parts)).otherwise(F.array().cast("array<string>"))
+
+    return let(let(folded(c, compat), with_missing_closer), segments)
 
 
 def display(c: Column | str) -> Column:
@@ -168,7 +193,7 @@ def is_useful(c: Column | str) -> Column:
 def split_names(c: Column | str) -> Column:
     """F16: names separated by comma, semicolon, bar or line break; the first spelling of each, case aside."""
     names = F.filter(F.transform(F.split(text_of(c), r"[,;|\r\n]"), display), is_useful)
-    return first_spelling(names)
+    return let(names, first_spelling)
 
 
 def first_spelling(names: Column) -> Column:
@@ -197,9 +222,12 @@ def has_complete(text: Column, name: Column) -> Column:
 
 def starts_with_complete(text: Column, name: Column, compat: bool = True) -> Column:
     """the normalised text starts with the name, then ends or goes on with a boundary."""
-    t, n = normalize(text, compat), normalize(unwrapped(name), compat)
-    after = F.substring(t, F.length(n) + 1, F.lit(1))
-    return (F.length(n) >= 2) & F.startswith(t, n) & ((after == "") | after.rlike(r"[\s(\[\-_・·／/]"))
+
+    def starts(t: Column, n: Column) -> Column:
+        after = F.substring(t, F.length(n) + 1, F.lit(1))
+        return (F.length(n) >= 2) & F.startswith(t, n) & ((after == "") | after.rlike(r"[\s(\[\-_・·／/]"))
+
+    return let(F.struct(normalize(text, compat).alias("t"), normalize(unwrapped(name), compat).alias("n")), lambda p: starts(p["t"], p["n"]))
 
 
 #: Fixed value: how names of events begin, before a number.

@@ -7,10 +7,10 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import is_non_ascii
 from ..sources.readers import first_per_key
+from ..sources.writers import numbered, settled
 
 IMPORTED = "imported"
 #: Which provider a source's names belong to.
@@ -118,26 +118,20 @@ def created(base: Kb, rows: DataFrame) -> DataFrame:
     in order of source, kind and norm."""
     new = rows.filter("entity_id IS NULL AND NOT conflict")
     first = first_per_key(new.select("provider", "kind", "norm", "source_id", "name", "pretty", "external_key"), ["provider", "kind", "norm"], ["source_id", "name"])
-    # numbered by ranges: counts of ranges first, so no task sorts everything
-    spark = base.entity.sparkSession
-    ranged = first.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "source_id", "kind", "norm", "provider").sortWithinPartitions("source_id", "kind", "norm", "provider").withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_i", F.monotonically_increasing_id() - (F.col("_p").cast("long") * F.lit(1 << 33)))
-    before = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = before.withColumn("_before", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).select("_p", F.coalesce("_before", F.lit(0)).alias("_before"))
     top = base.entity.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0]
-    numbered = ranged.join(before, "_p").withColumn("id", F.lit(top) + F.col("_before") + F.col("_i") + 1)
-    return numbered.select("id", F.col("name").alias("canonical_name"), F.col("pretty").alias("roman_name"), "norm", "kind", F.col("external_key").alias("external_id"), F.lit(False).alias("verified"), "provider")
+    rows = numbered(first, ["source_id", "kind", "norm", "provider"], "id").withColumn("id", F.lit(top + 1) + F.col("id"))
+    return rows.select("id", F.col("name").alias("canonical_name"), F.col("pretty").alias("roman_name"), "norm", "kind", F.col("external_key").alias("external_id"), F.lit(False).alias("verified"), "provider")
 
 
 def merge(base: Kb, evidence: DataFrame, works: DataFrame, files: DataFrame) -> Kb:
     """The base with what imported evidence adds. Run again on its own result it adds nothing (M15); a withdrawn file's evidence
     is gone when the base is merged anew (M18)."""
     ok = imported_evidence(evidence, files)
-    rows = assigned(base, incoming(ok, works)).persist()
-    new = created(base, rows).persist()
+    rows = settled(assigned(base, incoming(ok, works)))
+    new = settled(created(base, rows))
     entity = base.entity.unionByName(new.drop("provider"))
     by_key = new.select("provider", "kind", "norm", F.col("id").alias("_new"))
-    full = rows.join(by_key, ["provider", "kind", "norm"], "left").withColumn("entity_id", F.coalesce("entity_id", "_new")).drop("_new").persist()
+    full = rows.join(by_key, ["provider", "kind", "norm"], "left").withColumn("entity_id", F.coalesce("entity_id", "_new")).drop("_new")
     several = rows.filter("conflict").select("source_id", "kind", "norm", "name", F.lit("Multiple provider identities").alias("reason"), "works")
     apart = ambiguous(full.filter("entity_id IS NOT NULL"), ["kind", "norm"], "entity_id")
     crossed = full.filter("entity_id IS NOT NULL").join(apart, ["kind", "norm"], "left_semi").select("source_id", "kind", "norm", "name", F.lit("Cross-source identity ambiguity").alias("reason"), "works")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..sources.writers import numbered, settled
 
 MOVABLE = ("Matched", "NewAuthor", "NewAuthorReuse", "Manual")
 
@@ -23,21 +24,10 @@ def occupancy(folders: DataFrame, number: str) -> tuple[int, int]:
     return (r[0][0], r[0][1]) if r else (1, 0)
 
 
-def ranked(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """rows with their number from 0 in the total order of keys, without one task sorting everything: ranges are sorted apart, and
-    their counts (one a range) give each its first number."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_i", F.monotonically_increasing_id())
-    r = r.withColumn("_p", F.shiftright("_i", 33)).withColumn("_i", F.col("_i").bitwiseAND((1 << 33) - 1))
-    before = r.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = before.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return r.join(before, "_p").withColumn(out, F.col("_i") + F.col("_b")).drop("_i", "_p", "_b")
-
-
 def allocated(files: DataFrame, identity: str, order: str, highest: int, occupied: int, most: int) -> DataFrame:
     """L1-L3: identity, first, slot, group_number: new identities in the order in which files first name them."""
     first = files.groupBy(identity).agg(F.min(order).alias("first"))
-    return ranked(first, ["first", identity], "slot").withColumn("group_number", group_of_new(F.col("slot"), highest, occupied, most))
+    return numbered(first, ["first", identity], "slot").withColumn("group_number", group_of_new(F.col("slot"), highest, occupied, most))
 
 
 def new_statuses(files: DataFrame, identity: str, order: str) -> DataFrame:
@@ -51,16 +41,21 @@ def linked_identities(files: DataFrame, file: str, order: str, norms: str) -> Da
     As the sequential rule has it: a planned identity has the norms of the file that made it; a file belongs to the earliest such file
     that shares a norm with it, and makes an identity itself if there is none.  In a round, a file whose earliest companion is settled as a maker
     settles too; the others wait.  Files that match folders never come here, so what is left is small."""
-    n = files.select(file, order, F.explode(norms).alias("norm")).distinct().persist()
+    n = files.select(file, order, F.explode(norms).alias("norm")).distinct()
+    n = settled(n)
     open_ = n.select(file).distinct()
     makers, taken = open_.limit(0), open_.limit(0).withColumn("identity", F.col(file))
     while not open_.isEmpty():
         live = n.join(open_.unionByName(makers), file, "left_semi")
         least = live.groupBy("norm").agg(F.min(F.struct(order, file)).alias("_m"))
-        first = live.join(least, "norm").groupBy(file).agg(F.min("_m").alias("_m")).select(file, F.col(f"_m.{file}").alias("identity")).persist()
-        makers = first.filter(F.col(file) == F.col("identity")).select(file).persist()
-        taken = taken.unionByName(first.join(makers.withColumnRenamed(file, "identity"), "identity", "left_semi").join(makers, file, "left_anti").select(file, "identity")).persist()
-        open_ = open_.join(makers, file, "left_anti").join(taken.select(file), file, "left_anti").persist()
+        first = live.join(least, "norm").groupBy(file).agg(F.min("_m").alias("_m")).select(file, F.col(f"_m.{file}").alias("identity"))
+        first = settled(first)
+        makers = first.filter(F.col(file) == F.col("identity")).select(file)
+        makers = settled(makers)
+        taken = taken.unionByName(first.join(makers.withColumnRenamed(file, "identity"), "identity", "left_semi").join(makers, file, "left_anti").select(file, "identity"))
+        taken = settled(taken)
+        open_ = open_.join(makers, file, "left_anti").join(taken.select(file), file, "left_anti")
+        open_ = settled(open_)
     return taken.unionByName(makers.withColumn("identity", F.col(file)))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _fs(spark: SparkSession, path: str):
@@ -13,6 +15,30 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df as files in the session's checkpoint folder (one of our own only where none is set): what depends on how rows fell into
+    partitions is decided once, and stays decided when an executor is lost."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="archivolt-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/archivolt/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """rows with their number from 0 in the total order of keys. No task sorts everything: ranges are sorted apart and written, and their
+    counts (one a range) give each range its first number."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_i", F.monotonically_increasing_id())
+    r = settled(r.withColumn("_p", F.shiftright("_i", 33)).withColumn("_i", F.col("_i").bitwiseAND((1 << 33) - 1)))
+    before = r.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = before.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    return r.join(before, "_p").withColumn(out, F.col("_i") + F.col("_b")).drop("_i", "_p", "_b")
+
+
 def history(session: DataFrame, items: DataFrame, path: str) -> None:
     """SNK1: the session's header and its items as two sets of CSV files, quoted, with a byte-order mark on the header line's first name."""
     mark = "﻿"
