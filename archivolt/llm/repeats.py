@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, cut, doubled, mix, parts, spread
 
-TEXT_BYTES, FLUSH, MATCH_BYTES = 2 << 20, 600_000, 8 << 20
+TEXT_BYTES, FLUSH, MATCH_BYTES = 1 << 20, 300_000, 1 << 20
 FRAGMENT = np.dtype([("q", "<u8"), ("f", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("cnt", "<i2"), ("off", "<i2")])
 RUN = np.dtype([("doc", "<i8"), ("pos", "<i4"), ("cnt", "<i4")])
 PIECE = np.dtype([("q", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("cnt", "<i2"), ("off", "<i2"), ("size", "<i4")])
@@ -200,7 +200,7 @@ def repeated_runs(
                     p.append((a["q"] & 0xFFFFFFFFFFFFFFFF, i, a["pos"], a["cnt"], a["off"], len(raw)))
                     c.append(raw)
                     size += len(raw) + PIECE.itemsize
-            if size > 16 << 20:
+            if size > 8 << 20:
                 yield flush()
                 size = 0
         if out:
