@@ -215,7 +215,10 @@ def repeated_runs(
             raws += [raw[e - s : e] for e, s in zip(ends.tolist(), head["size"].tolist(), strict=True)]
         x = np.concatenate(heads)
         order = np.lexsort((x["pos"], x["doc"], x["q"]))
-        x, raws = x[order], [raws[i] for i in order]
+        y = x[order]
+        new = np.ones(len(y), bool)  # a repeated row brings the same piece again
+        new[1:] = (y["q"][1:] != y["q"][:-1]) | (y["doc"][1:] != y["doc"][:-1]) | (y["pos"][1:] != y["pos"][:-1])
+        x, raws = y[new], [raws[i] for i in order[new]]
         edges = [0, *(np.flatnonzero(x["q"][1:] != x["q"][:-1]) + 1).tolist(), len(x)]
         found, lo, size = [np.zeros(0, RUN)], 0, 0
         sizes = np.concatenate([[0], np.cumsum(x["size"], dtype=np.int64)])
