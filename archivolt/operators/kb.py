@@ -215,3 +215,33 @@ def searched(entity: DataFrame, alias: DataFrame, text: str, offset: int = 0, li
     """A page of the entities whose name or alias contains text; the page size is clamped to 1..500."""
     hit = alias.filter(F.contains("norm", F.lit(text.lower()))).select(F.col("entity_id").alias("id")).unionByName(entity.filter(F.contains("norm", F.lit(text.lower()))).select("id")).distinct()
     return entity.join(hit, "id", "left_semi").orderBy("canonical_name", "id").offset(max(0, offset)).limit(min(500, max(1, limit)))
+
+
+def related_groups(relation: DataFrame, entity: DataFrame) -> DataFrame:
+    """artist_id, group_id, weight, group_name: one step along the relation; order by (artist_id, weight desc, group_id) to list them."""
+    return relation.join(entity.select(F.col("id").alias("group_id"), F.col("canonical_name").alias("group_name")), "group_id").select("artist_id", "group_id", "weight", "group_name")
+
+
+def evidence_counts(evidence: DataFrame, works: DataFrame) -> DataFrame:
+    """source_id, works, files, names, resolved: distinct counts over compound keys."""
+    w = works.groupBy("source_id").agg(F.countDistinct("gallery_id").alias("works"), F.countDistinct("source_file").alias("files"))
+    e = evidence.groupBy("source_id").agg(F.countDistinct("entity_type", "normalized_name").alias("names"), F.countDistinct(F.when(F.col("status") == "Matched", F.struct("entity_type", "normalized_name"))).alias("resolved"))
+    return w.join(e, "source_id", "full").select("source_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("works", "files", "names", "resolved")])
+
+
+def evidence_sample(evidence: DataFrame, works: DataFrame, order: list[str], most: int) -> DataFrame:
+    """Evidence with its work's titles, empty where the work is unknown, the statuses of order first, newest files first; the limit is the feature."""
+    keys = ["source_id", "source_file", "gallery_id"]
+    rows = evidence.join(works.select(*keys, "japanese_title", "english_title"), keys, "left").fillna("", ["japanese_title", "english_title"])
+    rank = F.lit(len(order))
+    for i, s in reversed(list(enumerate(order))):
+        rank = F.when(F.col("status") == s, i).otherwise(rank)
+    return rows.orderBy(rank, F.desc("source_file"), "source_id", "gallery_id", "normalized_name").limit(most)
+
+
+def registered(sources: DataFrame, files: DataFrame) -> DataFrame:
+    """M1: sources with those of imported files that it lacks; new ids follow the largest. Sources are few: one row for each provider."""
+    new = files.filter(F.col("state") == IMPORTED).select(F.col("source_id").alias("source_key")).distinct().join(sources, "source_key", "left_anti")
+    top = sources.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0]
+    rows = numbered(new, ["source_key"], "id")
+    return sources.unionByName(rows.select((F.lit(top + 1) + F.col("id")).cast(sources.schema["id"].dataType).alias("id"), "source_key"))

@@ -153,3 +153,27 @@ def status_code(status: Column, evidence: Column) -> Column:
     for s in order:
         out = out.when(status == s, F.when((F.lit(s) == "Matched") & (evidence == "Cautious"), "MatchedCautious").otherwise(F.lit(s)))
     return out.otherwise("Unrecognized")
+
+
+def by_alias_group(names: DataFrame, groups: DataFrame, folders: DataFrame, key: str, target: str) -> DataFrame:
+    """Key, status, target: a name of one alias group stands for the folders of that group; one of several groups is ambiguous.
+    names: key, norm.  groups: norm, canonical.  folders: canonical, target."""
+    own = names.join(groups, "norm").groupBy(key).agg(F.countDistinct("canonical").alias("_g"), F.min("canonical").alias("canonical"))
+    hit = own.join(folders, "canonical", "left").groupBy(key, "_g").agg(F.countDistinct(target).alias("_n"), F.min(target).alias("_t"))
+    status = F.when(F.col("_g") > 1, AMBIGUOUS).when(F.col("_n") == 1, FOUND).when(F.col("_n") > 1, "Choice").otherwise(NOT_FOUND)
+    return hit.select(key, status.alias("status"), F.when((F.col("_g") == 1) & (F.col("_n") == 1), F.col("_t")).alias(target))
+
+
+def public(names: DataFrame, holders: DataFrame, key: str) -> DataFrame:
+    """Key, status, entity_id: the distinct entities that any of a name's norms has; one is found, several are ambiguous.
+    names: key, norm.  holders: norm, entity_id."""
+    hit = norm_join(names, holders, key, "entity_id").groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("entity_id").alias("_e"))
+    out = names.select(key).distinct().join(hit, key, "left")
+    status = F.when(F.col("_n") == 1, FOUND).when(F.col("_n") > 1, AMBIGUOUS).otherwise(NOT_FOUND)
+    return out.select(key, status.alias("status"), F.when(F.col("_n") == 1, F.col("_e")).alias("entity_id"))
+
+
+def event_first(prefix_entities: DataFrame, events: DataFrame, key: str) -> DataFrame:
+    """Key, as_event: a prefix that a person confirmed as a name is one, whatever its syntax says. prefix_entities: key, user_confirmed.  events: key."""
+    own = prefix_entities.groupBy(key).agg(F.max(F.col("user_confirmed").cast("int")).alias("_c"))
+    return events.select(key).distinct().join(own, key, "left").select(key, (F.coalesce("_c", F.lit(0)) == 0).alias("as_event"))

@@ -361,6 +361,50 @@ def name_conflicts(spark, d):
     return resolve.name_conflicts(p, u)
 
 
+@query("""WITH w AS (SELECT o_custkey AS artist_id, c_nationkey AS group_id, count(*) AS weight FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2)
+          SELECT artist_id, group_id, weight, n_name AS group_name FROM w JOIN nation ON n_nationkey = group_id""")
+def related_groups(spark, d):
+    """J6."""
+    o = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    w = o.groupBy(F.col("o_custkey").alias("artist_id"), F.col("c_nationkey").alias("group_id")).agg(F.count(F.lit(1)).alias("weight"))
+    return kb.related_groups(w, t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("canonical_name")))
+
+
+@query("""WITH w AS (SELECT l_returnflag AS source_id, count(DISTINCT l_orderkey) AS works, count(DISTINCT strftime(l_shipdate, '%Y-%m')) AS files,
+                            count(DISTINCT s_name) AS a, count(DISTINCT CASE WHEN s_suppkey % 2 = 0 THEN s_name END) AS ra, count(DISTINCT p_brand) AS g
+                     FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY 1)
+          SELECT source_id, works, files, a + g AS names, ra AS resolved FROM w""")
+def evidence_counts(spark, d):
+    """A6."""
+    e, w = evidence(spark, d)
+    even = (F.col("entity_type") == "Artist") & (F.regexp_extract("name", r"(\d)$", 1).cast("int") % 2 == 0)
+    return kb.evidence_counts(e.withColumn("status", F.when(even, "Matched").otherwise("Candidate")), w)
+
+
+@query("""WITH h AS (SELECT o_orderkey % 3000 AS id, c_custkey AS e FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey < 6 GROUP BY 1, 2),
+               k AS (SELECT DISTINCT o_orderkey % 3000 AS id FROM orders), n AS (SELECT id, count(*) AS n, min(e) AS e FROM h GROUP BY 1)
+          SELECT k.id, CASE WHEN n = 1 THEN 'Matched' WHEN n > 1 THEN 'Ambiguous' ELSE 'NotFound' END AS status, CASE WHEN n = 1 THEN e END AS entity_id FROM k LEFT JOIN n ON n.id = k.id""")
+def resolve_public(spark, d):
+    """E12 O4 O6."""
+    names = t(spark, d, "orders").select((F.col("o_orderkey") % 3000).alias("id"), F.col("o_custkey").cast("string").alias("norm"))
+    holders = t(spark, d, "customer").filter("c_nationkey < 6").select(F.col("c_custkey").cast("string").alias("norm"), F.col("c_custkey").alias("entity_id"))
+    return resolve.public(names, holders, "id")
+
+
+@query("""WITH g AS (SELECT DISTINCT c_mktsegment AS canonical, CAST(c_custkey % 400 AS VARCHAR) AS norm FROM customer WHERE c_custkey < 700),
+               n AS (SELECT c_custkey, CAST(c_custkey % 400 AS VARCHAR) AS norm FROM customer), f AS (SELECT s_suppkey AS target, CASE WHEN s_nationkey < 3 THEN 'BUILDING' WHEN s_suppkey = 1 THEN 'FURNITURE' END AS canonical FROM supplier),
+               o AS (SELECT c_custkey, count(DISTINCT canonical) AS g, min(canonical) AS canonical FROM n JOIN g ON g.norm = n.norm GROUP BY 1),
+               h AS (SELECT c_custkey, g, count(DISTINCT target) AS k, min(target) AS t FROM o LEFT JOIN f ON f.canonical = o.canonical GROUP BY 1, 2)
+          SELECT c_custkey, CASE WHEN g > 1 THEN 'Ambiguous' WHEN k = 1 THEN 'Matched' WHEN k > 1 THEN 'Choice' ELSE 'NotFound' END AS status, CASE WHEN g = 1 AND k = 1 THEN t END AS target FROM h""")
+def resolve_alias_groups(spark, d):
+    """E2."""
+    c, s = t(spark, d, "customer"), t(spark, d, "supplier")
+    norm = (F.col("c_custkey") % 400).cast("string").alias("norm")
+    groups = c.filter("c_custkey < 700").select(F.col("c_mktsegment").alias("canonical"), norm).distinct()
+    folders = s.select(F.col("s_suppkey").alias("target"), F.when(F.col("s_nationkey") < 3, "BUILDING").when(F.col("s_suppkey") == 1, "FURNITURE").alias("canonical")).filter("canonical IS NOT NULL")
+    return resolve.by_alias_group(c.select("c_custkey", norm), groups, folders, "c_custkey", "target")
+
+
 # --- scores
 
 NAMES_SQL = """n AS (SELECT DISTINCT p_name AS name FROM part), a AS (SELECT replace(name, 'o', '0') AS file, name FROM n),
