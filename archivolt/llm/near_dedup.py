@@ -11,8 +11,8 @@ With 40 bands of 5 a pair at similarity 0.8 is missed with probability 1.3e-7, m
 
 Groups never expand to all pairs.  Documents with equal sets are one from the start.  In each band's bucket
 every document is first compared with the smallest, then (where documents of the bucket are still apart) with the largest;
-only documents of a bucket that are in different components after that meet each other.  Links within a component
-can't change it, so the components are exactly those of all the links.
+only documents of a bucket that are in different components after that meet each other.  Those pairs are verified within
+the join that brings them together.  Links within a component can't change it, so the components are exactly those of all the links.
 
 Defined cases: null and empty texts have no shingles, are in a component of their own and link with
 nothing; texts of fewer than k words have one shingle, all their words; a null doc_id counts as the smallest and comes out
@@ -33,7 +33,7 @@ from .components import components
 from .substring_dedup import Hashes
 
 ROWS, BANDS, BASE, RATE, LIMIT = 5, 40, 1.001, 20.0, 65534
-REGISTERS, TEXT_BYTES, CACHE = ROWS * BANDS, 2 << 20, 400_000
+REGISTERS, TEXT_BYTES, CACHE = ROWS * BANDS, 1 << 20, 150_000
 #: A pair goes if the threshold is exp(-DOUBT) times as likely as the best similarity, or less.
 DOUBT = 20.0
 _R = np.random.default_rng(20_260_101)
@@ -115,18 +115,21 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
                 [pa.array(ids), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([next(regs).tobytes() if len(s) else None for s in sets], pa.binary())],
                 names=["doc_id", "digest", "n", "regs"],
             )
+        WORDS.clear()
 
     return docs.mapInArrow(run, "doc_id long, digest binary, n int, regs binary")
 
 
-def _bands(one: DataFrame) -> DataFrame:
+def _keyed(one: DataFrame) -> DataFrame:
+    """rep, n, keys: a key for each band."""
+
     def run(batches):
         for b in batches:
             regs = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u2").reshape(-1, REGISTERS)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(regs) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(regs).ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), keys], names=["rep", "n", "keys"])
 
-    return one.select("rep", "n", "regs").mapInArrow(run, "rep long, n int, keys array<long>").select(F.explode("keys").alias("key"), "rep", "n")
+    return one.select("rep", "n", "regs").mapInArrow(run, "rep long, n int, keys array<long>")
 
 
 def _sizes_fit(a: str, b: str, percent: int):
@@ -148,7 +151,7 @@ def _links(pairs: DataFrame, one: DataFrame, sets: DataFrame, percent: int, labe
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -167,7 +170,8 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, label: str = "op8
     same = cut(every.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep")), f"{label}-same")
     one = every.join(same.select("digest", F.col("rep").alias("doc_id"), "rep"), ["digest", "doc_id"]).dropDuplicates(["rep", "digest"]).select("rep", "n", "regs")
     one = cut(one.dropDuplicates(["rep"]), f"{label}-one")
-    bands = _bands(one)
+    keyed = cut(_keyed(one), f"{label}-keys")
+    bands = keyed.select("rep", "n", F.posexplode("keys").alias("band", "key"))
     ends = bands.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("low"), F.max(F.struct("rep", "n")).alias("high")).filter("low.rep <> high.rep")
     met = cut(bands.join(ends, "key"), f"{label}-met")
     # the texts of those that met anyone are read once more, for their full sets
@@ -175,9 +179,12 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, label: str = "op8
 
     def set_of(batches):
         for ids, texts in chunks(batches, TEXT_BYTES):
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([s.tobytes() for s in shingle_sets(texts, k)], pa.binary())], names=["rep", "set"])
+            own = shingle_sets(texts, k)
+            ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64)))], names=["rep", "set"])
+        WORDS.clear()
 
-    sets = cut(docs.join(able, "doc_id", "left_semi").mapInArrow(set_of, "rep long, set binary").dropDuplicates(["rep"]), f"{label}-sets")
+    sets = cut(docs.join(able, "doc_id", "left_semi").mapInArrow(set_of, "rep long, set array<long>").dropDuplicates(["rep"]), f"{label}-sets")
 
     def merged(links: DataFrame) -> DataFrame:
         return cut(components(links, f"{label}-stars"), f"{label}-components")
@@ -203,12 +210,17 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, label: str = "op8
     pairs = pairs.join(at[0], "a", "left").join(at[1], "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     links = cut(links.unionByName(_links(pairs, one, sets, percent, label)), f"{label}-links")
     found = merged(links)
-    # then those still apart, bucket by bucket
-    left = cut(apart(placed(found)).select("key", "rep", "n", "component"), f"{label}-apart")
+    # then those still apart, bucket by bucket; a pair is judged in the first band that it shares, on the full sets, within the join,
+    # so what comes out are links alone, however many pairs a bucket has
+    left = apart(placed(found)).select("key", "band", "rep", "n", "component")
+    left = left.join(keyed.select("rep", "keys"), "rep").join(sets, "rep").withColumn("lower", F.slice("keys", F.lit(1), F.col("band"))).drop("keys")
+    left = cut(left.select("key", "rep", "n", "component", "lower", "set"), f"{label}-apart")
     x, y = left.alias("x"), left.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _sizes_fit("x.n", "y.n", percent)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    links = cut(links.unionByName(_links(cut(pairs, f"{label}-pairs"), one, sets, percent, label)), f"{label}-links")
-    found = merged(links)
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _sizes_fit("x.n", "y.n", percent)
+    both = F.size(F.array_intersect("x.set", "y.set")).cast("long")
+    linked = F.lit(100 + percent) * both >= F.lit(percent) * (F.col("x.n") + F.col("y.n")).cast("long")
+    late = x.join(y, meet & ~F.arrays_overlap("x.lower", "y.lower") & linked).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    found = merged(cut(links.unionByName(late), f"{label}-links"))
     out = every.join(same.select("digest", "rep"), "digest", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select(id_out(), F.col("n").cast("long").alias("n_shingles"), F.nullif(component, F.lit(NULL_ID)).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
