@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, id_out, plain
 
-TEXT_BYTES, BLOCK, CACHE = 1 << 20, 256, 400_000
+TEXT_BYTES, BLOCK, CACHE = 1 << 19, 256, 200_000
 #: White space as Unicode has it; what may follow an apostrophe in a contraction.
 SPACES = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 SHORT, LONG = "stmd", ("re", "ve", "ll")
@@ -210,6 +210,8 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
             rows = [(len(e) // 4, hashlib.sha256(e).hexdigest(), hashlib.sha256(own.decode(e)).hexdigest(), len(s)) for e, s in own.encode(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_slices"])
 
+        own.cache.clear()  # the worker may go on to other tasks
+
     out = plain(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_slices long")
     return out.withColumn("doc_id", id_out())
 
@@ -228,6 +230,7 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
             done = list(own.encode(texts))
             lists = [lists_of([np.frombuffer(e, "<i4") for e, _ in done]), lists_of([np.fromiter((a for a, _ in s), np.int32, len(s)) for _, s in done])]
             yield pa.RecordBatch.from_arrays([pa.array(ids), *lists], names=["doc_id", "ids", "offsets"])
+        own.cache.clear()
 
     return plain(docs).mapInArrow(run, "doc_id long, ids array<int>, offsets array<int>").withColumn("doc_id", id_out())
 

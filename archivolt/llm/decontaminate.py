@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, chunks, filtered, id_out, plain
 
-SEED, THRESHOLD, TEXT_BYTES, BLOCK_BYTES, CACHE = 5, 0.5, 4 << 20, 32 << 20, 500_000
+SEED, THRESHOLD, TEXT_BYTES, BLOCK_BYTES, CACHE = 5, 0.5, 1 << 20, 32 << 20, 150_000
 
 
 def words(text: bytes) -> list[bytes]:

@@ -17,7 +17,7 @@ class Features:
 
     def slots(self, words: list[bytes]) -> np.ndarray:
         cache, size = self.cache, self.size
-        if len(cache) > 500_000:
+        if len(cache) > 150_000:
             cache.clear()
         out = []
         for w in set(words):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from .common import id_out, plain
 from .repeats import covered, repeated_runs, with_runs
 
-WINDOW, GRAM, CACHE = 20, 8, 400_000
+WINDOW, GRAM, CACHE = 20, 8, 200_000
 
 
 class Hashes(dict):

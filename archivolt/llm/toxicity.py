@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, chunks, id_out, plain
 
-BITS, SAMPLE, FOLDS, TEXT_BYTES = 18, 12_000, 5, 4 << 20
+BITS, SAMPLE, FOLDS, TEXT_BYTES = 18, 12_000, 5, 1 << 20
 #: Words that mark a labelled toxic document as insulting a person, or as contempt of a thing.
 SEEDS = {
     "insult": ("idiot", "moron", "loser", "clown", "scum"),
@@ -42,7 +42,7 @@ class Words:
 
     def slots(self, words: list[bytes]) -> np.ndarray:
         cache, mask = self.cache, self.size - 1
-        if len(cache) > 300_000:
+        if len(cache) > 100_000:
             cache.clear()
         out: set[int] = set()
         for w in set(words):
