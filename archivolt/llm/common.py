@@ -84,6 +84,14 @@ def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[tuple[
         yield np.array(ids, np.int64), texts
 
 
+def smallest_hashes(rows: DataFrame, count: int, sample: int, *ties) -> DataFrame:
+    """The sample rows of smallest h (a 64-bit hash) among count rows.  A bound on h that about twice as many pass comes first, so what
+    is sorted doesn't grow with the table; hashes are uniform, so fewer than sample pass with a probability below 1e-9 for samples over a hundred."""
+    if count > 4 * sample and sample > 100:
+        rows = rows.filter(F.col("h") < -(2**63) + int(2**64 * (2 * sample / count)))
+    return rows.orderBy("h", *ties).limit(sample)
+
+
 def filtered(docs: DataFrame, make: Callable[[], Callable[[list[bytes]], np.ndarray]], max_bytes: int) -> DataFrame:
     """The rows of docs whose texts pass, all columns, without a shuffle. make: called once a task, for what says of texts which pass."""
     at = docs.columns.index("text")

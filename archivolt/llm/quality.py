@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, filtered, id_out, plain
+from .common import chunks, filtered, id_out, plain, smallest_hashes
 from .labels import Features, logistic, scores
 
-TEXT_BYTES, SAMPLE, THRESHOLD = 4 << 20, 8_000, 0.5
+TEXT_BYTES, SAMPLE, THRESHOLD = 1 << 20, 8_000, 0.5
 ABSTAIN, KEEP, REJECT = 0, 1, 2
 #: A measure, up to which value it counts as calm, and from which its labeller votes reject.
 MEASURES = (
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     patterns = (codes[:, None] // 3 ** np.arange(k)) % 3 if len(codes) else np.zeros((0, k), np.int64)
     good, accuracy = estimate(patterns, np.array([r[1] for r in found], float))
     posterior = dict(zip(codes.tolist(), good.tolist(), strict=True))
-    taken = docs.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", F.xxhash64("text")).limit(sample).select("doc_id", "text")
+    taken = smallest_hashes(docs.withColumn("h", F.xxhash64("doc_id")), sum(r[1] for r in found), sample, "doc_id", F.xxhash64("text")).select("doc_id", "text")
     rows = sorted((r[0], r[1], r[2]) for r in featured(taken).toLocalIterator())
     size = Features().size
     if not rows:
