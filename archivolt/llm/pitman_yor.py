@@ -2,17 +2,18 @@
 
 Each word is a context with a restaurant of its own; what follows the word are its customers, the words
 its dishes.  Its tables are customers of the restaurant all contexts share, whose base is uniform over the V
-known words and one for all others.  Seatings are sampled by Gibbs: sweep after sweep a customer of every dish
-gets up and sits down again, at a table of its dish by its size less the discount, or at a new one by what the context
-grants the parent's probability.  Predictions are averaged over the sweeps kept.
+known words and one for all others.  Seatings are sampled by Gibbs: in each sweep all customers of a dish get up and sit
+down again, that is, the number of their tables is drawn given their own number and what the context grants the parent's
+probability of the dish.  Sweeps are exchanges: the tables drawn are summed, the parent's are drawn, and the next sweep starts from
+them.  Predictions are averaged over the sweeps kept.
 
 Documents lie in blocks (BLOCK_BYTES of text).  A block's words and word pairs, counted, go to buckets by hash and
 come back as sums, so no table of the corpus is ever in one place:
 1. words and pairs: how often each occurs in training, and the first block that has a pair owns it;
 2. types: of each context and each dish, summed from owned pairs; they give the parent's first estimate;
-3. tables: the same from the owned pairs' seatings, and the parent's own seating;
+3. tables, in each sweep: the same from the owned pairs' draws, and the parent's own draws;
 4. scores, in the blocks.
-The draws depend on the pair's hash alone, so every block that has a pair sees the same seating.
+The draws depend on the pair's hash and the sweep alone, so every block that has a pair sees the same seating.
 
 Words are known by 64-bit hashes, pairs within their bucket by 48 bits of theirs.  Training documents are those whose crc32(doc_id as text) mod 7 isn't 2.
 
@@ -23,6 +24,7 @@ table gives an empty table; without training tokens every token has the probabil
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,7 +42,9 @@ BLOCK_BYTES, FOLDS, HELD = 5 << 20, 7, 2
 STRENGTH, DISCOUNT, SWEEPS, BURN = 1.0, 0.75, 6, 2
 END = np.uint64(0x1F0E1D2C3B4A5968)
 TOTAL = -1
-WORDS, PAIRS, TYPES, TABLES = range(4)
+WORDS, PAIRS, TYPES, OWNED, TABLES = range(5)  # TABLES + s are those of sweep s
+#: Up to EXACT customers of a dish the number of tables is drawn from its exact distribution; the axes of the table for more.
+EXACT, LOG_C, LOG_RATE = 64, np.arange(5.75, 40.3, 0.25), np.arange(-8.0, 16.1, 0.1)
 
 
 def squeezed(x: np.ndarray) -> bytes:
@@ -131,6 +135,17 @@ class Block:
         return out
 
 
+class Owned(Block):
+    """Of a block its words, and the pairs that it owns with their counts: what the sweeps need."""
+
+    def __init__(self, raw: bytes, buckets: int):
+        self.buckets = buckets
+        words, context, dish, count = split(raw)
+        self.words, self.context, self.dish = unsqueezed(words, np.uint64), unsqueezed(context, np.int32), unsqueezed(dish, np.int32)
+        self.count = unsqueezed(count, np.uint32).astype(np.int64)
+        self.hash = mix(self.words[self.context] * np.uint64(0x9E3779B97F4A7C15) + self.words[self.dish])
+
+
 def joined(columns: list[np.ndarray]) -> bytes:
     tail = [squeezed(c) for c in columns]
     return struct.pack(f"<q{len(tail)}q", len(tail), *map(len, tail)) + b"".join(tail)
@@ -163,42 +178,111 @@ def uniform(h: np.ndarray, draw: int) -> np.ndarray:
     return (mix(h + np.uint64(0x9E3779B97F4A7C15 * (draw + 1) % 2**64)) >> np.uint64(11)).astype(float) / 2.0**53
 
 
+def log_stirling(most: int) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers of c customers at t tables, [c, t], by their recursion."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0
+    for c in range(1, most):
+        t = np.arange(1, c + 1)
+        out[c + 1, 1 : c + 1] = np.log(c - DISCOUNT * t) + out[c, 1 : c + 1]
+        out[c + 1, 1 : c + 2] = np.logaddexp(out[c + 1, 1 : c + 2], out[c, : c + 1])
+    return out
+
+
+def moments(c: np.ndarray, grant: np.ndarray, nodes: int = 48) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of the number of tables of c customers, of weight grant^t * Stirling(c, t).  Their generating function in c is
+    exp(rate * (1 - (1 - z)^DISCOUNT)), rate = grant / DISCOUNT; its coefficients are integrals over z = exp(-w), w on a parabola around the cut."""
+    c, rate = np.asarray(c, float), np.asarray(grant, float) / DISCOUNT
+    lo, hi = np.full(c.shape, -60.0), np.full(c.shape, 6.0)
+    for _ in range(60):  # the saddle: rate * d * (1 - e^-w)^(d - 1) * e^-w = c
+        x = (lo + hi) / 2
+        w = np.exp(x)
+        up = np.log(rate * DISCOUNT) + (DISCOUNT - 1) * np.log(-np.expm1(-w)) - w > np.log(c)
+        lo, hi = np.where(up, x, lo), np.where(up, hi, x)
+    top = np.maximum(np.exp(lo), 6.0 / c)
+    u = (np.arange(nodes) + 0.5 - nodes / 2) * (2 * np.minimum(2.5, 8 / np.sqrt(c * top)) / nodes)[..., None]
+    w = top[..., None] * (1 + 1j * u) ** 2
+    near = np.abs(w.imag) < np.pi
+    tables = rate[..., None] * (1 - (1 - np.exp(-w)) ** DISCOUNT)
+    log = tables + c[..., None] * w
+    weight = np.where(near, np.exp(log - log.real.max(-1, keepdims=True)) * (1 + 1j * u), 0)
+    all_ = weight.sum(-1).real
+    mean = (weight * tables).sum(-1).real / all_
+    return mean, (weight * (tables - mean[..., None]) ** 2).sum(-1).real / all_ + mean
+
+
+@functools.cache
+def tabled() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stirling numbers up to EXACT; beyond, over log2(c) and log(rate / c^DISCOUNT): log of (mean - 1) / (rate * c / (rate + c)), and variance / (mean - 1)."""
+    at, x = np.meshgrid(LOG_C, LOG_RATE, indexing="ij")
+    c = 2.0**at
+    rate = np.exp(x) * c**DISCOUNT
+    mean, variance = (np.concatenate(y) for y in zip(*[moments(c[i : i + 16], DISCOUNT * rate[i : i + 16]) for i in range(0, len(c), 16)], strict=True))
+    return log_stirling(EXACT), np.log((mean - 1) * (rate + c) / (rate * c)), np.clip(variance / (mean - 1), 1e-6, 1)
+
+
+def looked_up(c: np.ndarray, grant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of the tables but one, between the points of the table; below them both are the rate."""
+    _, means, shares = tabled()
+    c, rate = c.astype(float), grant / DISCOUNT
+    place = lambda y, axis: np.clip((y - axis[0]) / (axis[1] - axis[0]), 0, len(axis) - 1.001)
+    i, j = place(np.log2(c), LOG_C), place(np.log(rate) - DISCOUNT * np.log(c), LOG_RATE)
+    a, b = i.astype(int), j.astype(int)
+    i, j = i - a, j - b
+    mixed = lambda y: (1 - i) * ((1 - j) * y[a, b] + j * y[a, b + 1]) + i * ((1 - j) * y[a + 1, b] + j * y[a + 1, b + 1])
+    mean = np.minimum(np.exp(mixed(means)) * rate * c / (rate + c), c - 1)
+    return mean, mean * mixed(shares)
+
+
+def binomial(u: np.ndarray, mean: np.ndarray, variance: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Draws of that mean and variance (smaller than the mean) between 0 and most: binomial, for means over 40 its normal limit with the skew."""
+    p = np.clip(1 - variance / mean, 1e-9, 1 - 1e-9)
+    n = mean / p
+    out = np.zeros(len(u))
+    big = mean > 40
+    if big.any():
+        v = 2 * np.minimum(u[big], 1 - u[big]) / 2
+        r = np.sqrt(-2 * np.log(np.maximum(v, 1e-17)))
+        z = r - (2.515517 + 0.802853 * r + 0.010328 * r * r) / (1 + 1.432788 * r + 0.189269 * r * r + 0.001308 * r**3)
+        z = np.where(u[big] < 0.5, -z, z)
+        out[big] = np.round(mean[big] + np.sqrt(variance[big]) * z + (1 - 2 * p[big]) * (z * z - 1) / 6)
+    live = np.flatnonzero(~big)
+    log, left, k = n[live] * np.log1p(-p[live]), u[live], 0
+    while len(live):
+        left = left - np.exp(log)
+        go = (left > 0) & (n[live] > k) & (k < 200)
+        live, left, log = live[go], left[go], log[go]
+        log = log + np.log((n[live] - k) / (k + 1)) + np.log(p[live] / (1 - p[live]))
+        k += 1
+        out[live] = k
+    return np.clip(out, 0, most)
+
+
+def drawn(h: np.ndarray, c: np.ndarray, grant: np.ndarray, sweep: int) -> np.ndarray:
+    """A draw of the number of tables of dishes with c customers each, all of whom sit down anew. grant: a new table's weight; h: what
+    the draw depends on.  Up to EXACT customers it's from the numbers' own distribution, beyond from the binomial of the same mean and variance
+    (the number of tables is a sum of independent yes-or-no draws, as the Stirling polynomials have real roots)."""
+    out = np.minimum(c, 1).astype(np.int64)
+    u, grant = uniform(h, sweep), np.maximum(grant, 1e-300)
+    stirling = tabled()[0]
+    few = np.flatnonzero((c > 1) & (c <= EXACT))
+    few = few[np.argsort(c[few], kind="stable")]
+    for same in np.split(few, np.flatnonzero(np.diff(c[few])) + 1):
+        for i in range(0, len(same), 1 << 14):
+            at = same[i : i + (1 << 14)]
+            k = int(c[at[0]])
+            log = stirling[k, 1 : k + 1] + np.log(grant[at])[:, None] * np.arange(k)
+            sums = np.cumsum(np.exp(log - log.max(1, keepdims=True)), axis=1)
+            out[at] = 1 + (u[at][:, None] * sums[:, -1:] > sums[:, :-1]).sum(1)
+    many = np.flatnonzero(c > EXACT)
+    if len(many):
+        out[many] = 1 + binomial(u[many], *looked_up(c[many], grant[many]), c[many] - 1).astype(np.int64)
+    return out
+
+
 def seated(h: np.ndarray, c: np.ndarray, grant: np.ndarray, sweeps: int = SWEEPS, burn: int = BURN) -> np.ndarray:
-    """The mean number of tables of dishes with c customers each. grant: a new table's weight; h: what the draws depend on.
-    DISCOUNT is three quarters, so a table's weight is (4 * size - 3) / 4 and sums are exact whatever lies beside."""
-    mean = np.minimum(c, 1).astype(float)
-    some = np.flatnonzero(c > 1)
-    if not len(some):
-        return mean
-    h, c, grant = h[some], c[some].astype(np.int64), grant[some]
-    slots = np.clip(np.round(grant * np.log1p(c / np.maximum(grant, 1e-12))), 1, c).astype(np.int64)
-    first = np.cumsum(slots) - slots
-    rank = np.arange(int(slots.sum())) - np.repeat(first, slots)
-    size = np.repeat(c // slots, slots) + (rank < np.repeat(c % slots, slots))
-    total = np.zeros(len(c))
-    base = np.cumsum(c) - c
-    for s in range(sweeps):
-        up = np.searchsorted(np.cumsum(size), base + (uniform(h, 2 * s) * c).astype(np.int64), "right")
-        size[up] -= 1
-        weight = np.where(size > 0, 4 * size - 3, 0)
-        sums = np.cumsum(weight)
-        own = np.add.reduceat(weight, first)
-        draw = uniform(h, 2 * s + 1) * (own / 4 + grant)
-        new = draw * 4 >= own
-        old = np.flatnonzero(~new)
-        to = np.searchsorted(sums, sums[first[old]] - weight[first[old]] + (draw[old] * 4).astype(np.int64), "right")
-        size[to] += 1
-        empty = size[up] == 0
-        again = np.flatnonzero(new & empty)
-        size[up[again]] = 1
-        more = np.flatnonzero(new & ~empty)
-        size = np.insert(size, first[more] + slots[more], 1)
-        slots[more] += 1
-        first = np.cumsum(slots) - slots
-        if s >= burn:
-            total += np.add.reduceat((size > 0).astype(np.int64), first)
-    mean[some] = total / (sweeps - burn)
-    return mean
+    """The mean number of tables over the sweeps kept, under grants that stay."""
+    return np.mean([drawn(h, c, grant, s) for s in range(burn, sweeps)], axis=0)
 
 
 def parent_probability(customers: np.ndarray, tables: np.ndarray, all_customers: float, all_tables: float, v: int) -> np.ndarray:
@@ -211,15 +295,15 @@ SENT = "bucket int, block long, kind int, payload binary"
 BACK = "block long, bucket int, kind int, payload binary"
 
 
-def answer(kind: int, frame: pd.DataFrame, v: int) -> Iterator[tuple[int, int, int, bytes]]:
+def answer(kind: int, frame: pd.DataFrame, v: int, last_tables: float) -> Iterator[tuple[int, int, int, bytes]]:
     """What a bucket returns to the blocks: sums by hash, and totals to the driver."""
-    dtypes = {WORDS: [np.uint32], PAIRS: [np.uint32], TYPES: [np.uint32, np.uint32], TABLES: [np.float32, np.float32]}[kind]
+    dtypes = [np.uint32] if kind in (WORDS, PAIRS) else [np.uint32, np.uint32]
     bucket = int(frame.bucket.iloc[0])
     frame = frame.sort_values("block")
     sent = [received(kind, p, dtypes) for p in frame.payload]
     lens = [len(h) for h, _ in sent]
     h = np.concatenate([x for x, _ in sent])
-    columns = [np.concatenate([c[i] for _, c in sent]).astype(float if kind == TABLES else np.int64) for i in range(len(dtypes))]
+    columns = [np.concatenate([c[i] for _, c in sent]).astype(np.int64) for i in range(len(dtypes))]
     each, at = np.unique(h, return_inverse=True)
     sums = [np.bincount(at, c, len(each)) for c in columns]
     if kind == PAIRS:
@@ -233,9 +317,9 @@ def answer(kind: int, frame: pd.DataFrame, v: int) -> Iterator[tuple[int, int, i
     elif kind == TYPES:
         back, totals = [s.astype(np.uint32)[at] for s in sums], [sums[1].sum()]
     else:
-        customers = np.maximum(np.round(sums[1]), 0).astype(np.int64)
-        tables = seated(each, customers, np.full(len(each), (STRENGTH + DISCOUNT * v) / (v + 1)))
-        back, totals = [sums[0].astype(np.float32)[at], sums[1].astype(np.float32)[at], tables.astype(np.float32)[at]], [sums[1].sum(), tables.sum()]
+        customers = sums[1].astype(np.int64)
+        tables = drawn(each, customers, np.full(len(each), (STRENGTH + DISCOUNT * last_tables) / (v + 1)), kind - TABLES)
+        back, totals = [x.astype(np.uint32)[at] for x in (sums[0], customers, tables)], [customers.sum(), tables.sum()]
     ends = np.cumsum(lens)
     for b, n, e in zip(frame.block.tolist(), lens, ends.tolist(), strict=True):
         yield b, bucket, kind, joined([x[e - n : e] for x in back])
@@ -258,77 +342,85 @@ def language_model(docs: DataFrame) -> DataFrame:
                     sent = list(b.send(kind, h, [np.bincount(by[b.trained], minlength=n).astype(np.uint32)]))
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sent], pa.int32()), pa.array([row["block"]] * len(sent)), pa.array([kind] * len(sent), pa.int32()), pa.array([x[2] for x in sent], pa.binary())], names=["bucket", "block", "kind", "payload"])
 
-    def reduced(sent: DataFrame, label: str, v: int = 0) -> tuple[DataFrame, np.ndarray]:
+    def reduced(sent: DataFrame, label: str, v: int = 0, last_tables: float = 0.0) -> tuple[DataFrame, np.ndarray]:
         def run(frame):
-            rows = [r for kind, own in frame.groupby("kind") for r in answer(int(kind), own, v)]
+            rows = [r for kind, own in frame.groupby("kind") for r in answer(int(kind), own, v, last_tables)]
             return pd.DataFrame(rows, columns=["block", "bucket", "kind", "payload"])
 
         out = cut(sent.groupBy("bucket").applyInPandas(run, BACK), f"op6-{label}")
         totals = [np.frombuffer(r[0]) for r in out.filter(f"block = {TOTAL}").select("payload").collect()]
         return out.filter(f"block <> {TOTAL}"), np.sum([t for t in totals if len(t)], axis=0) if totals else np.zeros(2)
 
-    def with_answers(answers: DataFrame, f, schema: str) -> DataFrame:
+    def with_answers(base: DataFrame, answers: DataFrame, f, schema: str) -> DataFrame:
         def run(one, many):
             if not len(one):
                 return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
             r = one.iloc[0]
-            b = Block(r["ids"], r["lens"], r["tokens"], r["words"], buckets)
+            b = Owned(r["payload"], buckets) if "payload" in one else Block(r["ids"], r["lens"], r["tokens"], r["words"], buckets)
             got: dict[int, dict[int, bytes]] = {}
             for k, u, p in zip(many.kind, many.bucket, many.payload, strict=True):
                 got.setdefault(int(k), {})[int(u)] = p
             return f(int(r["block"]), b, got)
 
-        return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
+        return base.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
 
     def sent_frame(block: int, sent) -> pd.DataFrame:
         rows = [(x, block, kind, p) for x, kind, p in sent]
         return pd.DataFrame(rows, columns=["bucket", "block", "kind", "payload"])
 
-    answers, totals = reduced(blocks.mapInArrow(first, SENT), "counts")
+    counts, totals = reduced(blocks.mapInArrow(first, SENT), "counts")
     n, v = int(totals[0]), int(totals[1])
 
     def types(block, b, got):
-        _, owner = b.receive(b.hash, got[PAIRS], [np.uint32, np.uint8])
-        own = owner > 0
-        return sent_frame(block, b.send(TYPES, b.words, [np.bincount(x[own], minlength=len(b.words)).astype(np.uint32) for x in (b.context, b.dish)]))
-
-    more, totals = reduced(with_answers(answers, types, SENT), "types")
-    all_types = float(totals[0])
-    answers = answers.unionByName(more)
-
-    def seating(b, got, only_own: bool):
-        """Counts and mean tables of the pairs."""
         c, owner = b.receive(b.hash, got[PAIRS], [np.uint32, np.uint8])
-        by_context, by_dish = b.receive(b.words, got[TYPES], [np.uint32, np.uint32])
-        parent = parent_probability(by_dish.astype(float), np.minimum(by_dish, 1), all_types, v, v)
-        grant = (STRENGTH + DISCOUNT * by_context[b.context]) * parent[b.dish]
-        if not only_own:
-            return c, seated(b.hash, c.astype(np.int64), grant)
-        own = np.flatnonzero(owner)
-        out = np.zeros(len(c))
-        out[own] = seated(b.hash[own], c[own].astype(np.int64), grant[own])
-        return c, out
-
-    def tables(block, b, got):
-        _, t = seating(b, got, True)
-        return sent_frame(block, b.send(TABLES, b.words, [np.bincount(x, t, len(b.words)).astype(np.float32) for x in (b.context, b.dish)]))
-
-    more, totals = reduced(with_answers(answers, tables, SENT), "tables", v)
-    all_customers, all_tables = float(totals[0]), float(totals[1])
-    answers = answers.unionByName(more)
+        own = owner > 0
+        owned = joined([b.words, b.context[own], b.dish[own], c[own]])
+        return sent_frame(block, [*b.send(TYPES, b.words, [np.bincount(x[own], minlength=len(b.words)).astype(np.uint32) for x in (b.context, b.dish)]), (-1, OWNED, owned)])
+
+    sent = cut(with_answers(blocks, counts.filter(f"kind = {PAIRS}"), types, SENT), "op6-owned")
+    owned = sent.filter(f"kind = {OWNED}").select("block", "payload")
+    last, totals = reduced(sent.filter(f"kind = {TYPES}"), "types")
+
+    def grants(b, got, s: int, all_customers: float, all_tables: float):
+        """Of the pairs: what their contexts grant a new table, after s sweeps; of the contexts, their tables; and the dishes' probabilities."""
+        if s:
+            by_context, customers, tables = b.receive(b.words, got[TABLES + s - 1], [np.uint32] * 3)
+        else:
+            by_context, customers = b.receive(b.words, got[TYPES], [np.uint32, np.uint32])
+            tables = np.minimum(customers, 1)
+        parent = parent_probability(customers.astype(float), tables.astype(float), all_customers, all_tables, v)
+        return (STRENGTH + DISCOUNT * by_context[b.context].astype(float)) * parent[b.dish]
+
+    def swept(s: int, all_customers: float, all_tables: float):
+        def tables(block, b, got):
+            t = drawn(b.hash, b.count, grants(b, got, s, all_customers, all_tables), s)
+            return sent_frame(block, b.send(TABLES + s, b.words, [np.bincount(x, t, len(b.words)).astype(np.uint32) for x in (b.context, b.dish)]))
+
+        return tables
+
+    # each sweep starts from the tables of the one before
+    state = [(float(totals[0]), float(v))]
+    kept = counts
+    for s in range(SWEEPS):
+        last, totals = reduced(with_answers(owned, last, swept(s, *state[-1]), SENT), f"tables-{s}", v, state[-1][1])
+        state.append((float(totals[0]), float(totals[1])))
+        if s >= BURN - 1:
+            kept = kept.unionByName(last)
 
     def scored(block, b, got):
         (count,) = b.receive(b.words, got[WORDS], [np.uint32])
-        c, t = seating(b, got, False)
-        by_context, customers, own_tables = b.receive(b.words, got[TABLES], [np.float32] * 3)
-        parent = parent_probability(customers.astype(float), own_tables.astype(float), all_customers, all_tables, v)
+        c = b.receive(b.hash, got[PAIRS], [np.uint32, np.uint8])[0].astype(np.int64)
         room = STRENGTH + count[b.context].astype(float)
-        p = (np.maximum(c - DISCOUNT * t, 0) + (STRENGTH + DISCOUNT * by_context[b.context]) * parent[b.dish]) / room
+        grant, p = grants(b, got, BURN, *state[BURN]), 0.0
+        for s in range(BURN, SWEEPS):
+            t = drawn(b.hash, c, grant, s)
+            grant = grants(b, got, s + 1, *state[s + 1])
+            p = p + (np.maximum(c - DISCOUNT * t, 0) + grant) / room / (SWEEPS - BURN)
         owner = np.repeat(np.arange(len(b.ids)), b.lens)
         base = np.log10((count.astype(float) + 1) / (n + v + 1))
         score = np.bincount(owner, np.log10(p)[b.pair], len(b.ids))
         known = np.bincount(owner, (count > 0)[b.tokens], len(b.ids))
         return pd.DataFrame({"doc_id": b.ids, "held_out": b.held, "n_tokens": b.lens, "n_known": known.astype(np.int64), "train_tokens": np.full(len(b.ids), n), "base_score": np.bincount(owner, base[b.tokens], len(b.ids)), "score": score, "perplexity": 10 ** (-score / b.lens)})
 
-    out = with_answers(answers, scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    out = with_answers(blocks, kept, scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
     return out.withColumn("doc_id", id_out())

@@ -309,3 +309,46 @@ def test_seating():
     # weights of seatings: a new table costs the grant, customer m of a table m - 1 - d
     one, two, three = (1 - d) * (2 - d), 3 * grant * (1 - d), grant * grant
     assert abs(got - (one + 2 * two + 3 * three) / (one + two + three)) < 0.05
+
+
+def test_seating_of_many():
+    """Production sweeps of dishes with many customers against the exact numbers of tables."""
+    h = np.random.default_rng(5).integers(0, 2**63, 4_000).astype(np.uint64)
+    log = pitman_yor.log_stirling(3_000)
+    for c, grant in ((40, 5.0), (65, 0.1), (100, 50.0), (1_000, 50.0), (3_000, 5.0), (3_000, 500.0)):
+        t = np.arange(1, c + 1)
+        w = np.exp(log[c, 1 : c + 1] + np.log(grant) * t - (log[c, 1 : c + 1] + np.log(grant) * t).max())
+        mean = (w * t).sum() / w.sum()
+        var = (w * (t - mean) ** 2).sum() / w.sum()
+        got = pitman_yor.drawn(h, np.full(len(h), c), np.full(len(h), grant), 1)
+        assert abs(got.mean() - mean) < 0.1 * var**0.5 and abs(got.var() / var - 1) < 0.1, (c, grant)
+        assert abs(pitman_yor.seated(h, np.full(len(h), c), np.full(len(h), grant)).mean() - mean) < 0.1 * var**0.5
+    got = pitman_yor.drawn(h, np.full(len(h), 10**6), np.full(len(h), 5.0), 1)
+    assert abs(got.mean() - (1 + 5 / pitman_yor.DISCOUNT)) < 0.2  # the limit: one and a Poisson number
+
+
+def test_sweeps_feed_the_parent(spark):
+    """Scores against one plain sampler over the whole corpus, whose sweeps start from the tables of the one before."""
+    p = pitman_yor
+    texts = [(i, " ".join(rnd.choices(["a", "b", "c", f"r{i % 9}"], k=200))) for i in range(60)]
+    got = {r.doc_id: r.score for r in p.language_model(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()}
+    rows = {i: [b""] + t.encode().split() + [b""] for i, t in texts}
+    pairs = sorted({x for w in rows.values() for x in zip(w, w[1:], strict=False)})
+    words = sorted({w for x in pairs for w in x})
+    name = np.array([int(p.END) if not w else p.xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    u, w = (np.array([words.index(x[i]) for x in pairs]) for i in (0, 1))
+    h = p.mix(name[u] * np.uint64(0x9E3779B97F4A7C15) + name[w])
+    c = np.array([sum(list(zip(r, r[1:], strict=False)).count(x) for i, r in rows.items() if not p.is_held(i)) for x in pairs])
+    total = lambda x, by: np.bincount(by, x, len(words))
+    tables, v = np.minimum(c, 1), int((total(c, w) > 0).sum())
+    own, prob = np.minimum(total(tables, w), 1), 0.0
+    for s in range(p.SWEEPS + 1):
+        by, at = total(tables, u), total(tables, w)
+        grant = (p.STRENGTH + p.DISCOUNT * by[u]) * p.parent_probability(at, own, at.sum(), own.sum(), v)[w]
+        if s > p.BURN:
+            prob = prob + (np.maximum(c - p.DISCOUNT * tables, 0) + grant) / (p.STRENGTH + total(c, w)[u]) / (p.SWEEPS - p.BURN)
+        tables = p.drawn(h, c, grant, s)
+        own = p.drawn(name, total(tables, w).astype(int), np.full(len(words), (p.STRENGTH + p.DISCOUNT * own.sum()) / (v + 1)), s)
+    log = {x: math.log10(y) for x, y in zip(pairs, prob, strict=True)}
+    for i, r in rows.items():
+        assert abs(got[i] - sum(log[x] for x in zip(r, r[1:], strict=False))) < 0.05, i
