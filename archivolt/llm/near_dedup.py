@@ -16,7 +16,8 @@ the join that brings them together.  Links within a component can't change it, s
 
 Defined cases: null and empty texts have no shingles, are in a component of their own and link with
 nothing; texts of fewer than k words have one shingle, all their words; a null doc_id counts as the smallest and comes out
-as null; rows that repeat an id come out repeated; other columns are ignored; an empty table gives an empty table.
+as null; rows that repeat an id come out repeated, each judged by its own text: of several texts that have a component's smallest id
+the one of smallest MD5 is kept; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -104,7 +105,7 @@ def possible(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, thr
 
 
 def sketched(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, digest (of the set), n, regs."""
+    """doc_id, digest (of the set), n, regs, text_md5."""
 
     def run(batches):
         for ids, texts in chunks(batches, TEXT_BYTES):
@@ -112,12 +113,12 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
             some = [s for s in sets if len(s)]
             regs = iter(registers(some) if some else [])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([next(regs).tobytes() if len(s) else None for s in sets], pa.binary())],
-                names=["doc_id", "digest", "n", "regs"],
+                [pa.array(ids), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([next(regs).tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([hashlib.md5(t).digest() for t in texts], pa.binary())],
+                names=["doc_id", "digest", "n", "regs", "text_md5"],
             )
         WORDS.clear()
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, n int, regs binary")
+    return docs.mapInArrow(run, "doc_id long, digest binary, n int, regs binary, text_md5 binary")
 
 
 def _keyed(one: DataFrame) -> DataFrame:
@@ -165,17 +166,24 @@ def _links(pairs: DataFrame, one: DataFrame, sets: DataFrame, percent: int, labe
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, label: str = "op8") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a link is 100 * intersection >= percent * union of two sets of k-word shingles."""
+    return near_judged(docs, k, percent, label).drop("text_md5")
+
+
+def near_judged(docs: DataFrame, k: int = 5, percent: int = 80, label: str = "op8") -> DataFrame:
+    """near_dedup's columns, and the text's MD5, which tells rows that share an id apart."""
     docs = plain(docs)
     every = cut(sketched(docs, k), f"{label}-sketches")
-    same = cut(every.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep")), f"{label}-same")
-    one = every.join(same.select("digest", F.col("rep").alias("doc_id"), "rep"), ["digest", "doc_id"]).dropDuplicates(["rep", "digest"]).select("rep", "n", "regs")
-    one = cut(one.dropDuplicates(["rep"]), f"{label}-one")
+    # a set is a node, whatever ids its rows have; nodes are numbered as they are written
+    same = every.filter("n > 0").groupBy("digest", "n").agg(F.min(F.struct("doc_id", "text_md5")).alias("first"))
+    same = cut(same.withColumn("rep", F.monotonically_increasing_id()), f"{label}-same")
+    one = every.join(same.select("digest", "first.doc_id", "first.text_md5", "rep"), ["digest", "doc_id", "text_md5"]).dropDuplicates(["rep"]).select("rep", "n", "regs")
+    one = cut(one, f"{label}-one")
     keyed = cut(_keyed(one), f"{label}-keys")
     bands = keyed.select("rep", "n", F.posexplode("keys").alias("band", "key"))
     ends = bands.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("low"), F.max(F.struct("rep", "n")).alias("high")).filter("low.rep <> high.rep")
     met = cut(bands.join(ends, "key"), f"{label}-met")
     # the texts of those that met anyone are read once more, for their full sets
-    able = met.select(F.col("rep").alias("doc_id")).distinct()
+    able = met.select("rep").distinct().join(same.select("rep", "first.doc_id", "first.text_md5"), "rep")
 
     def set_of(batches):
         for ids, texts in chunks(batches, TEXT_BYTES):
@@ -184,13 +192,13 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, label: str = "op8
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own).view(np.int64)))], names=["rep", "set"])
         WORDS.clear()
 
-    sets = cut(docs.join(able, "doc_id", "left_semi").mapInArrow(set_of, "rep long, set array<long>").dropDuplicates(["rep"]), f"{label}-sets")
+    sets = cut(docs.withColumn("text_md5", F.unhex(F.md5("text"))).join(able, ["doc_id", "text_md5"]).select("rep", "text").mapInArrow(set_of, "rep long, set array<long>").dropDuplicates(["rep"]), f"{label}-sets")
 
     def merged(links: DataFrame) -> DataFrame:
         return cut(components(links, f"{label}-stars"), f"{label}-components")
 
     def placed(to: DataFrame) -> DataFrame:
-        """met with each document's component."""
+        """met with each set's component."""
         return met.join(to.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
     def apart(rows: DataFrame) -> DataFrame:
@@ -221,6 +229,9 @@ def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, label: str = "op8
     linked = F.lit(100 + percent) * both >= F.lit(percent) * (F.col("x.n") + F.col("y.n")).cast("long")
     late = x.join(y, meet & ~F.arrays_overlap("x.lower", "y.lower") & linked).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     found = merged(cut(links.unionByName(late), f"{label}-links"))
-    out = every.join(same.select("digest", "rep"), "digest", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return out.select(id_out(), F.col("n").cast("long").alias("n_shingles"), F.nullif(component, F.lit(NULL_ID)).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    place = same.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "first", F.coalesce("component", "rep").alias("component"))
+    least = place.groupBy("component").agg(F.min("first").alias("least"))
+    out = every.join(place.join(least, "component").select("digest", "least"), "digest", "left")
+    component = F.coalesce("least.doc_id", "doc_id")
+    kept = F.coalesce((F.col("doc_id") == F.col("least.doc_id")) & (F.col("text_md5") == F.col("least.text_md5")), F.lit(True))
+    return out.select(id_out(), F.col("n").cast("long").alias("n_shingles"), F.nullif(component, F.lit(NULL_ID)).alias("component_id"), kept.alias("kept"), "text_md5")

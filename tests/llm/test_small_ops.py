@@ -352,3 +352,15 @@ def test_sweeps_feed_the_parent(spark):
     log = {x: math.log10(y) for x, y in zip(pairs, prob, strict=True)}
     for i, r in rows.items():
         assert abs(got[i] - sum(log[x] for x in zip(r, r[1:], strict=False))) < 0.05, i
+
+
+def test_near_by_set_not_by_id(spark):
+    """Several texts under a null id and under one reused id: each is searched for its own copies."""
+    base = [" ".join(f"w{j}x{i}" for i in range(60)) for j in range(4)]
+    near = [b + " more" for b in base]
+    rows = [(None, base[0]), (None, base[1]), (7, base[2]), (7, base[3]), (8, near[2]), (9, near[3]), (10, near[0]), (11, near[1]), (None, near[1]), (None, ""), (None, None)]
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    by = {(r.doc_id, r.component_id) for r in got if r.doc_id is not None}
+    assert by == {(7, 7), (8, 7), (9, 7), (10, None), (11, None)}
+    assert sorted(r.doc_id for r in got if r.kept and r.doc_id is not None) == [7, 7]
+    assert sum(r.kept for r in got if r.doc_id is None) == 4  # one of base[1] and near[1]; the empty ones
