@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize, structured_parts
+
 FOUND, AMBIGUOUS, NOT_FOUND = "Matched", "Ambiguous", "NotFound"
 
 
@@ -74,17 +76,28 @@ def user_first(user: DataFrame, public: DataFrame, keys: list[str]) -> DataFrame
     return r.select(*keys, F.when(none, F.coalesce("_s", F.lit(NOT_FOUND))).otherwise(F.col("status")).alias("status"), F.when(none, F.col("_e")).otherwise(F.col("entity_id")).alias("entity_id"), F.when(none, "public").otherwise("user").alias("library"))
 
 
-def structured_entities(queries: DataFrame, groups: DataFrame, artists: DataFrame, relation: DataFrame, key: str) -> DataFrame:
-    """Key, status, artist_id: artists of the creator's name that belong to a group of the society's name; a tie goes to the one whose
-    aliases hold more of the creator's norms, at least two.  queries: key, society, creator (norms).  groups: norm, group_id.  artists: norm, artist_id."""
-    g = queries.select(key, F.col("society").alias("norm")).distinct().join(groups, "norm").select(key, "group_id").distinct()
-    a = queries.select(key, F.col("creator").alias("norm")).distinct().join(artists, "norm").groupBy(key, "artist_id").agg(F.countDistinct("norm").alias("_norms"))
-    hit = a.join(relation.select("artist_id", "group_id"), "artist_id").join(g, [key, "group_id"], "left_semi").groupBy(key, "artist_id").agg(F.max("_norms").alias("_norms"))
-    top = hit.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max("_norms").alias("_top"), F.min("artist_id").alias("_one"))
-    best = hit.join(top, key).filter(F.col("_norms") == F.col("_top")).groupBy(key).agg(F.count(F.lit(1)).alias("_ties"), F.min("artist_id").alias("_best"))
-    r = top.join(best, key)
-    sure = (F.col("_n") == 1) | (F.col("_ties") == 1) & (F.col("_top") >= 2)
-    return r.select(key, F.when(sure, FOUND).otherwise(AMBIGUOUS).alias("status"), F.when(F.col("_n") == 1, F.col("_one")).when(sure, F.col("_best")).alias("artist_id"))
+def structured_entities(queries: DataFrame, groups: DataFrame, artists: DataFrame, relation: DataFrame, key: str, aliases: DataFrame) -> DataFrame:
+    """Key, status, artist_id: artists of the creator's name that belong to a group of the society's name.  A tie goes to the only one with
+    an alias "society (creator)" whose society is a norm of the query's or of its groups; else to the one whose aliases contain more of the
+    creator's norms (of two characters or more), at least two.  queries: key, society, creator (norms).  groups: norm, group_id.  artists: norm,
+    artist_id.  aliases: artist_id, alias (as written)."""
+    society = queries.select(key, F.col("society").alias("norm")).distinct()
+    g = society.join(groups, "norm").select(key, "group_id").distinct()
+    a = queries.select(key, F.col("creator").alias("norm")).distinct().join(artists, "norm").select(key, "artist_id").distinct()
+    hit = a.join(relation.select("artist_id", "group_id"), "artist_id").join(g, [key, "group_id"], "left_semi").select(key, "artist_id").distinct()
+    top = hit.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("artist_id").alias("_one"))
+    ties = hit.join(top.filter("_n > 1").select(key), key, "left_semi")
+    context = society.unionByName(g.join(groups, "group_id").select(key, "norm")).distinct()
+    written = aliases.select("artist_id", normalize(structured_parts("alias", compat=False)["society"], compat=False).alias("norm")).filter("norm <> ''").distinct()
+    structured = ties.join(written, "artist_id").join(context, [key, "norm"], "left_semi").groupBy(key).agg(F.countDistinct("artist_id").alias("_sn"), F.min("artist_id").alias("_s"))
+    names = aliases.select("artist_id", normalize("alias", compat=False).alias("_alias")).distinct()
+    evidence = queries.select(key, "creator").filter(F.length("creator") >= 2).distinct()
+    score = ties.join(names, "artist_id").join(evidence, key).filter(F.contains("_alias", F.col("creator"))).groupBy(key, "artist_id").agg(F.countDistinct("creator").alias("_norms"))
+    most = score.groupBy(key).agg(F.max("_norms").alias("_top"))
+    best = score.join(most, key).filter("_norms = _top AND _top >= 2").groupBy(key).agg(F.count(F.lit(1)).alias("_ties"), F.min("artist_id").alias("_best"))
+    r = top.join(structured, key, "left").join(best, key, "left")
+    artist = F.when(F.col("_n") == 1, F.col("_one")).when(F.col("_sn") == 1, F.col("_s")).when(F.col("_ties") == 1, F.col("_best"))
+    return r.select(key, F.when(artist.isNotNull(), FOUND).otherwise(AMBIGUOUS).alias("status"), artist.alias("artist_id"))
 
 
 def overlaid(entity: DataFrame, alias: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:

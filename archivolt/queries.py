@@ -332,7 +332,7 @@ def resolve_structured(spark, d):
     s = t(spark, d, "supplier")
     groups = s.select(F.col("s_nationkey").cast("string").alias("norm"), F.col("s_nationkey").alias("group_id")).distinct()
     artists = s.select((F.col("s_suppkey") % 40).cast("string").alias("norm"), F.col("s_suppkey").alias("artist_id"))
-    return resolve.structured_entities(q, groups, artists, s.select(F.col("s_suppkey").alias("artist_id"), F.col("s_nationkey").alias("group_id")), "id")
+    return resolve.structured_entities(q, groups, artists, s.select(F.col("s_suppkey").alias("artist_id"), F.col("s_nationkey").alias("group_id")), "id", s.select(F.col("s_suppkey").alias("artist_id"), F.col("s_name").alias("alias")))
 
 
 @query("""WITH n AS (SELECT DISTINCT c_mktsegment AS kind, CAST(c_custkey % 300 AS VARCHAR) AS norm FROM customer),

@@ -482,3 +482,15 @@ def test_sinks(spark, tmp_path):
     assert writers.upsert(df, spark.range(3, 8), ["id"]).count() == 8
     writers.history(df, df, str(tmp_path / "h"))
     assert spark.read.option("header", True).csv(str(tmp_path / "h" / "items")).count() == 5
+
+
+def test_structured_ties(spark):
+    """A tie by a structured alias, one by norms within aliases, one that neither settles."""
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    queries = frame([(1, "circle", "pen"), (2, "ring", "ann"), (2, "ring", "bob"), (3, "ring", "ann"), (4, "circle", "solo")], "id int, society string, creator string")
+    groups = frame([("circle", 10), ("kreis", 10), ("ring", 20)], "norm string, group_id int")
+    artists = frame([("pen", 1), ("pen", 2), ("ann", 3), ("ann", 4), ("solo", 5)], "norm string, artist_id int")
+    relation = frame([(1, 10), (2, 10), (3, 20), (4, 20), (5, 10)], "artist_id int, group_id int")
+    aliases = frame([(1, "Other (pen)"), (2, "Kreis (pen)"), (3, "Ann-Marie & Bobby"), (4, "Annabel")], "artist_id int, alias string")
+    got = sorted(tuple(r) for r in resolve.structured_entities(queries, groups, artists, relation, "id", aliases).collect())
+    assert got == [(1, "Matched", 2), (2, "Matched", 3), (3, "Ambiguous", None), (4, "Matched", 5)]
