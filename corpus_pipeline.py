@@ -5,25 +5,25 @@ Rows that a stage keeps are whole rows of documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.llm.bpe import bpe_encode
 from archivolt.llm.common import NULL_ID, cut, read
 from archivolt.llm.decontaminate import decontamination_filter
 from archivolt.llm.exact_dedup import exact_dedup
-from archivolt.llm.near_dedup import near_dedup
+from archivolt.llm.near_dedup import near_judged
 from archivolt.llm.quality import quality_filter
 from archivolt.llm.queries import tokenizer_path
 
 WORDS, SIMILARITY = 5, 80
 
 
-def _kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """Whole rows of docs, one for each doc_id that judged keeps: one exchange of docs serves the join and the removal of repeated rows."""
+def _kept(docs: DataFrame, judged: DataFrame, digest: str, of_text: Column) -> DataFrame:
+    """Whole rows of docs that judged keeps, by doc_id and the digest of the text (of_text in docs); only rows that repeat both are removed."""
     key = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
-    ids = judged.filter("kept").select(key.alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(ids, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    kept = judged.filter("kept").select(key.alias("_key"), F.col(digest).alias("_digest")).distinct()
+    return docs.withColumn("_key", key).withColumn("_digest", of_text).join(kept, ["_key", "_digest"], "left_semi").dropDuplicates(["_key", "_digest"]).select(docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +33,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one of largest doc_id."""
-    return _kept(docs, exact_dedup(docs))
+    return _kept(docs, exact_dedup(docs), "text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates (five-word shingles, similarity of 0.8 or more) the one of smallest doc_id."""
-    return _kept(docs, near_dedup(docs, WORDS, SIMILARITY, "pipeline-near"))
+    return _kept(docs, near_judged(docs, WORDS, SIMILARITY, "pipeline-near"), "text_md5", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,3 +81,14 @@ def test_planted_cases(spark):
     judged = {r.doc_id: r.keep for r in queries.op2_quality(spark, DATA).collect()}
     assert all(judged[d] for d, r in labels.items() if r.quality == 1)
     assert sum(not judged[d] for d, r in labels.items() if r.quality == 0) >= 0.8 * sum(r.quality == 0 for r in labels.values())
+
+
+def test_stages_keep_texts_that_share_an_id(spark):
+    """Null and reused ids with different texts: only rows equal in both, and those judged copies, go."""
+    text = [" ".join(f"w{j}x{i}" for i in range(60)) for j in range(5)]
+    rows = [(None, text[0], "a"), (None, text[1], "b"), (None, text[1], "b"), (3, text[2], "c"), (3, text[3], "d"), (3, text[0], "e"), (2, text[3], "f"), (4, None, "g"), (None, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    exact = sorted(corpus_pipeline.exact_stage(spark, docs, "").collect(), key=str)
+    assert {r.source for r in exact} == {"b", "c", "d", "e", "g"} and len(exact) == 5
+    near = sorted(corpus_pipeline.near_stage(spark, docs, "").collect(), key=str)
+    assert {r.source for r in near} == {"a", "b", "c", "f", "g", "h"} and len(near) == 6
