@@ -222,12 +222,15 @@ def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (array of int), offsets (array of int: each slice's first byte): what training reads."""
+    """doc_id, ids (array of int), offsets (array of int: each slice's first byte): what training reads.  Ids are decoded in the same pass; it fails if they don't give the text."""
 
     def run(batches):
         own = tokenizer(path)
         for ids, texts in chunks(batches, TEXT_BYTES):
             done = list(own.encode(texts))
+            for i, t, (e, _) in zip(ids.tolist(), texts, done, strict=True):
+                if (back := own.decode(e)) != t and back != t.decode("utf-8", "replace").encode():
+                    raise ValueError(f"the ids of document {i} don't decode to its text")
             lists = [lists_of([np.frombuffer(e, "<i4") for e, _ in done]), lists_of([np.fromiter((a for a, _ in s), np.int32, len(s)) for _, s in done])]
             yield pa.RecordBatch.from_arrays([pa.array(ids), *lists], names=["doc_id", "ids", "offsets"])
         own.cache.clear()

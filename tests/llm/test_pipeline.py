@@ -92,3 +92,15 @@ def test_stages_keep_texts_that_share_an_id(spark):
     assert {r.source for r in exact} == {"b", "c", "d", "e", "g"} and len(exact) == 5
     near = sorted(corpus_pipeline.near_stage(spark, docs, "").collect(), key=str)
     assert {r.source for r in near} == {"a", "b", "c", "f", "g", "h"} and len(near) == 6
+
+
+def test_encoding_fails_where_ids_decode_to_another_text(spark, tmp_path, monkeypatch):
+    import base64
+
+    ranks = tmp_path / "ranks"
+    ranks.write_text("".join(f"{base64.b64encode(bytes([i])).decode()} {97 if i == 98 else i}\n" for i in range(256)))
+    monkeypatch.setattr(corpus_pipeline, "tokenizer_path", lambda: str(ranks))
+    docs = spark.createDataFrame([(1, "xaax")], "doc_id long, text string")
+    other = spark.createDataFrame([(1, "xacx"), (2, "xabx")], "doc_id long, text string")
+    with pytest.raises(Exception, match="don't decode"):
+        corpus_pipeline.encoding_stage(spark, docs.unionAll(other), "").collect()
