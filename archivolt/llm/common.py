@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -33,63 +34,105 @@ def id_out(name: str = "doc_id"):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, as the session names it; one of our own only where none is named."""
+    """The cluster's shared folder, as the session names it; one of our own only where none is named and everything runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that executors share")
         base = "file://" + tempfile.mkdtemp(prefix="archivolt-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+_LOCK, _WRITING = threading.Lock(), {}
+
+
+def _cleaning(spark: SparkSession, step: int) -> None:
+    """The setting holds while any table of the session is written by cut(), and is what it was after the last."""
+    with _LOCK:
+        key = id(spark)
+        count, before = _WRITING.get(key, (0, None))
+        if step > 0 and not count:
+            before = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        count += step
+        if count:
+            _WRITING[key] = (count, before)
+            return
+        _WRITING.pop(key, None)
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def cut(df: DataFrame, label: str, done: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and an executor's
-    loss costs no more than the stage that was running.  The shuffle files that led to it go."""
+    loss costs no more than the stage that was running.  The shuffle files that led to it go, and so do
+    the tables in done: results of cut() that nothing reads any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/archivolt/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    _cleaning(spark, 1)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        _cleaning(spark, -1)
+    for x in done:
+        forget(x)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Remove what cut() wrote, once nothing reads it any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parts(spark: SparkSession) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Arrow batches of (doc_id, text) as (ids, texts in UTF-8), at most max_bytes of text
-    at a time (a longer text comes alone)."""
-    ids: list[int] = []
+def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int, key: list | None = None) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Arrow batches of (doc_id, text) as (ids, texts in UTF-8), at most max_bytes of text at a time (a longer
+    text comes alone).  With key, a NumPy record's fields, the columns before the text are those fields."""
+    kind = np.dtype(key or np.int64)
+    ids: list[np.ndarray] = []
     texts: list[bytes] = []
     size = 0
     for batch in batches:
-        column = batch.column(1)
+        column = batch.column(batch.num_columns - 1)
         if not pa.types.is_large_binary(column.type):
             column = column.cast(pa.binary()) if pa.types.is_string(column.type) else column.cast(pa.large_binary())
-        for i, t in zip(batch.column(0).to_pylist(), column, strict=True):
+        own = np.empty(batch.num_rows, kind)
+        for c in range(batch.num_columns - 1):
+            (own[kind.names[c]] if key else own)[:] = batch.column(c).to_numpy(zero_copy_only=False)
+        lo = 0
+        for i, t in enumerate(column):
             t = t.as_py()
-            if size + len(t) > max_bytes and ids:
-                yield np.array(ids, np.int64), texts
-                ids, texts, size = [], [], 0
-            ids.append(i)
+            if size + len(t) > max_bytes and texts:
+                yield np.concatenate([*ids, own[lo:i]]), texts
+                ids, texts, size, lo = [], [], 0, i
             texts.append(t)
             size += len(t)
-    if ids:
-        yield np.array(ids, np.int64), texts
-
-
-def smallest_hashes(rows: DataFrame, count: int, sample: int, *ties) -> DataFrame:
-    """The sample rows of smallest h (a 64-bit hash) among count rows.  A bound on h that about twice as many pass comes first, so what
-    is sorted doesn't grow with the table; hashes are uniform, so fewer than sample pass with a probability below 1e-9 for samples over a hundred."""
-    if count > 4 * sample and sample > 100:
-        rows = rows.filter(F.col("h") < -(2**63) + int(2**64 * (2 * sample / count)))
-    return rows.orderBy("h", *ties).limit(sample)
+        ids.append(own[lo:])
+    if texts:
+        yield np.concatenate(ids), texts
+
+
+def smallest_hashes(rows: DataFrame, sample: int, *ties) -> DataFrame:
+    """The sample rows of smallest h (a 64-bit hash), exactly.  Counts of h's 4,096 ranges tell how far to look, so only the rows of those
+    ranges are sorted, whatever the table's size or the hashes' distribution."""
+    of = F.shiftright("h", 52) + F.lit(2048)
+    counts = sorted((int(r[0]), r[1]) for r in rows.groupBy(of.alias("range")).count().collect())
+    have, last = 0, -1
+    for last, n in counts:  # noqa: B007
+        have += n
+        if have >= sample:
+            break
+    return rows.filter(of <= last).orderBy("h", *ties).limit(sample)
 
 
 def filtered(docs: DataFrame, make: Callable[[], Callable[[list[bytes]], np.ndarray]], max_bytes: int) -> DataFrame:

@@ -21,18 +21,16 @@ def _is_forest_of_stars(edges: DataFrame) -> bool:
     return twice.unionByName(inner).isEmpty()
 
 
-def components(edges: DataFrame, label: str, most: int = 60) -> DataFrame:
-    """node, component: the smallest node that edges (a, b: longs) reach, for each node that has an edge to another."""
+def components(edges: DataFrame, label: str) -> DataFrame:
+    """node, component: the smallest node that edges (a, b: longs) reach, for each node that has an edge to another.
+
+    Each round only lowers what nodes point to, and rounds go on until nothing can be lowered (about as many as the logarithm of the longest path)."""
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    for _ in range(most):
-        if _is_forest_of_stars(now):
-            break
+    while not _is_forest_of_stars(now):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _least(both).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         low = _least(down)
         small = low.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = cut(small.filter("a <> b").distinct(), label)
-    else:
-        raise RuntimeError("components did not settle")
+        now = cut(small.filter("a <> b").distinct(), label, (now,))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -1,7 +1,7 @@
 """Exact dedup by content-defined chunk recipes.  DataFrame functions only.
 
-A text is cut where its own characters say so (after a space that follows one of a few letters,
-512 characters on at the earliest and 4,096 at the latest), so texts cut alike wherever they agree.
+A text is cut where its own characters say so (after a space that follows one of a few letters or a character beyond
+ASCII, after punctuation beyond ASCII, or after an empty line; 512 characters on at the earliest and 4,096 at the latest), so texts cut alike wherever they agree.
 A chunk's identifier is its 64-bit hash, verified: distinct chunks are gathered once, and a
 hash that two different chunks share is extended by the chunks' SHA-256.  Documents are then equal
 when their ordered identifier lists are; only these lists move, however long the texts.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, cut, id_out, plain
 
 #: Fixed value: where a chunk ends.
-CHUNK = r"(?s).{512,4096}?(?<=[aeinorst] )|.{1,4096}"
+CHUNK = r"(?s).{512,4096}?(?:(?<=[aeinorst\x{80}-\x{10FFFF}] )|(?<=[\p{IsPunctuation}&&[^\x00-\x7F]])|(?<=\n\n))|.{1,4096}"
 
 
 def chunk_list(text: Column, pattern: str = CHUNK) -> Column:

@@ -4,7 +4,7 @@ Heuristic labellers vote keep, reject or nothing on each document.  Vote pattern
 documents (there are at most 3 ** labellers of them, so the counts fit the driver), and
 expectation-maximisation over the counts estimates how often each labeller is right.
 A pattern's posterior is the label of the documents that have it; on a bounded sample of those (SAMPLE
-documents, those of smallest hash), a linear scorer of hashed words and the heuristics' own values is trained.
+documents, those whose id and text have the smallest hash), a linear scorer of hashed words and the heuristics' own values is trained.
 All documents are scored as a whole.
 
 Defined cases: a null text is empty; an empty text has score 0 and is rejected; a null doc_id stays
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     patterns = (codes[:, None] // 3 ** np.arange(k)) % 3 if len(codes) else np.zeros((0, k), np.int64)
     good, accuracy = estimate(patterns, np.array([r[1] for r in found], float))
     posterior = dict(zip(codes.tolist(), good.tolist(), strict=True))
-    taken = smallest_hashes(docs.withColumn("h", F.xxhash64("doc_id")), sum(r[1] for r in found), sample, "doc_id", F.xxhash64("text")).select("doc_id", "text")
+    taken = smallest_hashes(docs.withColumn("h", F.xxhash64("doc_id", "text")), sample, "doc_id").select("doc_id", "text")
     rows = sorted((r[0], r[1], r[2]) for r in featured(taken).toLocalIterator())
     size = Features().size
     if not rows:

@@ -1,7 +1,7 @@
 """Substring dedup of words by relative Lempel-Ziv parsing.
 
 Each word that lies in a window of WINDOW words that also starts earlier is removed.  repeats.py cuts the corpus into
-reference blocks, so that whatever equals a fragment is in its block; each fragment is then
+reference blocks, so that whatever may equal a fragment is in its block; each fragment is then
 factored greedily against its block: at a place where a window of the block starts with the same words, the
 longest match with the earliest such place is a factor.  Windows inside a factor are repeated; those that cross
 its end are looked up one by one, since a longer greedy factor may hide their match.
@@ -18,8 +18,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import id_out, plain
-from .repeats import covered, repeated_runs, with_runs
+from .common import id_out
+from .repeats import RUN, covered, keyed, repeated_runs, spread, windows_of, with_runs
 
 WINDOW, GRAM, CACHE = 20, 8, 200_000
 
@@ -33,17 +33,29 @@ class Hashes(dict):
 CACHED = Hashes()
 
 
-def word_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_symbols(texts: list[bytes]):
     if len(CACHED) > CACHE:
         CACHED.clear()
     words = [t.split() for t in texts]
     lens = np.array([len(w) for w in words], np.int64)
-    return np.fromiter((CACHED[x] for w in words for x in w), np.uint64, int(lens.sum())), lens
+    every = [x for w in words for x in w]
+    v = np.fromiter(map(CACHED.__getitem__, every), np.uint64, len(every))
 
+    def same(a, b, size):
+        return np.array([every[i : i + n] == every[j : j + n] for i, j, n in zip(a.tolist(), b.tolist(), size.tolist(), strict=True)], bool)
 
-def word_content(text: bytes):
-    words = text.split()
-    return lambda lo, hi: b" ".join(words[lo:hi])
+    return v, lens, same
+
+
+def word_content(texts: list[bytes], own: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, np.ndarray]:
+    split: dict[int, list[bytes]] = {}
+    out = []
+    for t, a, b in zip(own.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        words = split.get(t)
+        if words is None:
+            words = split[t] = texts[t].split()
+        out.append(b" ".join(words[a:b]))
+    return b"".join(out), np.fromiter(map(len, out), np.int32, len(out))
 
 
 class Block:
@@ -78,24 +90,27 @@ class Block:
             i += length - self.n + 1
 
 
-def match(pieces: np.ndarray, raws: list[bytes], n: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+def match(pieces: np.ndarray, raws: list[bytes], n: int = WINDOW) -> np.ndarray:
     """pieces come ordered by anchor, then place; a block for each anchor."""
-    docs, places, block, last = [], [], Block(n), None
-    for q, doc, pos, cnt, raw in zip(pieces["q"].tolist(), pieces["doc"].tolist(), pieces["pos"].tolist(), pieces["cnt"].tolist(), raws, strict=True):
+    own, places, many, block, last = [], [], [], Block(n), None
+    for k, (q, cnt, raw) in enumerate(zip(pieces["q"].tolist(), pieces["cnt"].tolist(), raws, strict=True)):
         if q != last:
             block, last = Block(n), q
         words = raw.split(b" ")
         for i, length, _ in block.factors(words, cnt):
-            for j in range(i, min(cnt, i + length - n + 1)):
-                docs.append(doc)
-                places.append(pos + j)
+            own.append(k)
+            places.append(i)
+            many.append(min(cnt, i + length - n + 1) - i)
         block.add(words, cnt)
-    return np.array(docs, np.int64), np.array(places, np.int64)
+    if not own:
+        return np.zeros(0, RUN)
+    many = np.array(many, np.int64)
+    return windows_of(pieces, np.repeat(own, many), np.repeat(places, many) + spread(many))
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, n_spans."""
-    docs = plain(docs)
+    docs = keyed(docs)
     found = repeated_runs(docs, word_symbols, word_content, match, WINDOW, GRAM, "op7")
     types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
 

@@ -1,14 +1,15 @@
 """Substring dedup of bytes by suffix arrays, built by two-stage sorting.
 
 Each byte that lies in a string of WINDOW bytes that also starts earlier is removed.  repeats.py brings
-together what can be equal; in a bucket, the texts of the fragments are laid end to end and their suffix array
+together what may be equal; in a bucket, the texts of the fragments that differ are laid end to end and their suffix array
 is built: suffixes smaller than their successors are sorted directly, on as many bytes as matter; the others
 follow from those by one scan over the buckets of first bytes; then the common prefixes of
 neighbours are computed, and suffixes linked by prefixes of WINDOW bytes are one string.
 
 Defined cases: null and empty texts have no bytes; texts of fewer than WINDOW bytes lose none; equal strings in one
 document count by their starts, overlapping ones too; a null doc_id counts as the smallest and comes out as null;
-rows that repeat an id are one document; other columns are ignored; an empty table gives an empty table.
+rows that repeat an id and a text are one document and come out alike; different texts that share an id (null too) are documents of their own, each
+judged by itself, in the order of their hashes; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_out, mix, plain
-from .repeats import covered, repeated_runs, spread, with_runs
+from .common import id_out, mix
+from .repeats import PLACE, covered, keyed, repeated_runs, same_place, spread, windows_of, with_runs
 
 WINDOW, GRAM = 100, 32
 VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -122,8 +123,8 @@ def common_prefixes(sa: np.ndarray, w: np.ndarray, most: int) -> np.ndarray:
     return np.minimum(out, most)
 
 
-def match(pieces: np.ndarray, raws: list[bytes], n: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Documents and starts of the repeated windows among the pieces."""
+def match(pieces: np.ndarray, raws: list[bytes], n: int = WINDOW) -> np.ndarray:
+    """The repeated windows among the pieces."""
     t = np.frombuffer(b"".join(raws), np.uint8)
     w = big_words(t, n)
     sa = suffix_array(t, n, w)
@@ -132,31 +133,44 @@ def match(pieces: np.ndarray, raws: list[bytes], n: int = WINDOW) -> tuple[np.nd
     start = np.cumsum(pieces["size"], dtype=np.int64) - pieces["size"]
     cls = np.empty(len(t), np.int64)
     cls[sa] = string
-    at = np.repeat(start, cnt) + spread(cnt)
-    cls = cls[at]
-    doc, pos = np.repeat(pieces["doc"], cnt), np.repeat(pieces["pos"].astype(np.int64), cnt) + spread(cnt)
+    own = np.repeat(np.arange(len(pieces)), cnt)
+    at = spread(cnt)
+    cls = cls[start[own] + at]
     keep = np.bincount(cls)[cls] > 1
-    cls, doc, pos = cls[keep], doc[keep], pos[keep]
-    order = np.lexsort((pos, doc, cls))
-    cls, doc, pos = cls[order], doc[order], pos[order]
+    cls, x = cls[keep], windows_of(pieces, own[keep], at[keep])
+    order = np.lexsort((*(x[c] for c, _ in PLACE[::-1]), cls))
+    cls, x = cls[order], x[order]
     new = np.ones(len(cls), bool)
     new[1:] = cls[1:] != cls[:-1]
     head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(cls) else np.zeros(0, np.int64)
-    again = (doc != doc[head]) | (pos != pos[head])
-    return doc[again], pos[again]
+    return x[~same_place(x, x[head])]
 
 
-def byte_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return VALUES[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(t) for t in texts], np.int64)
+def same_bytes(t: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether size bytes of t from places a on are those from places b on."""
+    out = np.ones(len(a), bool)
+    for lo in range(0, len(a), 8192):
+        part = slice(lo, lo + 8192)
+        step = spread(size[part])
+        other = t[np.repeat(a[part], size[part]) + step] != t[np.repeat(b[part], size[part]) + step]
+        if len(other):
+            out[part] = np.add.reduceat(other, np.cumsum(size[part]) - size[part], dtype=np.int64) == 0
+    return out
+
+
+def byte_symbols(texts: list[bytes]):
+    t = np.frombuffer(b"".join(texts), np.uint8)
+    return VALUES[t], np.array([len(x) for x in texts], np.int64), lambda a, b, size: same_bytes(t, a, b, size)
 
 
-def byte_content(text: bytes):
-    return lambda lo, hi: text[lo:hi]
+def byte_content(texts: list[bytes], own: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, np.ndarray]:
+    out = [texts[t][a:b] for t, a, b in zip(own.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+    return b"".join(out), (hi - lo).astype(np.int32)
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    docs = plain(docs)
+    docs = keyed(docs)
     found = repeated_runs(docs, byte_symbols, byte_content, match, WINDOW, GRAM, "op1")
 
     def finish(batches):
