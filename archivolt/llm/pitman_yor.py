@@ -15,7 +15,8 @@ come back as sums, so no table of the corpus is ever in one place:
 4. scores, in the blocks.
 The draws depend on the pair's hash and the sweep alone, so every block that has a pair sees the same seating.
 
-Words are known by 64-bit hashes, pairs within their bucket by 48 bits of theirs.  Training documents are those whose crc32(doc_id as text) mod 7 isn't 2.
+Words and pairs are known by 64-bit hashes; counts have 64 bits too.  What a sweep has read goes when the next one is written.
+Training documents are those whose crc32(doc_id as text) mod 7 isn't 2.
 
 Defined cases: null and empty texts consist of the end alone; a null doc_id counts as the smallest (held out or not by that
 number's text) and comes out as null; rows that repeat an id train and are scored each; other columns are ignored; an empty
@@ -36,25 +37,27 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import chunks, cut, id_out, mix, parts, plain
+from .common import chunks, cut, forget, id_out, mix, parts, plain
 
 BLOCK_BYTES, FOLDS, HELD = 5 << 20, 7, 2
 STRENGTH, DISCOUNT, SWEEPS, BURN = 1.0, 0.75, 6, 2
 END = np.uint64(0x1F0E1D2C3B4A5968)
 TOTAL = -1
-WORDS, PAIRS, TYPES, OWNED, TABLES = range(5)  # TABLES + s are those of sweep s
+WORDS, PAIRS, TYPES, TABLES = range(4)  # TABLES + s are those of sweep s
 #: Up to EXACT customers of a dish the number of tables is drawn from its exact distribution; the axes of the table for more.
 EXACT, LOG_C, LOG_RATE = 64, np.arange(5.75, 40.3, 0.25), np.arange(-8.0, 16.1, 0.1)
 
 
 def squeezed(x: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(x).tobytes()
+    """Compressed byte by byte of the items, first all their low bytes: most numbers are small."""
+    raw = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
     return struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unsqueezed(raw: bytes, dtype) -> np.ndarray:
     (size,) = struct.unpack_from("<q", raw)
-    return np.frombuffer(pa.decompress(raw[8:], size, codec="zstd", asbytes=True), dtype)
+    planes = np.frombuffer(pa.decompress(raw[8:], size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
 def is_held(doc_id: int) -> bool:
@@ -62,7 +65,7 @@ def is_held(doc_id: int) -> bool:
 
 
 def blocked(docs: DataFrame) -> DataFrame:
-    """block, ids, lens, tokens (numbers within the block; 0 is the end), words (their hashes)."""
+    """block, ids, lens, tokens (numbers within the block, frequent words first after 0, the end), words (their hashes)."""
 
     def run(batches):
         part, seq = TaskContext.get().partitionId() << 24, 0
@@ -76,8 +79,13 @@ def blocked(docs: DataFrame) -> DataFrame:
                 tokens.append(np.array([number(w, len(seen)) for w in own] + [0], np.uint32))
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))
             hashes[0] = END
+            tokens = np.concatenate(tokens)
+            order = np.argsort(-np.bincount(tokens, minlength=len(hashes))[1:], kind="stable") + 1
+            place = np.zeros(len(hashes), np.uint32)
+            place[order] = np.arange(1, len(hashes), dtype=np.uint32)
+            tokens, hashes[1:] = place[tokens], hashes[order]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part + seq]), *(pa.array([x], pa.binary()) for x in (ids.tobytes(), np.array(lens, np.int32).tobytes(), squeezed(np.concatenate(tokens)), hashes.tobytes()))], names=["block", "ids", "lens", "tokens", "words"]
+                [pa.array([part + seq]), *(pa.array([x], pa.binary()) for x in (ids.tobytes(), np.array(lens, np.int32).tobytes(), squeezed(tokens), hashes.tobytes()))], names=["block", "ids", "lens", "tokens", "words"]
             )
             seq += 1
 
@@ -120,8 +128,7 @@ class Block:
             lo, hi = ends[b - 1] if b else 0, ends[b]
             if lo < hi:
                 tail = [squeezed(c[lo:hi]) for c in columns]
-                own = h[lo:hi].astype("<u4").tobytes() + (h[lo:hi] >> np.uint64(32)).astype("<u2" if kind == PAIRS else "<u4").tobytes()
-                yield b, kind, struct.pack(f"<q{len(tail)}q", hi - lo, *map(len, tail)) + own + b"".join(tail)
+                yield b, kind, struct.pack(f"<q{len(tail)}q", hi - lo, *map(len, tail)) + h[lo:hi].astype("<u8").tobytes() + b"".join(tail)
 
     def receive(self, h: np.ndarray, got: dict[int, bytes], dtypes: list) -> list[np.ndarray]:
         """The columns that came back, in the order of h. got: by bucket."""
@@ -142,7 +149,7 @@ class Owned(Block):
         self.buckets = buckets
         words, context, dish, count = split(raw)
         self.words, self.context, self.dish = unsqueezed(words, np.uint64), unsqueezed(context, np.int32), unsqueezed(dish, np.int32)
-        self.count = unsqueezed(count, np.uint32).astype(np.int64)
+        self.count = unsqueezed(count, np.int64)
         self.hash = mix(self.words[self.context] * np.uint64(0x9E3779B97F4A7C15) + self.words[self.dish])
 
 
@@ -160,13 +167,12 @@ def split(raw: bytes) -> list[bytes]:
     return out
 
 
-def received(kind: int, raw: bytes, dtypes: list) -> tuple[np.ndarray, list[np.ndarray]]:
+def received(raw: bytes, dtypes: list) -> tuple[np.ndarray, list[np.ndarray]]:
     k = len(dtypes)
     n, *sizes = struct.unpack_from(f"<q{k}q", raw)
-    at, high = 8 + 8 * k, np.dtype("<u2" if kind == PAIRS else "<u4")
-    h = np.frombuffer(raw, "<u4", n, at).astype(np.uint64)
-    h |= np.frombuffer(raw, high, n, at + 4 * n).astype(np.uint64) << np.uint64(32)
-    at += (4 + high.itemsize) * n
+    at = 8 + 8 * k
+    h = np.frombuffer(raw, "<u8", n, at)
+    at += 8 * n
     out = []
     for s, d in zip(sizes, dtypes, strict=True):
         out.append(unsqueezed(raw[at : at + s], d))
@@ -291,16 +297,22 @@ def parent_probability(customers: np.ndarray, tables: np.ndarray, all_customers:
     return (known + (STRENGTH + DISCOUNT * all_tables) / (v + 1)) / (STRENGTH + all_customers)
 
 
+def batch_of(block: int, sent) -> pa.RecordBatch:
+    sent = list(sent)
+    columns = ([x[0] for x in sent], pa.int32()), ([block] * len(sent), pa.int64()), ([x[1] for x in sent], pa.int32()), ([x[2] for x in sent], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["bucket", "block", "kind", "payload"])
+
+
 SENT = "bucket int, block long, kind int, payload binary"
 BACK = "block long, bucket int, kind int, payload binary"
 
 
 def answer(kind: int, frame: pd.DataFrame, v: int, last_tables: float) -> Iterator[tuple[int, int, int, bytes]]:
     """What a bucket returns to the blocks: sums by hash, and totals to the driver."""
-    dtypes = [np.uint32] if kind in (WORDS, PAIRS) else [np.uint32, np.uint32]
+    dtypes = [np.int64] if kind in (WORDS, PAIRS) else [np.int64, np.int64]
     bucket = int(frame.bucket.iloc[0])
     frame = frame.sort_values("block")
-    sent = [received(kind, p, dtypes) for p in frame.payload]
+    sent = [received(p, dtypes) for p in frame.payload]
     lens = [len(h) for h, _ in sent]
     h = np.concatenate([x for x, _ in sent])
     columns = [np.concatenate([c[i] for _, c in sent]).astype(np.int64) for i in range(len(dtypes))]
@@ -310,16 +322,16 @@ def answer(kind: int, frame: pd.DataFrame, v: int, last_tables: float) -> Iterat
         mine = np.flatnonzero(columns[0] > 0)
         owner = np.zeros(len(h), np.uint8)
         owner[mine[np.unique(at[mine], return_index=True)[1]]] = 1
-        back = [sums[0].astype(np.uint32)[at], owner]
+        back = [sums[0].astype(np.int64)[at], owner]
         totals = []
     elif kind == WORDS:
-        back, totals = [sums[0].astype(np.uint32)[at]], [sums[0].sum(), (sums[0] > 0).sum()]
+        back, totals = [sums[0].astype(np.int64)[at]], [sums[0].sum(), (sums[0] > 0).sum()]
     elif kind == TYPES:
-        back, totals = [s.astype(np.uint32)[at] for s in sums], [sums[1].sum()]
+        back, totals = [s.astype(np.int64)[at] for s in sums], [sums[1].sum()]
     else:
         customers = sums[1].astype(np.int64)
         tables = drawn(each, customers, np.full(len(each), (STRENGTH + DISCOUNT * last_tables) / (v + 1)), kind - TABLES)
-        back, totals = [x.astype(np.uint32)[at] for x in (sums[0], customers, tables)], [customers.sum(), tables.sum()]
+        back, totals = [x.astype(np.int64)[at] for x in (sums[0], customers, tables)], [customers.sum(), tables.sum()]
     ends = np.cumsum(lens)
     for b, n, e in zip(frame.block.tolist(), lens, ends.tolist(), strict=True):
         yield b, bucket, kind, joined([x[e - n : e] for x in back])
@@ -339,17 +351,18 @@ def language_model(docs: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 b = Block(row["ids"], row["lens"], row["tokens"], row["words"], buckets)
                 for kind, h, by, n in ((WORDS, b.words, b.tokens, len(b.words)), (PAIRS, b.hash, b.pair, len(b.hash))):
-                    sent = list(b.send(kind, h, [np.bincount(by[b.trained], minlength=n).astype(np.uint32)]))
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sent], pa.int32()), pa.array([row["block"]] * len(sent)), pa.array([kind] * len(sent), pa.int32()), pa.array([x[2] for x in sent], pa.binary())], names=["bucket", "block", "kind", "payload"])
+                    yield batch_of(row["block"], b.send(kind, h, [np.bincount(by[b.trained], minlength=n).astype(np.int64)]))
 
-    def reduced(sent: DataFrame, label: str, v: int = 0, last_tables: float = 0.0) -> tuple[DataFrame, np.ndarray]:
+    def reduced(sent: DataFrame, label: str, v: int = 0, last_tables: float = 0.0, done: tuple[DataFrame, ...] = ()) -> tuple[DataFrame, np.ndarray]:
         def run(frame):
             rows = [r for kind, own in frame.groupby("kind") for r in answer(int(kind), own, v, last_tables)]
             return pd.DataFrame(rows, columns=["block", "bucket", "kind", "payload"])
 
-        out = cut(sent.groupBy("bucket").applyInPandas(run, BACK), f"op6-{label}")
+        out = cut(sent.groupBy("bucket").applyInPandas(run, BACK), f"op6-{label}", done)
         totals = [np.frombuffer(r[0]) for r in out.filter(f"block = {TOTAL}").select("payload").collect()]
-        return out.filter(f"block <> {TOTAL}"), np.sum([t for t in totals if len(t)], axis=0) if totals else np.zeros(2)
+        back = out.filter(f"block <> {TOTAL}")
+        back.cut_path = out.cut_path
+        return back, np.sum([t for t in totals if len(t)], axis=0) if totals else np.zeros(2)
 
     def with_answers(base: DataFrame, answers: DataFrame, f, schema: str) -> DataFrame:
         def run(one, many):
@@ -371,22 +384,26 @@ def language_model(docs: DataFrame) -> DataFrame:
     counts, totals = reduced(blocks.mapInArrow(first, SENT), "counts")
     n, v = int(totals[0]), int(totals[1])
 
-    def types(block, b, got):
-        c, owner = b.receive(b.hash, got[PAIRS], [np.uint32, np.uint8])
+    def owning(block, b, got):
+        c, owner = b.receive(b.hash, got[PAIRS], [np.int64, np.uint8])
         own = owner > 0
-        owned = joined([b.words, b.context[own], b.dish[own], c[own]])
-        return sent_frame(block, [*b.send(TYPES, b.words, [np.bincount(x[own], minlength=len(b.words)).astype(np.uint32) for x in (b.context, b.dish)]), (-1, OWNED, owned)])
+        return pd.DataFrame({"block": [block], "payload": [joined([b.words, b.context[own], b.dish[own], c[own]])]})
+
+    def types(batches):
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                b = Owned(raw, buckets)
+                yield batch_of(block, b.send(TYPES, b.words, [np.bincount(x, minlength=len(b.words)).astype(np.int64) for x in (b.context, b.dish)]))
 
-    sent = cut(with_answers(blocks, counts.filter(f"kind = {PAIRS}"), types, SENT), "op6-owned")
-    owned = sent.filter(f"kind = {OWNED}").select("block", "payload")
-    last, totals = reduced(sent.filter(f"kind = {TYPES}"), "types")
+    owned = cut(with_answers(blocks, counts.filter(f"kind = {PAIRS}"), owning, "block long, payload binary"), "op6-owned")
+    last, totals = reduced(owned.mapInArrow(types, SENT), "types")
 
     def grants(b, got, s: int, all_customers: float, all_tables: float):
         """Of the pairs: what their contexts grant a new table, after s sweeps; of the contexts, their tables; and the dishes' probabilities."""
         if s:
-            by_context, customers, tables = b.receive(b.words, got[TABLES + s - 1], [np.uint32] * 3)
+            by_context, customers, tables = b.receive(b.words, got[TABLES + s - 1], [np.int64] * 3)
         else:
-            by_context, customers = b.receive(b.words, got[TYPES], [np.uint32, np.uint32])
+            by_context, customers = b.receive(b.words, got[TYPES], [np.int64, np.int64])
             tables = np.minimum(customers, 1)
         parent = parent_probability(customers.astype(float), tables.astype(float), all_customers, all_tables, v)
         return (STRENGTH + DISCOUNT * by_context[b.context].astype(float)) * parent[b.dish]
@@ -394,7 +411,7 @@ def language_model(docs: DataFrame) -> DataFrame:
     def swept(s: int, all_customers: float, all_tables: float):
         def tables(block, b, got):
             t = drawn(b.hash, b.count, grants(b, got, s, all_customers, all_tables), s)
-            return sent_frame(block, b.send(TABLES + s, b.words, [np.bincount(x, t, len(b.words)).astype(np.uint32) for x in (b.context, b.dish)]))
+            return sent_frame(block, b.send(TABLES + s, b.words, [np.bincount(x, t, len(b.words)).astype(np.int64) for x in (b.context, b.dish)]))
 
         return tables
 
@@ -402,14 +419,16 @@ def language_model(docs: DataFrame) -> DataFrame:
     state = [(float(totals[0]), float(v))]
     kept = counts
     for s in range(SWEEPS):
-        last, totals = reduced(with_answers(owned, last, swept(s, *state[-1]), SENT), f"tables-{s}", v, state[-1][1])
+        before = last
+        last, totals = reduced(with_answers(owned, before, swept(s, *state[-1]), SENT), f"tables-{s}", v, state[-1][1], (before,) if s < BURN else ())
         state.append((float(totals[0]), float(totals[1])))
         if s >= BURN - 1:
             kept = kept.unionByName(last)
+    forget(owned)
 
     def scored(block, b, got):
-        (count,) = b.receive(b.words, got[WORDS], [np.uint32])
-        c = b.receive(b.hash, got[PAIRS], [np.uint32, np.uint8])[0].astype(np.int64)
+        (count,) = b.receive(b.words, got[WORDS], [np.int64])
+        c = b.receive(b.hash, got[PAIRS], [np.int64, np.uint8])[0].astype(np.int64)
         room = STRENGTH + count[b.context].astype(float)
         grant, p = grants(b, got, BURN, *state[BURN]), 0.0
         for s in range(BURN, SWEEPS):
