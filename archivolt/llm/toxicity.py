@@ -1,6 +1,8 @@
 """Toxicity by a chain of classifiers.
 
-Each category has a linear model of hashed words and word beginnings.  Models follow one another in a
+The categories are what the labels say (toxic) and, before it, two kinds of toxic documents that training finds itself: a mixture of
+two word distributions, fitted by expectation-maximisation to the words that mark the labelled toxic documents.  Each category has a linear model of
+hashed words and word beginnings.  Models follow one another in a
 fixed order: a later model also reads the earlier categories' probabilities.  In training those are out-of-fold
 predictions (each document's from models that didn't see it), so a later model doesn't learn to trust an
 earlier one more than it deserves.  Features are scaled by their log-count ratio in training.
@@ -9,8 +11,8 @@ The chain is fitted on a bounded sample of the labelled rows (SAMPLE of them, th
 scored as a whole.
 
 Defined cases: a null text is empty; an empty text is clean with probability 0; null labels don't
-train; labels of no document don't either; a null doc_id stays null; repeated rows come out repeated; other
-columns are ignored; with no labels, or of one kind only, the category's probability is that kind's.
+train, nor do labels of a null id or of no document; of several texts with a labelled id the one of smallest hash trains; a null doc_id stays null;
+repeated rows come out repeated; other columns are ignored; with no labels, or of one kind only, the category's probability is that kind's.
 """
 
 from __future__ import annotations
@@ -22,15 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, chunks, id_out, plain
+from .common import chunks, id_out, plain
 
 BITS, SAMPLE, FOLDS, TEXT_BYTES = 18, 12_000, 5, 1 << 20
-#: Words that mark a labelled toxic document as insulting a person, or as contempt of a thing.
-SEEDS = {
-    "insult": ("idiot", "moron", "loser", "clown", "scum"),
-    "contempt": ("pathetic", "worthless", "disgusting", "stupid", "trash"),
-}
-CHAIN = (*SEEDS, "toxic")
+KINDS = 2
+CHAIN = (*(f"kind_{i + 1}" for i in range(KINDS)), "toxic")
 EDGES = b".,;:!?\"'()[]|*%&#$"
 
 
@@ -100,6 +98,36 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def kinds(rows: list[np.ndarray], toxic: np.ndarray, size: int, rounds: int = 40) -> np.ndarray:
+    """For each row and kind whether the row is of it (rows that aren't toxic are of none): a mixture over the slots that toxic rows have far more often.
+    It starts from the most frequent such slot and the one that most often comes without it."""
+    x, out = Sparse(rows, size), np.zeros((len(rows), KINDS))
+    pos, neg = np.bincount(x.cols, toxic[x.owner] > 0, size), np.bincount(x.cols, toxic[x.owner] <= 0, size)
+    ratio = np.log((pos + 0.5) / ((toxic > 0).sum() + 1)) - np.log((neg + 0.5) / ((toxic <= 0).sum() + 1))
+    marks = np.flatnonzero((ratio > 1.5) & (pos >= 3))
+    if len(marks) < KINDS:
+        return out
+    place = np.full(size, -1)
+    place[marks] = np.arange(len(marks))
+    live = (toxic[x.owner] > 0) & (place[x.cols] >= 0)
+    owner, mark = x.owner[live], place[x.cols[live]]
+    first = int(np.argmax(pos[marks]))
+    with_first = np.bincount(owner[mark == first], minlength=len(rows)) > 0
+    apart = np.bincount(mark, ~with_first[owner], len(marks)) - np.bincount(mark, with_first[owner], len(marks))
+    with_second = np.bincount(owner[mark == int(np.argmax(apart))], minlength=len(rows)) > 0
+    share = np.full((len(rows), KINDS), 0.5)
+    share[with_first & ~with_second], share[with_second & ~with_first] = (0.9, 0.1), (0.1, 0.9)
+    some = np.bincount(owner, minlength=len(rows)) > 0
+    for _ in range(rounds):
+        count = np.stack([np.bincount(mark, share[owner, k], len(marks)) for k in range(KINDS)]) + 0.5
+        log = np.log(count / count.sum(1, keepdims=True))
+        z = np.stack([np.bincount(owner, log[k][mark], len(rows)) for k in range(KINDS)], axis=1) + np.log(share[some].sum(0) + 1)
+        share = np.exp(z - z.max(1, keepdims=True))
+        share /= share.sum(1, keepdims=True)
+    out[some, share[some].argmax(1)] = 1
+    return out
+
+
 def fit_chain(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, size: int) -> list[np.ndarray]:
     """labels: a column for each category, in the chain's order."""
     x, extra, models = Sparse(rows, size), np.zeros((len(rows), 0)), []
@@ -123,24 +151,22 @@ def apply_chain(rows: list[np.ndarray], models: list[np.ndarray], size: int) ->
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """doc_id, a probability for each category of CHAIN, and toxic: whether the last is at the threshold. labels: doc_id, toxic."""
     docs = plain(docs)
-    known = labels.select(F.coalesce(labels["doc_id"].cast("long"), F.lit(NULL_ID)).alias("doc_id"), labels["toxic"].cast("int").alias("y")).filter("y is not null")
+    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("y")).filter("y is not null AND doc_id is not null")
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def gather(batches):
-        own, marks = Words(), [frozenset(s.encode() for s in v) for v in SEEDS.values()]
-        for batch in batches:
-            y = batch.column(2).to_pylist()
-            for ids, texts in chunks(iter([batch.select([0, 1])]), 1 << 62):
-                words = [lowered(t) for t in texts]
-                hit = [[bool(m.intersection(x.strip(EDGES) for x in w)) for m in marks] for w in words]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(y, pa.int32()), pa.array(hit, pa.list_(pa.bool_())), pa.array([own.slots(w).astype("<i4").tobytes() for w in words], pa.binary())], names=["doc_id", "y", "hit", "slots"])
+        own = Words()
+        for ids, texts in chunks(batches, TEXT_BYTES, [("doc_id", "<i8"), ("y", "<i4")]):
+            yield pa.RecordBatch.from_arrays([pa.array(ids["doc_id"]), pa.array(ids["y"]), pa.array([own.slots(lowered(t)).astype("<i4").tobytes() for t in texts], pa.binary())], names=["doc_id", "y", "slots"])
 
     size = 1 << BITS
-    rows = sorted((r[0], r[1], r[2], r[3]) for r in docs.join(F.broadcast(known), "doc_id").mapInArrow(gather, "doc_id long, y int, hit array<boolean>, slots binary").toLocalIterator())
-    rows = [r for i, r in enumerate(rows) if not i or r[0] != rows[i - 1][0]]
-    target = np.array([[*(bool(r[1]) and h for h in r[2]), bool(r[1])] for r in rows], float).reshape(len(rows), len(CHAIN))
+    one = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = sorted((r[0], r[1], r[2]) for r in one.mapInArrow(gather, "doc_id long, y int, slots binary").toLocalIterator())
+    slots = [np.frombuffer(r[2], "<i4").astype(np.int64) for r in rows]
+    toxic = np.array([r[1] > 0 for r in rows], float)
+    target = np.column_stack([kinds(slots, toxic, size), toxic])
     folds = np.array([zlib.crc32(str(r[0]).encode()) % FOLDS for r in rows], np.int64)
-    models = [(np.flatnonzero(w).astype(np.int32), w[np.flatnonzero(w)]) for w in fit_chain([np.frombuffer(r[3], "<i4").astype(np.int64) for r in rows], target, folds, size)]
+    models = [(np.flatnonzero(w).astype(np.int32), w[np.flatnonzero(w)]) for w in fit_chain(slots, target, folds, size)]
 
     def run(batches):
         own, full = Words(), []
