@@ -11,8 +11,9 @@ With 40 bands of 5 a pair at similarity 0.8 is missed with probability 1.3e-7, m
 
 Groups never expand to all pairs.  Documents with equal sets are one from the start.  In each band's bucket
 every document is first compared with the smallest, then (where documents of the bucket are still apart) with the largest;
-only documents of a bucket that are in different components after that meet each other.  Those pairs are verified within
-the join that brings them together.  Links within a component can't change it, so the components are exactly those of all the links.
+only documents of a bucket that are in different components after that meet each other, in the first band that they share.  That join lets a pair
+pass if its sizes fit, if as many registers are equal as make the threshold likely enough, and if the full sets then say so: links come out of it, not
+pairs.  Links within a component can't change it, so the components are exactly those of all the links.
 
 Defined cases: null and empty texts have no shingles, are in a component of their own and link with
 nothing; texts of fewer than k words have one shingle, all their words; a null doc_id counts as the smallest and comes out
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, chunks, cut, id_out, mix, plain
+from .common import NULL_ID, chunks, cut, forget, id_out, mix, plain
 from .components import components
 from .substring_dedup import Hashes
 
@@ -104,6 +105,13 @@ def possible(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, thr
     return ll[:, GRID >= threshold - 1e-9].max(1) >= ll.max(1) - DOUBT
 
 
+def least_equal(threshold: float) -> int:
+    """The fewest equal registers at which the threshold isn't exp(-DOUBT) times as likely as the share found, or less."""
+    q = np.clip(np.arange(REGISTERS + 1) / REGISTERS, 1e-12, 1 - 1e-12)
+    behind = REGISTERS * (q * np.log(q / threshold) + (1 - q) * np.log((1 - q) / max(1 - threshold, 1e-12)))
+    return int(np.flatnonzero((behind <= DOUBT) | (q >= threshold))[0])
+
+
 def sketched(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, digest (of the set), n, regs, text_md5."""
 
@@ -121,6 +129,17 @@ def sketched(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, digest binary, n int, regs binary, text_md5 binary")
 
 
+def _valued(one: DataFrame) -> DataFrame:
+    """rep, values: the registers as an array."""
+
+    def run(batches):
+        for b in batches:
+            regs = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i2")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * REGISTERS), pa.array(regs))], names=["rep", "values"])
+
+    return one.select("rep", "regs").mapInArrow(run, "rep long, values array<short>")
+
+
 def _keyed(one: DataFrame) -> DataFrame:
     """rep, n, keys: a key for each band."""
 
@@ -218,17 +237,20 @@ def near_judged(docs: DataFrame, k: int = 5, percent: int = 80, label: str = "op
     pairs = pairs.join(at[0], "a", "left").join(at[1], "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     links = cut(links.unionByName(_links(pairs, one, sets, percent, label)), f"{label}-links")
     found = merged(links)
-    # then those still apart, bucket by bucket; a pair is judged in the first band that it shares, on the full sets, within the join,
-    # so what comes out are links alone, however many pairs a bucket has
+    # then those still apart, bucket by bucket, in the first band that two share; what comes out are links alone, however many pairs a bucket has
     left = apart(placed(found)).select("key", "band", "rep", "n", "component")
     left = left.join(keyed.select("rep", "keys"), "rep").join(sets, "rep").withColumn("lower", F.slice("keys", F.lit(1), F.col("band"))).drop("keys")
-    left = cut(left.select("key", "rep", "n", "component", "lower", "set"), f"{label}-apart")
+    left = left.join(_valued(one.join(left.select("rep").distinct(), "rep", "left_semi")), "rep")
+    left = cut(left.select("key", "rep", "n", "component", "lower", "values", "set"), f"{label}-apart")
     x, y = left.alias("x"), left.alias("y")
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _sizes_fit("x.n", "y.n", percent)
+    equal = F.aggregate(F.zip_with("x.values", "y.values", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, e: s + e)
     both = F.size(F.array_intersect("x.set", "y.set")).cast("long")
     linked = F.lit(100 + percent) * both >= F.lit(percent) * (F.col("x.n") + F.col("y.n")).cast("long")
-    late = x.join(y, meet & ~F.arrays_overlap("x.lower", "y.lower") & linked).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    late = x.join(y, meet & ~F.arrays_overlap("x.lower", "y.lower") & (equal >= least_equal(percent / 100)) & linked).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     found = merged(cut(links.unionByName(late), f"{label}-links"))
+    for table in (one, keyed, met, sets, left):
+        forget(table)
     place = same.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "first", F.coalesce("component", "rep").alias("component"))
     least = place.groupBy("component").agg(F.min("first").alias("least"))
     out = every.join(place.join(least, "component").select("digest", "least"), "digest", "left")

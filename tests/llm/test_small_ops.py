@@ -364,3 +364,144 @@ def test_near_by_set_not_by_id(spark):
     assert by == {(7, 7), (8, 7), (9, 7), (10, None), (11, None)}
     assert sorted(r.doc_id for r in got if r.kept and r.doc_id is not None) == [7, 7]
     assert sum(r.kept for r in got if r.doc_id is None) == 4  # one of base[1] and near[1]; the empty ones
+
+
+SHARED = [" ".join(f"w{(7 * j + i) % 40}" for i in range(60)) for j in range(6)]
+SHARED_ROWS = [(None, SHARED[0]), (None, SHARED[1]), (None, SHARED[2] + " end"), (2, SHARED[3]), (2, "short"), (2, SHARED[3] + " " + SHARED[4]), (3, SHARED[5]), (3, SHARED[5]), (None, SHARED[0]), (None, None), (9, SHARED[1])]
+
+
+@pytest.mark.parametrize(("op", "plain"), [(suffix_dedup.suffix_dedup, brute.suffix_dedup), (substring_dedup, brute.substring_dedup)])
+def test_repeats_of_texts_that_share_an_id(spark, op, plain):
+    """Null ids and an id on several texts: each text is a document, in the order of id and hashes; rows that repeat both come out alike."""
+    from archivolt.llm.repeats import keyed
+
+    for rows in (SHARED_ROWS, SHARED_ROWS[::-1]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        documents = {(r.doc_id, r.t1, r.t2): r.text.encode() for r in keyed(docs).collect()}
+        want = plain(documents)
+        got = sorted(tuple(r)[1:4] for r in op(docs).collect() if r.doc_id is None or r.doc_id < 10)
+        counts = {k: sum((-(2**63) if i is None else i) == k[0] and (t or "").encode() == documents[k] for i, t in rows) for k in documents}
+        assert got == sorted(want[k][:3] for k in want for _ in range(counts[k]))
+
+
+def test_equal_hashes_of_other_content(spark):
+    """With one hash for all symbols every fragment meets every other; content decides."""
+    from archivolt.llm import repeats
+
+    def alike(texts):
+        v, lens, same = suffix_dedup.byte_symbols(texts)
+        return v & np.uint64(0), lens, same
+
+    r = random.Random(8)
+    pool = ["".join(r.choice("ab") for _ in range(r.randint(20, 90))) for _ in range(6)]
+    texts = {i: "".join(r.choice(pool) for _ in range(3)) for i in range(12)}
+    docs = repeats.keyed(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3))
+    match = lambda pieces, raws: suffix_dedup.match(pieces, raws, 30)
+    found = repeats.repeated_runs(docs, alike, suffix_dedup.byte_content, match, 30, 8, "t").collect()
+    got = {i: set() for i in texts}
+    for x in found:
+        got[x.doc_id].update(range(x.pos, x.pos + x.cnt + 29))
+    assert got == brute.repeated({i: t.encode() for i, t in texts.items()}, 30)
+
+
+def test_tiles_exactly():
+    r = random.Random(4)
+    for _ in range(300):
+        k = r.choice([1, 2, 4, 9])
+        a, b = ([r.randrange(-1, k) for _ in range(r.randint(1, 40))] for _ in range(2))
+        at = r.randrange(len(b))
+        a = r.choice([a, a + b[at:] + [0, 1] + b[:at]])
+        least = r.choice([1, 3, 5])
+        assert decontaminate.tile(np.array(a), np.array(b), least) == brute_tiles(a, b, least)
+    assert decontaminate.tile(np.zeros(200_000, np.int64), np.zeros(200, np.int64), 5) == [(0, 0, 200)]
+
+
+def test_decontaminate_against_plain(spark):
+    """Every text against every item; ids that are null or on several texts; rows judged one by one."""
+    r = random.Random(6)
+    items = [(i % 7 if i % 5 else None, " ".join(r.choice("abcdefgh") for _ in range(r.randint(1, 30)))) for i in range(20)]
+    rows = []
+    for i in range(60):
+        pieces = [w.split() for _, w in r.sample(items, 2)]
+        words = [x for p in pieces for x in p[r.randrange(len(p)) :]] + [r.choice("xyz") for _ in range(r.randint(0, 20))]
+        rows.append((r.choice([None, 1, 2, 100 + i]), " ".join(words)))
+    best = {}
+    for _, text in rows:
+        a = text.split()
+        for item, words in items:
+            b = words.split()
+            numbers: dict = {}
+            nb = [numbers.setdefault(w, len(numbers)) for w in b]
+            tiles = brute_tiles([numbers.get(w, -1) for w in a], nb, min(5, len(b)))
+            n = sum(x[2] for x in tiles)
+            if n:
+                key = -(2**63) if item is None else item
+                best[text] = max(best.get(text, (0.0, 0, 0, 0)), (n / len(b), ~key, n, len(tiles)))
+    want = []
+    for i, text in rows:
+        c, order, n, k = best.get(text, (0.0, None, 0, 0))
+        item = None if order is None or ~order == -(2**63) else ~order
+        want.append((i, item, round(c, 6), n, k, round(c, 6) >= 0.5))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("t1", F.lit("?")).withColumn("coverage", F.lit(2)).repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(tuple, decontaminate.decontaminate(docs, bench).collect()), key=repr) == sorted(want, key=repr)
+    left = decontaminate.decontamination_filter(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in left.collect() if r.doc_id) == sorted((i, t) for (i, t), w in zip(rows, want, strict=True) if not w[-1] and i)
+
+
+def test_quality_of_rows_without_ids(spark):
+    """A sample by id and text: as good where all ids are null or one."""
+    prose = [" ".join(rnd.sample([f"{a}{b}" for a in ("plain", "prose", "word", "lin") for b in ("s", "es", "ing", "er", "ly", "ed")], 20)) + f" x{i}." for i in range(200)]
+    junk = [" ".join(rnd.choice(["BUY!!", "NOW!!", "$$$$$$", "***###", "x%%%"]) for _ in range(40)) + f" {i}" for i in range(200)]
+    for one in (None, 7):
+        d = spark.createDataFrame([(one, t) for t in prose + junk], "doc_id long, text string").withColumn("keep", F.lit("?"))
+        kept = {r.text for r in quality.quality_filter(d, sample=101).collect()}
+        assert kept == set(prose)
+        assert quality.quality(d, sample=101).filter("keep").count() == len(prose)
+
+
+def test_toxicity_of_shared_ids(spark):
+    """A label of a null id doesn't train; an id on several texts trains one of them; every row is judged."""
+    clean = [(i, " ".join(rnd.choice(WORDS) for _ in range(30))) for i in range(100)]
+    bad = [(1000 + i, " ".join([rnd.choice(WORDS) for _ in range(25)] + ["vequa", rnd.choice(["vequo", "zonk"])])) for i in range(60)]
+    rows = clean + bad + [(None, clean[0][1])] * 20 + [(1000, clean[1][1]), (None, bad[0][1])]
+    labels = spark.createDataFrame([(i, 0) for i, _ in clean] + [(i, 1) for i, _ in bad] + [(None, 1)], "doc_id long, toxic int")
+    got = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string").withColumn("y", F.lit("?")), labels).collect()
+    assert len(got) == len(rows)
+    assert sum(r.toxic for r in got if r.doc_id is None) == 1 and sum(r.toxic for r in got if r.doc_id and r.doc_id > 1000) == 59
+
+
+def test_kinds_are_learned():
+    """Two groups of toxic rows with their own words are told apart without being named."""
+    r = np.random.default_rng(3)
+    rows, truth = [], []
+    for i in range(300):
+        kind = i % 3
+        own = {1: [500, 501, 502], 2: [600, 601, 602]}.get(kind, [])
+        rows.append(np.unique(np.concatenate([r.integers(0, 400, 20), r.choice(own, 2, replace=False) if own else []]).astype(np.int64)))
+        truth.append(kind)
+    got = toxicity.kinds(rows, (np.array(truth) > 0).astype(float), 1024)
+    one = got[np.array(truth) == 1].mean(0), got[np.array(truth) == 2].mean(0), got[np.array(truth) == 0].sum()
+    assert one[2] == 0 and abs(one[0] - one[1]).min() > 0.95
+
+
+def test_long_urls_count_as_a_whole(spark):
+    """What tells the kinds apart stands beyond 2,000 characters; ids may be null."""
+    rows = [(None if i % 2 else i, f"http://h{i}.a.net/" + "p" * 2500 + "bad" * 20) for i in range(30)]
+    rows += [(1000 + i, f"http://h{i}.org/fr/" + "p" * 2500 + "fine" * 15) for i in range(30)]
+    rows += [(2000, "http://q.info/" + "p" * 2500 + "bad" * 20), (2001, "http://q.info/" + "p" * 2500 + "fine" * 15)]
+    got = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string").withColumn("row", F.lit("?"))).collect()
+    assert len(got) == len(rows) and {r.page_id: r.verdict for r in got if r.page_id and r.page_id >= 2000} == {2000: "block", 2001: "allow"}
+
+
+def test_chunks_of_other_scripts(spark):
+    """Where two texts of a script without Latin letters agree, most chunks agree too."""
+    from archivolt.llm.exact_dedup import chunk_list
+
+    r = random.Random(9)
+    for of, mark in (("日本語中文字漢検索", "。"), ("абвгдежз", " "), ("กขคงจฉชซ", " ")):
+        text = "".join(r.choice(of) + (mark if r.random() < 0.05 else "") for _ in range(20_000))
+        rows = spark.createDataFrame([(1, text), (2, r.choice(of) * 7 + text)], "doc_id long, text string")
+        a, b = (set(x.c) for x in rows.select(chunk_list(F.col("text")).alias("c")).collect())
+        assert len(a & b) > 0.8 * len(a)
