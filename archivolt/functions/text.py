@@ -52,7 +52,7 @@ def folded(c: Column | str, compat: bool = True) -> Column:
     """Compatibility form without zero-width characters, with ASCII brackets and single spaces."""
     s = text_of(c)
     if compat:
-        s = nfkc(s)
+        s = F.coalesce(nfkc(F.when(is_non_ascii(s), s)), s)  # only a null goes to Python where there is nothing to fold
     return squeeze(F.translate(s, BRACKETS + ZERO_WIDTH, PLAIN_BRACKETS))
 
 
@@ -74,7 +74,7 @@ def with_missing_closer(c: Column) -> Column:
     start = F.struct(F.lit("").alias("open"), F.lit(True).alias("fine"))
     end = F.aggregate(marks, start, step)
     tail = F.when(end["fine"] & (end["open"] == "("), ")").when(end["fine"] & (end["open"] == "["), "]").otherwise("")
-    return F.concat(c, tail)
+    return F.when(c.rlike(r"[(\[]"), F.concat(c, tail)).otherwise(c)
 
 
 def normalize(c: Column | str, compat: bool = True) -> Column:

@@ -52,8 +52,18 @@ def incoming(evidence: DataFrame, works: DataFrame) -> DataFrame:
 
 
 def pair_weights(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, source: str, work: str) -> DataFrame:
-    """Source, a, b, weight: works in which a and b occur together, by source."""
-    return left.join(right, on).groupBy(source, a, b).agg(F.countDistinct(work).alias("weight"))
+    """Source, a, b, weight: works in which a and b occur together, by source. Either side has a name of a work once."""
+    return left.join(right, on).groupBy(source, a, b).agg(F.count(work).alias("weight"))
+
+
+def newest_pairs(rows: DataFrame, source: str, work: str, version: str, a: str, b: str) -> DataFrame:
+    """J3, J4, A2 in one pass over rows that name both sides: source, a, b, weight, from the greatest version of each work. A work's names are gathered
+    with their versions (as many as the work has), those of older ones go, and what is left is paired within the work."""
+    names = lambda c: F.collect_set(F.struct(F.col(version).alias("v"), F.col(c).alias("n")))
+    own = rows.groupBy(source, work).agg(F.max(version).alias("_top"), names(a).alias("_a"), names(b).alias("_b"))
+    new = lambda c: F.transform(F.filter(F.col(c), lambda x: (x["v"] == F.col("_top")) & x["n"].isNotNull()), lambda x: x["n"])
+    pairs = own.select(source, F.explode(new("_a")).alias(a), new("_b").alias("_b")).select(source, a, F.explode("_b").alias(b))
+    return pairs.groupBy(source, a, b).agg(F.count(F.lit(1)).alias("weight"))
 
 
 def max_weights(weights: DataFrame, a: str, b: str) -> DataFrame:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize, structured_parts
+from ..functions.text import normalize, structured_parts, work_score
 
 FOUND, AMBIGUOUS, NOT_FOUND = "Matched", "Ambiguous", "NotFound"
 
@@ -147,6 +147,19 @@ def online_confirmed(results: DataFrame, key: str) -> DataFrame:
     return a.select(key, F.when(ok, "Confirmed").otherwise("Candidate").alias("status"), F.when(ok, F.col("candidate")).alias("candidate"))
 
 
+def bridged(evidence: DataFrame, key: str) -> DataFrame:
+    """Key, identity, works, score, bridge from evidence (key, identity, work, in_title, structured, tag_in_title), one row a work. An identity that
+    only the search's aliases lead to counts if two works or more show it and no other identity of the key was reached that way; an identity that the
+    titles' structure confirms in two works or more, and alone, scores at least 92."""
+    e = evidence.filter(F.col("in_title") | F.col("tag_in_title"))
+    each = e.groupBy(key, "identity").agg(F.countDistinct(F.lower("work")).alias("works"), F.max((~F.col("in_title")).cast("int")).alias("_alias"), F.max(((F.col("structured") & F.col("tag_in_title")) | ~F.col("in_title")).cast("int")).alias("_title"))
+    all_ = each.groupBy(key).agg(F.sum("_alias").alias("_aliases"), F.sum("_title").alias("_titles"))
+    r = each.join(all_, key).filter((F.col("_alias") == 0) | ((F.col("works") >= 2) & (F.col("_aliases") == 1)))
+    sure = (F.col("_title") == 1) & (F.col("works") >= 2) & (F.col("_titles") == 1)
+    score = work_score(F.col("works"), F.lit(True))
+    return r.select(key, "identity", "works", F.when(sure, F.greatest(F.lit(92), score)).otherwise(score).alias("score"), F.when(sure & (F.col("_alias") == 1), "alias").when(sure, "title").otherwise("search").alias("bridge"))
+
+
 def classic_first(classic: DataFrame, scored: DataFrame, manual: DataFrame, key: str, target: str) -> DataFrame:
     """A person's assignment, else the cascade, else the scores."""
     pick = lambda d, s: d.filter(F.col(target).isNotNull()).select(key, F.struct(F.col(target), F.lit(s).alias("by")).alias(f"_{s}"))

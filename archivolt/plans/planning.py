@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize
 from ..sources.writers import numbered, settled
 
 MOVABLE = ("Matched", "NewAuthor", "NewAuthorReuse", "Manual")
@@ -77,6 +78,20 @@ def batch_conflicts(rows: DataFrame, source: str, target: str) -> DataFrame:
     return rows.join(several, key == F.col("_k")).drop("_k")
 
 
+def conflict_sources(rows: DataFrame, source: str, target: str) -> DataFrame:
+    """A10: rows whose target more than one distinct source has, with the list of these sources, in order."""
+    key = F.lower(target)
+    pairs = rows.groupBy(key.alias("_k"), F.lower(source).alias("_s")).agg(F.min(source).alias("_source"))
+    listed = pairs.groupBy("_k").agg(F.array_sort(F.collect_list("_source")).alias("sources")).filter(F.size("sources") > 1)
+    return rows.join(listed, key == F.col("_k")).drop("_k")
+
+
+def identity_key(canonical: Column, entity: Column, name: Column, compat: bool = True) -> Column:
+    """L3: what a new folder is for: an alias group's canonical name, an entity, or the name itself."""
+    has = lambda c: F.trim(F.coalesce(c.cast("string"), F.lit(""))) != ""
+    return F.when(has(canonical), F.concat(F.lit("alias:"), normalize(canonical, compat))).when(has(entity), F.concat(F.lit("entity:"), entity.cast("string"))).otherwise(F.concat(F.lit("name:"), normalize(name, compat)))
+
+
 def first_per_target(rows: DataFrame, target: str, order: str, existing: DataFrame | None = None) -> DataFrame:
     """The first row of each target is carried out, unless the target is there."""
     first = rows.groupBy(F.lower(target).alias("_k")).agg(F.min(order).alias("_f"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
+from pyspark.sql.window import Window
 
 from ..functions.text import first_spelling, normalize, split_names, text_of
 
@@ -131,6 +133,14 @@ LIBRARY = T.StructType(
 )
 
 
+def broken_references(lists: dict[str, DataFrame]) -> DataFrame:
+    """SRC9: list, id: rows of a library's lists that refer to an author or circle that isn't there; a library with any isn't saved."""
+    authors, circles = (lists[n].select(F.col("id").alias("_id")) for n in ("authors", "circles"))
+    of = (("aliases", "author_id", authors), ("circle_aliases", "circle_id", circles), ("author_circles", "author_id", authors), ("author_circles", "circle_id", circles))
+    out = [lists[n].select(F.lit(n).alias("list"), F.col(c).alias("id")).join(to, F.col("id") == F.col("_id"), "left_anti") for n, c, to in of]
+    return reduce(DataFrame.unionByName, out)
+
+
 def library(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """SRC9: a user library as a table for each of its lists."""
     whole = spark.read.schema(LIBRARY).option("multiLine", True).json(path)
@@ -138,11 +148,27 @@ def library(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def legacy_aliases(spark: SparkSession, path: str) -> DataFrame:
-    """SRC10: line, canonical, alias, position from "canonical|alias|..." lines; comments, and lines of one name, apart."""
+    """SRC10: line (numbered through the whole file), canonical, alias, position from "canonical|alias|..." lines; comments, and lines of one name, apart."""
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.trim("value").alias("v")).filter("v <> '' AND NOT startswith(v, '#')")
     return alias_groups(lines)
 
 
+def prepared(spark: SparkSession, path: str) -> DataFrame:
+    """SRC5: lines of a source as text, whatever codec its name says (.gz and .zst are the readers' own); a database container is
+    refused by its first bytes, since it has to be exported first."""
+    head = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 15).alias("head"))
+    if not head.filter(F.col("head") == F.encode(F.lit("SQLite format 3"), "utf-8")).isEmpty():
+        raise ValueError(f"{path} is a database: export its tables first")
+    return spark.read.text(path)
+
+
+def filtered_listing(index: DataFrame, root: str, extensions: list[str], recursive: bool = True) -> DataFrame:
+    """SRC7: rows of an index of files (directory, name, extension, ...) below root. Both conditions are plain comparisons of columns, so the index's reader gets them."""
+    below = F.col("directory").startswith(root.rstrip("/") + "/")
+    out = index.filter(((F.col("directory") == root.rstrip("/")) | below) if recursive else F.col("directory") == root.rstrip("/"))
+    return out.filter(F.col("extension").isin([e.lstrip("*.").lower() for e in extensions])) if extensions else out
+
+
 def alias_groups(lines: DataFrame) -> DataFrame:
     """SRC10 on lines (line, v)."""
     names = F.filter(F.transform(F.split("v", r"\|"), lambda x: F.trim(x)), lambda x: x != "")
@@ -151,16 +177,25 @@ def alias_groups(lines: DataFrame) -> DataFrame:
     return lines.select("line", distinct.alias("n")).filter("size(n) >= 2").select("line", F.element_at("n", 1).alias("canonical"), F.posexplode("n").alias("position", "alias"))
 
 
-LOG_MARK = r"^#GL[34]\b"
+#: Headers after which lines are entries, and how an entry's time is written.
+LOG_FORMATS, LOG_TIME = ("#GL3", "#GL4"), r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}$"
 
 
-def performance_log(lines: DataFrame, column: str = "value", most: int = 1000) -> DataFrame:
-    """SRC12: time and a map of K=V from marked log lines, the last most of them; a key written twice keeps its last value."""
-    pairs = F.filter(F.split(column, r"\|"), lambda p: F.contains(p, F.lit("=")))
+def performance_log(lines: DataFrame, column: str = "value", most: int = 1000, file: str = "file", line: str = "line") -> DataFrame:
+    """SRC12: file, line, time and a map of K=V of the last entries, most at most.  A line is an entry if the last header before it in its file (a line
+    that starts with #GL) is one of LOG_FORMATS, and if it starts with a time; comments and the rest are skipped.  A key written twice keeps its
+    last value.  lines: file and line number (a log is read in order), and column."""
+    text = F.trim(F.coalesce(F.col(column), F.lit("")))
+    header = F.when(F.startswith(text, F.lit("#GL")), text.isin(*LOG_FORMATS))
+    w = Window.partitionBy(file).orderBy(line).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = lines.select(file, line, text.alias("_t"), F.last(header, ignorenulls=True).over(w).alias("_open")).filter(F.coalesce("_open", F.lit(False)) & ~F.startswith("_t", F.lit("#")))
+    time = F.split_part(F.col("_t"), F.lit("|"), F.lit(1))
+    rows = rows.filter(time.rlike(LOG_TIME) & F.try_to_timestamp(time, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS")).isNotNull())
+    pairs = F.filter(F.slice(F.split("_t", r"\|"), 2, 1 << 20), lambda p: F.instr(p, "=") > 1)
     last = F.reverse(F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r"^([^=]*)=", 1).alias("k"), F.regexp_replace(p, r"^[^=]*=", "").alias("v"))))
     keys = F.transform(last, lambda e: e["k"])
     once = F.filter(last, lambda e, i: F.array_position(keys, e["k"]) == i + 1)
-    return lines.select(F.split_part(F.col(column), F.lit("|"), F.lit(1)).alias("time"), F.map_from_entries(once).alias("values")).orderBy(F.desc("time")).limit(most)
+    return rows.select(file, line, time.alias("time"), F.map_from_entries(once).alias("values")).orderBy(F.desc(file), F.desc(line)).limit(most)
 
 
 def metric(values: str, key: str, kind: str = "bigint", default: int = 0) -> Column:

@@ -15,15 +15,23 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df as files in the session's checkpoint folder (one of our own only where none is set): what depends on how rows fell into
-    partitions is decided once, and stays decided when an executor is lost."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only where none is named and everything runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that executors share")
         base = "file://" + tempfile.mkdtemp(prefix="archivolt-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/archivolt/settled-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/archivolt"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as files in the shared folder: what depends on how rows fell into
+    partitions is decided once, and stays decided when an executor is lost."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -41,14 +49,26 @@ def numbered(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
 
 def history(session: DataFrame, items: DataFrame, path: str) -> None:
     """SNK1: the session's header and its items as two sets of CSV files, quoted, with a byte-order mark on the header line's first name."""
-    mark = "﻿"
+    mark = "\ufeff"
     for df, name in ((session, "session"), (items, "items")):
         first = df.columns[0]
         df.withColumnRenamed(first, mark + first).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(f"{path}/{name}")
 
 
+def session_block(session: DataFrame, items: DataFrame, order: list[str]) -> DataFrame:
+    """SNK1 as one block of lines: at, line: the session's names and values, an empty line, then the items' names and values in order, all
+    quoted; the first line has the byte-order mark. Write it ordered by at."""
+    quoted = lambda df: F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in df.columns])
+    names = lambda df: ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
+    spark = session.sparkSession
+    lines = numbered(items.withColumn("_line", quoted(items)), order, "_n").select((F.col("_n") + 4).alias("at"), F.col("_line").alias("line"))
+    head = spark.createDataFrame([(0, "\ufeff" + names(session)), (2, ""), (3, names(items))], "at long, line string")
+    return head.unionByName(session.select(F.lit(1).cast("long").alias("at"), quoted(session).alias("line"))).unionByName(lines)
+
+
 def replace_whole(df: DataFrame, path: str) -> None:
-    """SNK2, SRC9: readers see the old rows or the new ones; what fails half way leaves the old."""
+    """SNK2, SRC9: rows are staged in full before the old ones go, and what fails half way leaves the old. Between the two renames there is no table at
+    the path: readers that can't wait read a version that stage() and activate() publish."""
     spark = df.sparkSession
     staged, old = f"{path}.staged-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     fs, target = _fs(spark, path)
