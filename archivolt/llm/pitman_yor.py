@@ -264,6 +264,23 @@ def binomial(u: np.ndarray, mean: np.ndarray, variance: np.ndarray, most: np.nda
     return np.clip(out, 0, most)
 
 
+def polynomial_draw(weights: np.ndarray, g: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """1, 2, ..., each drawn by its share of the terms weights[0], weights[1] * g, ..., of which u says how far to go."""
+    left = np.zeros(len(g))
+    for w in weights[::-1]:
+        left = left * g + w
+    left *= u
+    out, power = np.ones(len(g), np.int64), np.ones(len(g))
+    for w in weights[:-1]:
+        left -= w * power
+        more = left > 0
+        if not more.any():
+            break
+        out += more
+        power *= g
+    return out
+
+
 def drawn(h: np.ndarray, c: np.ndarray, grant: np.ndarray, sweep: int) -> np.ndarray:
     """A draw of the number of tables of dishes with c customers each, all of whom sit down anew. grant: a new table's weight; h: what
     the draw depends on.  Up to EXACT customers it's from the numbers' own distribution, beyond from the binomial of the same mean and variance
@@ -274,12 +291,19 @@ def drawn(h: np.ndarray, c: np.ndarray, grant: np.ndarray, sweep: int) -> np.nda
     few = np.flatnonzero((c > 1) & (c <= EXACT))
     few = few[np.argsort(c[few], kind="stable")]
     for same in np.split(few, np.flatnonzero(np.diff(c[few])) + 1):
+        if not len(same):
+            continue
+        k = int(c[same[0]])
+        weights = np.exp(stirling[k, 1 : k + 1] - stirling[k, 1 : k + 1].max())
         for i in range(0, len(same), 1 << 14):
             at = same[i : i + (1 << 14)]
-            k = int(c[at[0]])
-            log = stirling[k, 1 : k + 1] + np.log(grant[at])[:, None] * np.arange(k)
-            sums = np.cumsum(np.exp(log - log.max(1, keepdims=True)), axis=1)
-            out[at] = 1 + (u[at][:, None] * sums[:, -1:] > sums[:, :-1]).sum(1)
+            # weights of more tables by powers of the grant, from the side on which they don't overflow
+            g, turned = grant[at], grant[at] > 1
+            g = np.where(turned, 1 / g, g)
+            for rows, own in ((np.flatnonzero(~turned), weights), (np.flatnonzero(turned), weights[::-1])):
+                if len(rows):
+                    tables = polynomial_draw(own, g[rows], u[at[rows]] if own is weights else 1 - u[at[rows]])
+                    out[at[rows]] = tables if own is weights else k + 1 - tables
     many = np.flatnonzero(c > EXACT)
     if len(many):
         out[many] = 1 + binomial(u[many], *looked_up(c[many], grant[many]), c[many] - 1).astype(np.int64)
