@@ -109,16 +109,17 @@ class Block:
         self.hash = mix(self.words[self.context] * np.uint64(0x9E3779B97F4A7C15) + self.words[self.dish])
         self.trained = np.repeat(~self.held, self.lens)
 
-    def word_order(self) -> tuple[np.ndarray, np.ndarray]:
-        return self._order(self.words)
-
-    def pair_order(self) -> tuple[np.ndarray, np.ndarray]:
-        return self._order(self.hash)
+    in_order: tuple[np.ndarray, np.ndarray] | None = None
 
     def _order(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places by bucket, and each bucket's end."""
-        bucket = ((h >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int64)
-        return np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=self.buckets))
+        """Places by bucket, and each bucket's end. Small integers are sorted by radix; the words' order is kept, every sweep asks for it."""
+        if h is self.words and self.in_order:
+            return self.in_order
+        bucket = ((h >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.min_scalar_type(self.buckets))
+        out = np.argsort(bucket, kind="stable"), np.cumsum(np.bincount(bucket, minlength=self.buckets))
+        if h is self.words:
+            self.in_order = out
+        return out
 
     def send(self, kind: int, h: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
         """(bucket, kind, payload): hashes and columns of what belongs to the bucket."""
