@@ -505,3 +505,15 @@ def test_chunks_of_other_scripts(spark):
         rows = spark.createDataFrame([(1, text), (2, r.choice(of) * 7 + text)], "doc_id long, text string")
         a, b = (set(x.c) for x in rows.select(chunk_list(F.col("text")).alias("c")).collect())
         assert len(a & b) > 0.8 * len(a)
+
+
+def test_quality_against_plain(spark):
+    """Every score against a plain version that goes document by document: prose, junk, and what lies between."""
+    r = random.Random(8)
+    prose, noise = ["the", "river", "was", "quiet", "and", "people", "walked", "home", "early"], ["BUY!!", "$$$$", "|", "1234567", "x%%", "CLICKHERENOWFORTHEBESTOFFER"]
+    texts = [" ".join(r.choice(noise if r.random() < share else prose) for _ in range(r.randint(1, 40))) for share in (0, 0, 0.1, 0.3, 0.6, 1) for _ in range(12)]
+    texts += ["", "  ", texts[0], "É" * 30]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x for x in quality.quality(d).collect()}
+    for i, want in enumerate(brute.quality_scores([t.encode() for t in texts])):
+        assert abs(got[i].score - want) < 1e-5 and got[i].keep == (got[i].score >= 0.5), i
