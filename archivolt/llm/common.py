@@ -91,6 +91,23 @@ def forget(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys that hold this share of all rows are hot: fewer than 1 / HOT_SHARE of them can be.
+HOT_SHARE = 0.001
+
+
+def joined_back(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows with their group's columns. groups: key, size (its rows) and others, one row a key, for all of rows. Hot keys, which are
+    few by their share of all rows, meet their rows by broadcast; so no key's rows are gathered in one task."""
+    total = groups.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()[0]
+    least = max(2, int(total * HOT_SHARE))
+    hot = groups.filter(F.col("size") >= least)
+    keys = [r[0] for r in hot.select(key).collect()]
+    if not keys:
+        return rows.join(groups, key)
+    is_hot = F.col(key).isin(keys)
+    return rows.filter(is_hot).join(F.broadcast(hot), key).unionByName(rows.filter(~is_hot).join(groups.filter(F.col("size") < least), key))
+
+
 def parts(spark: SparkSession) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -10,13 +10,16 @@ from .bpe import bpe_round_trip
 from .common import read
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .importance import importance_resample
 from .near_dedup import near_dedup
 from .pitman_yor import language_model
 from .quality import quality
+from .simhash import simhash_dedup
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
 from .url_filter import url_filter
+from .whitening import whiten
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -67,7 +70,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_bpe, op4_exact_dedup, op5_url_filter, op6_language_model, op7_substring_dedup, op8_near_dedup, op9_toxicity, op10_decontaminate)}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(read(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_bpe, op4_exact_dedup, op5_url_filter, op6_language_model, op7_substring_dedup, op8_near_dedup, op9_toxicity, op10_decontaminate, op11_importance, op12_whitening, op13_simhash)}
 
 ORACLE: dict[str, str] = {
     "op1_suffix_dedup": """
