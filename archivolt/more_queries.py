@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from .functions import grammar, naming, rules, text
 from .operators import cdc, kb, resolve, scoring
 from .plans import planning, report
-from .queries import WORK_SQL, base_identities, evidence, query, statuses, STATUS_SQL, t, urls, URL_SQL
+from .queries import WORK_SQL, evidence, query, statuses, STATUS_SQL, t, urls, URL_SQL, work_rows
 from .sources import readers, writers
 from .streaming import changes
 
@@ -23,39 +23,74 @@ def folder(spark, name: str) -> str:
 
 # --- the merge
 
-MERGE_SQL = f"""{WORK_SQL}, ok AS (SELECT * FROM c WHERE source_file NOT LIKE '%-12'),
-             e AS (SELECT source_id, gallery_id, 'Artist' AS kind, s_name AS name FROM ok JOIN supplier ON s_suppkey = l_suppkey UNION ALL SELECT source_id, gallery_id, 'Group', p_brand FROM ok),
-             i AS (SELECT source_id, kind, lower(name) AS norm, min(name) AS name, count(DISTINCT gallery_id) AS works FROM e GROUP BY 1, 2, 3),
-             b AS (SELECT 'A' AS src, lower(s_name) AS norm, s_suppkey AS id FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'R', lower(s_name), s_suppkey + 1000000 FROM supplier WHERE s_suppkey % 4 = 0),
-             h AS (SELECT norm, count(DISTINCT id) AS holders FROM b GROUP BY 1),
-             x AS (SELECT lower(s_name) AS norm, s_suppkey + 2000000 AS id FROM supplier WHERE s_suppkey % 6 = 1),
-             g AS (SELECT i.*, b.id AS own, x.id AS ext, b.id IS NULL AND coalesce(h.holders, 0) > 1 AS conflict
-                   FROM i LEFT JOIN b ON i.kind = 'Artist' AND b.src = i.source_id AND b.norm = i.norm LEFT JOIN h ON i.kind = 'Artist' AND h.norm = i.norm
-                          LEFT JOIN x ON i.kind = 'Artist' AND i.source_id = 'N' AND x.norm = i.norm),
-             f AS (SELECT source_id, kind, norm, name, works, conflict, coalesce(own, CASE WHEN NOT conflict THEN ext END) AS id FROM g),
-             fresh AS (SELECT row_number() OVER (ORDER BY source_id, kind, norm) + (SELECT max(id) FROM x) AS id, source_id, kind, norm, name FROM f WHERE id IS NULL AND NOT conflict),
-             p AS (SELECT f.source_id, f.kind, f.norm, f.name, f.works, f.conflict, coalesce(f.id, fresh.id) AS id FROM f LEFT JOIN fresh ON f.source_id = fresh.source_id AND f.kind = fresh.kind AND f.norm = fresh.norm),
-             entities AS (SELECT id, 'Artist' AS kind, norm, '' AS canonical_name FROM x UNION ALL SELECT id, kind, norm, name FROM fresh),
-             own AS (SELECT source_id AS src, kind, norm, min(id) AS id, min(name) AS tag, max(works) AS works FROM p WHERE id IS NOT NULL GROUP BY 1, 2, 3),
-             identities AS (SELECT 'Archive:' || coalesce(b.src, own.src) AS provider, coalesce(own.kind, 'Artist') AS kind, coalesce(b.norm, own.norm) AS norm, coalesce(b.id, own.id) AS entity_id,
-                                   CASE WHEN b.id IS NULL THEN own.tag ELSE '' END AS tag, coalesce(own.works, 0) AS works FROM b FULL JOIN own ON own.kind = 'Artist' AND own.src = b.src AND own.norm = b.norm),
-             aliases AS (SELECT id AS entity_id, norm, min(name) AS alias, 'provider_tag' AS alias_type FROM p WHERE id IS NOT NULL GROUP BY 1, 2),
-             ar AS (SELECT DISTINCT ok.source_id, gallery_id, p.id FROM ok JOIN supplier ON s_suppkey = l_suppkey JOIN p ON p.kind = 'Artist' AND p.source_id = ok.source_id AND p.norm = lower(s_name) WHERE p.id IS NOT NULL),
-             gr AS (SELECT DISTINCT ok.source_id, gallery_id, p.id FROM ok JOIN p ON p.kind = 'Group' AND p.source_id = ok.source_id AND p.norm = lower(p_brand) WHERE p.id IS NOT NULL),
-             ws AS (SELECT ar.source_id, ar.id AS artist_id, gr.id AS group_id, count(*) AS weight FROM ar JOIN gr ON ar.source_id = gr.source_id AND ar.gallery_id = gr.gallery_id GROUP BY 1, 2, 3),
+#: The statements of a merge, over orders as works, months of shipping as files (those of December, often a work's newest, aren't imported), return flags as sources
+#: of three providers, suppliers as artists with a pretty name of full-width digits or none, brands as groups; and an aggregate of supplier names.
+MERGE_SQL = f"""{WORK_SQL}, w2 AS (SELECT CASE source_id WHEN 'N' THEN 'nh-metadata-archive' WHEN 'A' THEN 'eh-current' ELSE 'csv-r' END AS source_id, gallery_id, source_file, l_suppkey, p_brand FROM w),
+             files AS (SELECT DISTINCT source_id, source_file, CASE WHEN source_file LIKE '%-12' THEN 'pending' ELSE 'imported' END AS state FROM w2 UNION ALL SELECT 'eh-tag-aggregate', 'tags', 'imported' UNION ALL SELECT 'gone-source', 'x', 'withdrawn'),
+             ev AS (SELECT w2.source_id, source_file, gallery_id, 'Artist' AS kind, s_name AS name, lower(s_name) AS norm,
+                           CASE WHEN s_suppkey % 3 = 0 THEN translate(s_name, '0123456789', '０１２３４５６７８９') || chr(12288) || '改' ELSE '' END AS pretty, CASE WHEN s_suppkey % 3 = 0 THEN lower(s_name) || ' 改' ELSE '' END AS pretty_norm
+                    FROM w2 JOIN supplier ON s_suppkey = l_suppkey
+                    UNION ALL SELECT source_id, source_file, gallery_id, 'Group', p_brand, lower(p_brand), '', '' FROM w2
+                    UNION ALL SELECT 'eh-tag-aggregate', 'tags', -s_suppkey, 'Artist', upper(s_name), lower(s_name), '', '' FROM supplier WHERE s_suppkey % 5 = 0
+                    UNION ALL SELECT source_id, source_file, gallery_id, 'Parody', 'x', 'x', '', '' FROM w2),
+             sources AS (SELECT row_number() OVER (ORDER BY source_id) AS id, source_id AS source_key FROM (SELECT DISTINCT source_id FROM files WHERE state = 'imported')),
+             incoming AS (SELECT e.source_id, e.kind, e.norm,
+                                 CASE WHEN e.source_id = 'nh-metadata-archive' THEN 'nHentai' WHEN e.source_id IN ('eh-current', 'eh-tag-aggregate') THEN 'E-Hentai' ELSE 'Archive:' || e.source_id END AS provider,
+                                 CASE WHEN e.source_id = 'nh-metadata-archive' THEN 'nhentai:' WHEN e.source_id IN ('eh-current', 'eh-tag-aggregate') THEN 'ehentai:' ELSE 'archive:' || e.source_id || ':' END || lower(e.kind) || ':' || e.norm AS external_key,
+                                 min(e.name) AS name, min(coalesce(nullif(e.pretty, ''), e.name)) AS pretty, min(coalesce(nullif(e.pretty_norm, ''), e.norm)) AS pretty_norm, count(DISTINCT e.gallery_id) AS works
+                          FROM ev e JOIN files f ON f.source_id = e.source_id AND f.source_file = e.source_file
+                               LEFT JOIN (SELECT w2.source_id, gallery_id, max(w2.source_file) AS newest FROM w2 JOIN files f2 ON f2.source_id = w2.source_id AND f2.source_file = w2.source_file WHERE f2.state = 'imported' GROUP BY 1, 2) m
+                                 ON m.source_id = e.source_id AND m.gallery_id = e.gallery_id
+                          WHERE f.state = 'imported' AND e.kind IN ('Artist', 'Group') AND length(e.norm) BETWEEN 1 AND 300 AND (e.source_id = 'eh-tag-aggregate' OR e.source_file = m.newest) GROUP BY 1, 2, 3, 4, 5),
+             base_identity AS (SELECT 'E-Hentai' AS provider, lower(s_name) AS norm, s_suppkey AS id FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT 'Other', lower(s_name), s_suppkey + 1000000 FROM supplier WHERE s_suppkey % 8 = 0),
+             base_entity AS (SELECT s_suppkey AS id, 'Artist' AS kind, lower(s_name) AS norm, s_name AS canonical_name, '' AS external_id FROM supplier WHERE s_suppkey % 4 = 0
+                             UNION ALL SELECT s_suppkey + 1000000, 'Artist', lower(s_name), s_name, '' FROM supplier WHERE s_suppkey % 8 = 0
+                             UNION ALL SELECT s_suppkey + 2000000, 'Artist', lower(s_name), s_name, 'nhentai:artist:' || lower(s_name) FROM supplier WHERE s_suppkey % 6 = 1),
+             one AS (SELECT i.*, b.id AS own, b.id IS NULL AND coalesce(h.holders, 0) > 1 AS conflict FROM incoming i LEFT JOIN base_identity b ON i.kind = 'Artist' AND b.provider = i.provider AND b.norm = i.norm
+                       LEFT JOIN (SELECT norm, count(DISTINCT id) AS holders FROM base_identity GROUP BY 1) h ON i.kind = 'Artist' AND h.norm = i.norm),
+             two AS (SELECT one.* EXCLUDE (own), coalesce(own, CASE WHEN NOT conflict THEN x.id END) AS id FROM one LEFT JOIN base_entity x ON x.external_id = one.external_key AND x.kind = one.kind),
+             fresh AS (SELECT row_number() OVER (ORDER BY source_id, kind, norm) + (SELECT max(id) FROM base_entity) AS id, * EXCLUDE (id) FROM two WHERE id IS NULL AND NOT conflict
+                         AND NOT EXISTS (SELECT 1 FROM two o WHERE o.provider = two.provider AND o.kind = two.kind AND o.norm = two.norm AND o.source_id < two.source_id AND NOT o.conflict AND o.id IS NULL)),
+             p AS (SELECT two.* EXCLUDE (id), coalesce(two.id, CASE WHEN NOT two.conflict THEN fresh.id END) AS id FROM two LEFT JOIN fresh ON fresh.external_key = two.external_key AND fresh.kind = two.kind),
+             nh AS (SELECT id, kind, min(name) AS tag FROM p WHERE provider = 'nHentai' AND id IS NOT NULL AND NOT conflict GROUP BY 1, 2),
+             every_entity AS (SELECT id, kind, norm, canonical_name, external_id, '' AS eh_artist_tag, '' AS nh_artist_tag, '' AS nh_group_tag, '' AS eh_namespace, '' AS eh_tag, 'Unverified' AS verification_source, CAST(NULL AS BIGINT) AS source_id FROM base_entity
+                         UNION ALL SELECT f.id, f.kind, f.pretty_norm, f.pretty, f.external_key, CASE WHEN f.kind = 'Artist' AND provider = 'E-Hentai' THEN name ELSE '' END, CASE WHEN f.kind = 'Artist' AND provider = 'nHentai' THEN name ELSE '' END,
+                                CASE WHEN f.kind = 'Group' AND provider = 'nHentai' THEN name ELSE '' END, CASE WHEN provider = 'E-Hentai' THEN lower(f.kind) ELSE '' END, CASE WHEN provider = 'E-Hentai' THEN name ELSE '' END,
+                                CASE WHEN provider = 'E-Hentai' THEN 'OfflineDatabase' ELSE 'Unverified' END, s.id FROM fresh f JOIN sources s ON s.source_key = f.source_id),
+             entities AS (SELECT e.* REPLACE (CASE WHEN e.kind = 'Artist' AND e.nh_artist_tag = '' THEN coalesce(nh.tag, '') ELSE e.nh_artist_tag END AS nh_artist_tag,
+                                              CASE WHEN e.kind = 'Group' AND e.nh_group_tag = '' THEN coalesce(nh.tag, '') ELSE e.nh_group_tag END AS nh_group_tag) FROM every_entity e LEFT JOIN nh ON nh.id = e.id AND nh.kind = e.kind),
+             own AS (SELECT provider, kind, p.norm, min_by(p.id, p.source_id) AS id, min_by(name, p.source_id) AS tag, max(works) AS works, min_by(s.id, p.source_id) AS source_id FROM p JOIN sources s ON s.source_key = p.source_id WHERE p.id IS NOT NULL AND NOT conflict GROUP BY 1, 2, 3),
+             identities AS (SELECT coalesce(b.provider, own.provider) AS provider, coalesce(own.kind, 'Artist') AS kind, coalesce(b.norm, own.norm) AS norm, coalesce(b.id, own.id) AS entity_id, CASE WHEN b.id IS NULL THEN own.tag ELSE '' END AS tag,
+                                   coalesce(own.works, 0) AS works, CASE WHEN b.id IS NULL THEN own.source_id END AS source_id FROM base_identity b FULL JOIN own ON own.kind = 'Artist' AND own.provider = b.provider AND own.norm = b.norm),
+             named AS (SELECT id, norm, name AS alias, 'provider_tag' AS alias_type, 0 AS rank, source_id FROM p WHERE id IS NOT NULL AND NOT conflict UNION ALL SELECT id, pretty_norm, pretty, 'roman', 1, source_id FROM p WHERE id IS NOT NULL AND NOT conflict),
+             aliases AS (SELECT entity_id, norm, alias, alias_type, s.id AS source_id FROM (SELECT id AS entity_id, norm, alias, alias_type, source_id AS key, row_number() OVER (PARTITION BY id, norm ORDER BY rank, source_id, alias) AS n FROM named) JOIN sources s ON s.source_key = key WHERE n = 1),
+             ws AS (SELECT a.source_id, ia.id AS artist_id, ig.id AS group_id, count(DISTINCT a.gallery_id) AS weight
+                    FROM ev a JOIN ev g ON a.source_id = g.source_id AND a.source_file = g.source_file AND a.gallery_id = g.gallery_id AND a.kind = 'Artist' AND g.kind = 'Group'
+                         JOIN files f ON f.source_id = a.source_id AND f.source_file = a.source_file
+                         JOIN (SELECT w2.source_id, gallery_id, max(w2.source_file) AS newest FROM w2 JOIN files f2 ON f2.source_id = w2.source_id AND f2.source_file = w2.source_file WHERE f2.state = 'imported' GROUP BY 1, 2) m
+                           ON m.source_id = a.source_id AND m.gallery_id = a.gallery_id AND m.newest = a.source_file
+                         JOIN p ia ON ia.source_id = a.source_id AND ia.kind = 'Artist' AND ia.norm = a.norm JOIN p ig ON ig.source_id = g.source_id AND ig.kind = 'Group' AND ig.norm = g.norm
+                    WHERE f.state = 'imported' AND a.source_id <> 'eh-tag-aggregate' AND NOT ia.conflict AND NOT ig.conflict AND ia.id IS NOT NULL AND ig.id IS NOT NULL AND ia.id <> ig.id GROUP BY 1, 2, 3),
              relations AS (SELECT artist_id, group_id, max(weight) AS weight FROM ws GROUP BY 1, 2)"""
 
 
 def merge_input(spark, d) -> tuple[kb.Kb, DataFrame, DataFrame, DataFrame]:
     """A base of identities and entities, evidence, works, and files of which those of December aren't imported."""
-    identity, entity = base_identities(spark, d)
-    entity = entity.select("id", F.lit("").alias("canonical_name"), F.lit("").alias("roman_name"), F.element_at(F.split("external_id", ":"), -1).alias("norm"), "kind", "external_id", F.lit(False).alias("verified"))
-    identity = identity.select("provider", "kind", "norm", "entity_id", F.lit("").alias("tag"), F.lit(0).cast("long").alias("works"))
+    s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name", F.lower("s_name").alias("norm"))
+    key = F.col("l_suppkey")
+    kept = ((key % 4 == 0, 0, F.lit("")), (key % 8 == 0, 1_000_000, F.lit("")), (key % 6 == 1, 2_000_000, F.concat(F.lit("nhentai:artist:"), "norm")))
+    entity = reduce(DataFrame.unionByName, [s.filter(which).select((key + add).alias("id"), F.col("s_name").alias("canonical_name"), F.lit("").alias("roman_name"), "norm", F.lit("Artist").alias("kind"), external.alias("external_id"), F.lit(False).alias("verified")) for which, add, external in kept])
+    identity = reduce(DataFrame.unionByName, [s.filter(which).select(F.lit(provider).alias("provider"), F.lit("Artist").alias("kind"), "norm", (key + add).alias("entity_id"), F.lit("").alias("tag"), F.lit(0).cast("long").alias("works")) for (which, add, _), provider in zip(kept[:2], ("E-Hentai", "Other"), strict=True)])
     empty = lambda schema: spark.createDataFrame([], schema)
     base = kb.Kb(entity, identity, empty("entity_id long, norm string, alias string, alias_type string"), empty("artist_id long, group_id long, weight long"))
-    e, w = evidence(spark, d)
+    w = work_rows(spark, d).withColumn("source_id", F.when(F.col("source_id") == "N", "nh-metadata-archive").when(F.col("source_id") == "A", "eh-current").otherwise("csv-r")).drop("l_partkey").join(s.drop("norm"), "l_suppkey")
+    pretty = F.when(key % 3 == 0, F.concat(F.translate("s_name", "0123456789", "０１２３４５６７８９"), F.lit("　改"))).otherwise("")
+    row = lambda rows, kind, name, pretty=F.lit(""): rows.select("source_id", "source_file", "gallery_id", F.lit(kind).alias("entity_type"), name.alias("name"), F.lower(name).alias("normalized_name"), pretty.alias("pretty_name"))
+    tags = s.filter(key % 5 == 0).select(F.lit(kb.AGGREGATE).alias("source_id"), F.lit("tags").alias("source_file"), (-key).alias("gallery_id"), "s_name")
+    e = reduce(DataFrame.unionByName, [row(w, "Artist", F.col("s_name"), pretty), row(w, "Group", F.col("p_brand")), row(tags, "Artist", F.upper("s_name")), row(w, "Parody", F.lit("x"))])
     files = w.select("source_id", F.col("source_file").alias("path")).distinct().withColumn("state", F.when(F.endswith("path", F.lit("-12")), "pending").otherwise("imported"))
-    return base, e, w, files
+    files = files.unionByName(spark.createDataFrame([(kb.AGGREGATE, "tags", "imported"), ("gone-source", "x", "withdrawn")], "source_id string, path string, state string"))
+    return base, e, w.select("source_id", "gallery_id", "source_file"), files
 
 
 def merged(spark, d) -> kb.Kb:
@@ -64,8 +99,8 @@ def merged(spark, d) -> kb.Kb:
 
 @query(f"WITH {MERGE_SQL} SELECT * FROM entities")
 def merge_entities(spark, d):
-    """M3-M7: entities after the merge, the new ones numbered in order."""
-    return merged(spark, d).entity.select("id", "kind", "norm", "canonical_name")
+    """Entities after the merge, the new ones numbered in order, called by their pretty names, with their providers' tags."""
+    return merged(spark, d).entity.drop("roman_name", "verified")
 
 
 @query(f"WITH {MERGE_SQL} SELECT * FROM identities")
@@ -92,6 +127,12 @@ def merge_relation_sources(spark, d):
     return merged(spark, d).relation_source.select("source_id", "artist_id", "group_id", "weight")
 
 
+@query(f"WITH {MERGE_SQL} SELECT * FROM sources")
+def merge_registered(spark, d):
+    """M1: sources of imported files, registered by the merge."""
+    return merged(spark, d).source
+
+
 @query(f"""WITH {MERGE_SQL}, apart AS (SELECT kind, norm FROM p WHERE id IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT id) > 1)
            SELECT p.source_id, p.kind, p.norm, p.name, 'Cross-source identity ambiguity' AS reason, p.works FROM p JOIN apart ON apart.kind = p.kind AND apart.norm = p.norm WHERE p.id IS NOT NULL
            UNION ALL SELECT source_id, kind, norm, name, 'Multiple provider identities', works FROM p WHERE conflict""")

@@ -5,18 +5,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_non_ascii
+from ..functions.text import is_non_ascii, normalize
 from ..sources.readers import first_per_key
 from ..sources.writers import numbered, settled
 
 IMPORTED = "imported"
-#: Which provider a source's names belong to.
+#: Which provider a source's names belong to, and how the keys of its names begin; names of other sources belong to "Archive:<source>".
 PROVIDERS = {"nh-metadata-archive": "nHentai", "eh-current": "E-Hentai", "eh-tag-aggregate": "E-Hentai"}
+KEY_PREFIXES = {"nHentai": "nhentai:", "E-Hentai": "ehentai:"}
+KINDS = ("Artist", "Group")
 AGGREGATE = "eh-tag-aggregate"
 LONGEST = 300
+#: What a base may lack of its columns, and with what they are filled.
+ENTITY_EXTRAS = {"eh_artist_tag": "", "nh_artist_tag": "", "nh_group_tag": "", "eh_namespace": "", "eh_tag": "", "verification_source": "Unverified", "source_id": None}
+SOURCED = {"source_id": None}
 
 
 def newest_per_work(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -37,18 +42,22 @@ def imported_evidence(evidence: DataFrame, files: DataFrame) -> DataFrame:
     return evidence.join(ok, ["source_id", "source_file"])
 
 
-def incoming(evidence: DataFrame, works: DataFrame) -> DataFrame:
-    """M2, A1: source_id, kind, norm, name, pretty, works, provider, external_key.
-    Evidence counts from the newest file of each work; for the tag aggregate, which has no works, from all."""
+def incoming(evidence: DataFrame, works: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """M2, A1: source_id, kind, norm, name, pretty, pretty_norm, works, provider, external_key.
+    Evidence counts from the newest file of each work, of the files that are imported (files: all others are as if they weren't there; without
+    it all are); for the tag aggregate, which has no works, from all."""
+    if files is not None:
+        evidence, works = imported_evidence(evidence, files), imported_evidence(works, files)
     newest = works.groupBy("source_id", "gallery_id").agg(F.max("source_file").alias("_newest"))
     rows = evidence.join(newest, ["source_id", "gallery_id"], "left").filter((F.col("source_id") == AGGREGATE) | (F.col("source_file") == F.col("_newest")))
-    norm = F.col("normalized_name")
-    pretty = F.coalesce(F.nullif("pretty_name", F.lit("")), F.col("name"))
-    out = rows.filter((F.length(norm) >= 1) & (F.length(norm) <= LONGEST)).groupBy("source_id", F.col("entity_type").alias("kind"), norm.alias("norm"))
-    out = out.agg(F.min("name").alias("name"), F.min(pretty).alias("pretty"), F.countDistinct("gallery_id").alias("works"))
-    provider = F.create_map(*[F.lit(x) for kv in PROVIDERS.items() for x in kv])
-    out = out.withColumn("provider", F.coalesce(F.try_element_at(provider, "source_id"), F.concat(F.lit("Archive:"), "source_id")))
-    return out.withColumn("external_key", F.concat_ws(":", "provider", F.lower("kind"), "norm"))
+    norm, given = F.col("normalized_name"), F.nullif(F.coalesce("pretty_name", F.lit("")), F.lit(""))
+    own = F.nullif("normalized_pretty", F.lit("")) if "normalized_pretty" in evidence.columns else F.nullif(normalize(given), F.lit(""))
+    out = rows.filter(F.col("entity_type").isin(*KINDS) & (F.length(norm) >= 1) & (F.length(norm) <= LONGEST)).groupBy("source_id", F.col("entity_type").alias("kind"), norm.alias("norm"))
+    out = out.agg(F.min("name").alias("name"), F.min(F.coalesce(given, "name")).alias("pretty"), F.min(F.coalesce(own, norm)).alias("pretty_norm"), F.countDistinct("gallery_id").alias("works"))
+    of = lambda values, key: F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
+    out = out.withColumn("provider", F.coalesce(of(PROVIDERS, F.col("source_id")), F.concat(F.lit("Archive:"), "source_id")))
+    prefix = F.coalesce(of(KEY_PREFIXES, F.col("provider")), F.concat(F.lit("archive:"), "source_id", F.lit(":")))
+    return out.withColumn("external_key", F.concat(prefix, F.lower("kind"), F.lit(":"), "norm"))
 
 
 def pair_weights(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, source: str, work: str) -> DataFrame:
@@ -102,14 +111,16 @@ def smallest_source(rows: DataFrame, keys: list[str], source: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Kb:
-    """The tables of a knowledge base; conflicts and per-source relations are rebuilt by each merge."""
+    """The tables of a knowledge base; conflicts are rebuilt by each merge. A base's entities may lack the columns of ENTITY_EXTRAS, its identities and
+    aliases their source_id."""
 
-    entity: DataFrame  # id, canonical_name, roman_name, norm, kind, external_id, verified
-    identity: DataFrame  # provider, kind, norm, entity_id, tag, works
-    alias: DataFrame  # entity_id, norm, alias, alias_type
+    entity: DataFrame  # id, canonical_name, roman_name, norm, kind, external_id, verified, and ENTITY_EXTRAS
+    identity: DataFrame  # provider, kind, norm, entity_id, tag, works, source_id
+    alias: DataFrame  # entity_id, norm, alias, alias_type, source_id
     relation: DataFrame  # artist_id, group_id, weight
     relation_source: DataFrame | None = None  # source_id, artist_id, group_id, weight
     conflict: DataFrame | None = None  # source_id, kind, norm, name, reason, works
+    source: DataFrame | None = None  # id, source_key
 
 
 def assigned(base: Kb, rows: DataFrame) -> DataFrame:
@@ -123,48 +134,73 @@ def assigned(base: Kb, rows: DataFrame) -> DataFrame:
     return out.withColumn("conflict", conflict).withColumn("entity_id", F.coalesce("_own", F.when(~conflict, F.col("_ext")))).drop("_own", "_holders", "_ext")
 
 
-def created(base: Kb, rows: DataFrame) -> DataFrame:
-    """M6: an entity for each (provider, kind, norm) that has none, named by its smallest source; ids follow the largest there is,
-    in order of source, kind and norm."""
+def created(base: Kb, rows: DataFrame, source: DataFrame) -> DataFrame:
+    """M6: an entity for each (provider, kind, norm) that has none, as its smallest source has it, called by its pretty name; ids follow the largest there
+    is, in order of source, kind and norm. source: id, source_key."""
     new = rows.filter("entity_id IS NULL AND NOT conflict")
-    first = first_per_key(new.select("provider", "kind", "norm", "source_id", "name", "pretty", "external_key"), ["provider", "kind", "norm"], ["source_id", "name"])
+    first = first_per_key(new.select("provider", "kind", "norm", "source_id", "name", "pretty", "pretty_norm", "external_key"), ["provider", "kind", "norm"], ["source_id", "name"])
     top = base.entity.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0]
-    rows = numbered(first, ["source_id", "kind", "norm", "provider"], "id").withColumn("id", F.lit(top + 1) + F.col("id"))
-    return rows.select("id", F.col("name").alias("canonical_name"), F.col("pretty").alias("roman_name"), "norm", "kind", F.col("external_key").alias("external_id"), F.lit(False).alias("verified"), "provider")
+    rows = numbered(first, ["source_id", "kind", "norm", "provider"], "_n").join(source.select(F.col("id").alias("_source"), F.col("source_key").alias("source_id")), "source_id", "left")
+    tag = lambda provider, kind=None: F.when((F.col("provider") == provider) & ((F.col("kind") == kind) if kind else F.lit(True)), F.col("name")).otherwise("")
+    eh = F.col("provider") == "E-Hentai"
+    return rows.select(
+        (F.lit(top + 1) + F.col("_n")).alias("id"), F.col("pretty").alias("canonical_name"), F.col("pretty").alias("roman_name"), F.col("pretty_norm").alias("norm"), "kind", F.col("external_key").alias("external_id"), F.lit(False).alias("verified"),
+        tag("E-Hentai", "Artist").alias("eh_artist_tag"), tag("nHentai", "Artist").alias("nh_artist_tag"), tag("nHentai", "Group").alias("nh_group_tag"), F.when(eh, F.lower("kind")).otherwise("").alias("eh_namespace"), tag("E-Hentai").alias("eh_tag"),
+        F.when(eh, "OfflineDatabase").otherwise("Unverified").alias("verification_source"), F.col("_source").alias("source_id"),
+    )
+
+
+def filled(rows: DataFrame, extras: dict) -> DataFrame:
+    """rows with the columns of extras that they lack."""
+    return rows.withColumns({c: F.lit(v).cast("long" if v is None else "string") for c, v in extras.items() if c not in rows.columns})
 
 
 def merge(base: Kb, evidence: DataFrame, works: DataFrame, files: DataFrame) -> Kb:
     """The base with what imported evidence adds. Run again on its own result it adds nothing (M15); a withdrawn file's evidence
     is gone when the base is merged anew (M18)."""
-    ok = imported_evidence(evidence, files)
-    rows = settled(assigned(base, incoming(ok, works)))
-    new = settled(created(base, rows))
-    entity = base.entity.unionByName(new.drop("provider"))
-    by_key = new.select("provider", "kind", "norm", F.col("id").alias("_new"))
-    full = rows.join(by_key, ["provider", "kind", "norm"], "left").withColumn("entity_id", F.coalesce("entity_id", "_new")).drop("_new")
+    known = base.source if base.source is not None else base.entity.sparkSession.createDataFrame([], "id long, source_key string")
+    source = settled(registered(known, files))
+    by_source = source.select(F.col("id").alias("_source"), F.col("source_key").alias("source_id"))
+    base = replace(base, entity=filled(base.entity, ENTITY_EXTRAS), identity=filled(base.identity, SOURCED), alias=filled(base.alias, SOURCED))
+    rows = settled(assigned(base, incoming(evidence, works, files)))
+    new = settled(created(base, rows, source))
+    # what was just made is found by its key, like what was there
+    made = new.select(F.col("external_id").alias("external_key"), "kind", F.col("id").alias("_new"))
+    full = rows.join(made, ["external_key", "kind"], "left").withColumn("entity_id", F.coalesce("entity_id", F.when(~F.col("conflict"), F.col("_new")))).drop("_new")
     several = rows.filter("conflict").select("source_id", "kind", "norm", "name", F.lit("Multiple provider identities").alias("reason"), "works")
     apart = ambiguous(full.filter("entity_id IS NOT NULL"), ["kind", "norm"], "entity_id")
     crossed = full.filter("entity_id IS NOT NULL").join(apart, ["kind", "norm"], "left_semi").select("source_id", "kind", "norm", "name", F.lit("Cross-source identity ambiguity").alias("reason"), "works")
     conflict = crossed.unionByName(several.join(crossed, ["source_id", "kind", "norm"], "left_anti"))
-    placed = full.filter("entity_id IS NOT NULL")
-    own = placed.groupBy("provider", "kind", "norm").agg(F.min("entity_id").alias("entity_id"), F.min("name").alias("tag"), F.max("works").alias("works"))
+    placed = full.filter("entity_id IS NOT NULL AND NOT conflict").join(by_source, "source_id", "left")
+    first = F.struct("source_id", "name")
+    own = placed.groupBy("provider", "kind", "norm").agg(F.min_by("entity_id", first).alias("entity_id"), F.min_by("name", first).alias("tag"), F.max("works").alias("works"), F.min_by("_source", first).alias("source_id"))
     identity = upsert_max(base.identity, own.select(base.identity.columns), ["provider", "kind", "norm"], "works")
-    names = placed.select("entity_id", "norm", F.col("name").alias("alias"), F.lit("provider_tag").alias("alias_type")).unionByName(placed.select("entity_id", F.lower("pretty").alias("norm"), F.col("pretty").alias("alias"), F.lit("roman").alias("alias_type")))
-    names = first_per_key(names.withColumn("_o", F.when(F.col("alias_type") == "roman", 1).otherwise(0)), ["entity_id", "norm"], ["_o", "alias"]).drop("_o")
+    name = lambda norm, alias, kind, at: placed.select("entity_id", F.col(norm).alias("norm"), F.col(alias).alias("alias"), F.lit(kind).alias("alias_type"), F.col("_source").alias("source_id"), F.lit(at).alias("_at"), F.col("source_id").alias("_key"))
+    names = name("norm", "name", "provider_tag", 0).unionByName(name("pretty_norm", "pretty", "roman", 1))
+    names = first_per_key(names, ["entity_id", "norm"], ["_at", "_key", "alias"])
     alias = insert_ignore(base.alias, names.select(base.alias.columns), ["entity_id", "norm"])
-    # relations: artist and group of the same work, in the newest file
+    entity = base.entity.unionByName(new)
+    for kind, column in (("Artist", "nh_artist_tag"), ("Group", "nh_group_tag")):
+        tags = placed.filter((F.col("provider") == "nHentai") & (F.col("kind") == kind)).select(F.col("entity_id").alias("id"), "name")
+        entity = filled_tags(entity, tags, column, F.col("kind") == kind)
+    # relations: artist and group of the same work, in its newest imported file
+    ok, ok_works = imported_evidence(evidence, files), imported_evidence(works, files)
     in_work = ok.filter(F.col("source_id") != AGGREGATE).join(placed.select("source_id", F.col("kind").alias("entity_type"), F.col("norm").alias("normalized_name"), "entity_id"), ["source_id", "entity_type", "normalized_name"])
-    in_work = in_work.join(works.groupBy("source_id", "gallery_id").agg(F.max("source_file").alias("source_file")), ["source_id", "gallery_id", "source_file"])
+    in_work = in_work.join(ok_works.groupBy("source_id", "gallery_id").agg(F.max("source_file").alias("source_file")), ["source_id", "gallery_id", "source_file"])
     side = lambda kind, c: in_work.filter(F.col("entity_type") == kind).select("source_id", "gallery_id", F.col("entity_id").alias(c)).distinct()
     weights = pair_weights(side("Artist", "artist_id"), side("Group", "group_id"), ["source_id", "gallery_id"], "artist_id", "group_id", "source_id", "gallery_id").filter("artist_id <> group_id")
     relation = upsert_max(base.relation, max_weights(weights, "artist_id", "group_id").select(base.relation.columns), ["artist_id", "group_id"], "weight")
-    return replace(base, entity=entity, identity=identity, alias=alias, relation=relation, relation_source=weights, conflict=conflict)
+    by = weights.select("source_id", "artist_id", "group_id", "weight")
+    if base.relation_source is not None:
+        by = upsert_max(base.relation_source.select(by.columns), by, ["source_id", "artist_id", "group_id"], "weight")
+    return replace(base, entity=entity, identity=identity, alias=alias, relation=relation, relation_source=by, conflict=conflict, source=source)
 
 
-def filled_tags(entity: DataFrame, names: DataFrame, column: str) -> DataFrame:
-    """Empty tags take the smallest name. names: id, name."""
+def filled_tags(entity: DataFrame, names: DataFrame, column: str, only: Column | None = None) -> DataFrame:
+    """Empty tags take the smallest name, of all entities or of those that only says. names: id, name."""
     low = names.groupBy("id").agg(F.min("name").alias("_tag"))
-    return entity.join(low, "id", "left").withColumn(column, F.coalesce(F.nullif(column, F.lit("")), "_tag", F.lit(""))).drop("_tag").select(entity.columns)
+    tag = F.coalesce(F.nullif(column, F.lit("")), "_tag", F.lit(""))
+    return entity.join(low, "id", "left").withColumn(column, tag if only is None else F.when(only, tag).otherwise(F.col(column))).drop("_tag").select(entity.columns)
 
 
 def dangling(children: DataFrame, parents: DataFrame, key: str, parent_key: str) -> DataFrame:
@@ -254,4 +290,4 @@ def registered(sources: DataFrame, files: DataFrame) -> DataFrame:
     new = files.filter(F.col("state") == IMPORTED).select(F.col("source_id").alias("source_key")).distinct().join(sources, "source_key", "left_anti")
     top = sources.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0]
     rows = numbered(new, ["source_key"], "id")
-    return sources.unionByName(rows.select((F.lit(top + 1) + F.col("id")).cast(sources.schema["id"].dataType).alias("id"), "source_key"))
+    return sources.select("id", "source_key").unionByName(rows.select((F.lit(top + 1) + F.col("id")).cast(sources.schema["id"].dataType).alias("id"), "source_key"))

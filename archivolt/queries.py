@@ -89,7 +89,7 @@ def base_identities(spark, d) -> tuple[DataFrame, DataFrame]:
     s = t(spark, d, "supplier").select("s_suppkey", F.lower("s_name").alias("norm"))
     row = lambda rows, provider, add: rows.select(F.lit(provider).alias("provider"), F.lit("Artist").alias("kind"), "norm", (F.col("s_suppkey") + add).alias("entity_id"))
     identity = row(s.filter("s_suppkey % 2 = 0"), "Archive:A", 0).unionByName(row(s.filter("s_suppkey % 4 = 0"), "Archive:R", 1_000_000))
-    entity = s.filter("s_suppkey % 6 = 1").select((F.col("s_suppkey") + 2_000_000).alias("id"), F.lit("Artist").alias("kind"), F.concat(F.lit("Archive:N:artist:"), "norm").alias("external_id"))
+    entity = s.filter("s_suppkey % 6 = 1").select((F.col("s_suppkey") + 2_000_000).alias("id"), F.lit("Artist").alias("kind"), F.concat(F.lit("archive:N:artist:"), "norm").alias("external_id"))
     return identity, entity
 
 

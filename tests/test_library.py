@@ -187,6 +187,38 @@ def test_merge_from_zero(spark):
     assert sorted((r.id, r.kind) for r in k.entity.collect()) == [(1, "Artist"), (2, "Group")]
 
 
+def test_newest_file_is_the_newest_imported_one(spark):
+    """A withdrawn or pending newer file of the same work takes nothing away."""
+    s = "csv"
+    evidence = spark.createDataFrame([(s, f, "1", kind, n, n, "") for f in ("f1", "f2") for kind, n in (("Artist", "a"), ("Group", "g"), ("Parody", "p"))], EVIDENCE)
+    works = spark.createDataFrame([(s, "f1", "1"), (s, "f2", "1")], "source_id string, source_file string, gallery_id string")
+    for state, want in (("withdrawn", (2, 1)), ("pending", (2, 1)), ("imported", (2, 1))):
+        files = spark.createDataFrame([(s, "f1", "imported"), (s, "f2", state)], "source_id string, path string, state string")
+        k = kb.merge(base(spark, False), evidence, works, files)
+        assert (k.entity.count(), k.relation.count()) == want
+    none = spark.createDataFrame([(s, "f1", "pending"), (s, "f2", "withdrawn")], "source_id string, path string, state string")
+    assert kb.merge(base(spark, False), evidence, works, none).entity.count() == 0
+
+
+def test_entities_are_called_by_their_pretty_names(spark):
+    rows = [("nh-metadata-archive", "f", "1", "Artist", "some_name", "some_name", "Ｓｏｍｅ　Name"), ("eh-current", "f", "2", "Group", "circle", "circle", ""), ("csv", "f", "3", "Group", "circle", "circle", "")]
+    evidence = spark.createDataFrame(rows, EVIDENCE)
+    works = evidence.select("source_id", "source_file", "gallery_id")
+    files = evidence.select("source_id", F.col("source_file").alias("path"), F.lit("imported").alias("state"))
+    k = kb.merge(base(spark, False), evidence, works, files)
+    got = {r.external_id: r for r in k.entity.collect()}
+    nh, eh, own = got["nhentai:artist:some_name"], got["ehentai:group:circle"], got["archive:csv:group:circle"]
+    assert (nh.canonical_name, nh.roman_name, nh.norm, nh.nh_artist_tag, nh.eh_tag, nh.verification_source) == ("Ｓｏｍｅ　Name", "Ｓｏｍｅ　Name", "some name", "some_name", "", "Unverified")
+    assert (eh.eh_namespace, eh.eh_tag, eh.eh_artist_tag, eh.verification_source) == ("group", "circle", "", "OfflineDatabase") and own.verification_source == "Unverified"
+    names = {r.id: r.source_key for r in k.source.collect()}
+    assert sorted(names.values()) == ["csv", "eh-current", "nh-metadata-archive"] and names[nh.source_id] == "nh-metadata-archive"
+    assert {(r.norm, r.alias_type) for r in k.alias.filter(F.col("entity_id") == nh.id).collect()} == {("some_name", "provider_tag"), ("some name", "roman")}
+    # an entity of the base without the tag takes it
+    old = spark.createDataFrame([(9, "x", "x", "x", "Artist", "nhentai:artist:some_name", True)], "id long, canonical_name string, roman_name string, norm string, kind string, external_id string, verified boolean")
+    again = kb.merge(kb.Kb(old, *[getattr(base(spark, False), n) for n in ("identity", "alias", "relation")]), evidence, works, files)
+    assert again.entity.filter("id = 9").first().nh_artist_tag == "some_name" and again.entity.count() == 3
+
+
 def test_merge_of_many(spark):
     """102,582 identities, twice."""
     eh = "eh-tag-aggregate"
