@@ -17,8 +17,8 @@ pairs.  Links within a component can't change it, so the components are exactly
 
 Defined cases: null and empty texts have no shingles, are in a component of their own and link with
 nothing; texts of fewer than k words have one shingle, all their words; a null doc_id counts as the smallest and comes out
-as null; rows that repeat an id come out repeated, each judged by its own text: of several texts that have a component's smallest id
-the one of smallest MD5 is kept; other columns are ignored; an empty table gives an empty table.
+as null; rows that repeat an id come out repeated, each judged by its own text: kept says that a row has its component's smallest id, chosen
+that it also has, of several texts under that id, the one of smallest MD5; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, chunks, cut, forget, id_out, mix, plain
+from .common import NULL_ID, chunks, cut, forget, id_out, joined_back, mix, plain
 from .components import components
 from .substring_dedup import Hashes
 
@@ -184,7 +184,7 @@ def _links(pairs: DataFrame, one: DataFrame, sets: DataFrame, percent: int, labe
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, label: str = "op8") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a link is 100 * intersection >= percent * union of two sets of k-word shingles."""
+    """doc_id, n_shingles, component_id, kept, chosen: a link is 100 * intersection >= percent * union of two sets of k-word shingles."""
     return near_judged(docs, k, percent, label).drop("text_md5")
 
 
@@ -193,7 +193,7 @@ def near_judged(docs: DataFrame, k: int = 5, percent: int = 80, label: str = "op
     docs = plain(docs)
     every = cut(sketched(docs, k), f"{label}-sketches")
     # a set is a node, whatever ids its rows have; nodes are numbered as they are written
-    same = every.filter("n > 0").groupBy("digest", "n").agg(F.min(F.struct("doc_id", "text_md5")).alias("first"))
+    same = every.filter("n > 0").groupBy("digest", "n").agg(F.min(F.struct("doc_id", "text_md5")).alias("first"), F.count(F.lit(1)).alias("size"))
     same = cut(same.withColumn("rep", F.monotonically_increasing_id()), f"{label}-same")
     one = every.join(same.select("digest", "first.doc_id", "first.text_md5", "rep"), ["digest", "doc_id", "text_md5"]).dropDuplicates(["rep"]).select("rep", "n", "regs")
     one = cut(one, f"{label}-one")
@@ -251,9 +251,12 @@ def near_judged(docs: DataFrame, k: int = 5, percent: int = 80, label: str = "op
     found = merged(cut(links.unionByName(late), f"{label}-links"))
     for table in (one, keyed, met, sets, left):
         forget(table)
-    place = same.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "first", F.coalesce("component", "rep").alias("component"))
+    place = same.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "first", "size", F.coalesce("component", "rep").alias("component"))
     least = place.groupBy("component").agg(F.min("first").alias("least"))
-    out = every.join(place.join(least, "component").select("digest", "least"), "digest", "left")
+    groups = cut(place.join(least, "component").select("digest", "size", "least"), f"{label}-groups", (same,))
+    alone = every.filter("n = 0")
+    alone = alone.withColumn("least", F.lit(None).cast(groups.schema["least"].dataType)).withColumn("size", F.lit(1).cast("long"))
+    out = joined_back(every.filter("n > 0"), groups, "digest").unionByName(alone.select("digest", *every.drop("digest").columns, "size", "least"))
     component = F.coalesce("least.doc_id", "doc_id")
-    kept = F.coalesce((F.col("doc_id") == F.col("least.doc_id")) & (F.col("text_md5") == F.col("least.text_md5")), F.lit(True))
-    return out.select(id_out(), F.col("n").cast("long").alias("n_shingles"), F.nullif(component, F.lit(NULL_ID)).alias("component_id"), kept.alias("kept"), "text_md5")
+    chosen = F.coalesce((F.col("doc_id") == F.col("least.doc_id")) & (F.col("text_md5") == F.col("least.text_md5")), F.lit(True))
+    return out.select(id_out(), F.col("n").cast("long").alias("n_shingles"), F.nullif(component, F.lit(NULL_ID)).alias("component_id"), (F.col("doc_id") == component).alias("kept"), chosen.alias("chosen"), "text_md5")

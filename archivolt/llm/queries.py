@@ -59,7 +59,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(read(spark, sf_dir, "documents"), k=2)
+    return near_dedup(read(spark, sf_dir, "documents"), k=2).drop("chosen")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

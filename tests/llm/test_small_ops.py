@@ -363,7 +363,17 @@ def test_near_by_set_not_by_id(spark):
     by = {(r.doc_id, r.component_id) for r in got if r.doc_id is not None}
     assert by == {(7, 7), (8, 7), (9, 7), (10, None), (11, None)}
     assert sorted(r.doc_id for r in got if r.kept and r.doc_id is not None) == [7, 7]
-    assert sum(r.kept for r in got if r.doc_id is None) == 4  # one of base[1] and near[1]; the empty ones
+    assert sum(r.chosen for r in got if r.doc_id is None) == 4  # one of base[1] and near[1]; the empty ones
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_near_kept_by_id(spark):
+    """Rows that share an id and a component are kept alike; only one of their texts is chosen."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text + " more"), (2, text)]
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False)]
+    assert [r.doc_id for r in got if r.chosen] == [1]
 
 
 SHARED = [" ".join(f"w{(7 * j + i) % 40}" for i in range(60)) for j in range(6)]
@@ -517,3 +527,77 @@ def test_quality_against_plain(spark):
     got = {x.doc_id: x for x in quality.quality(d).collect()}
     for i, want in enumerate(brute.quality_scores([t.encode() for t in texts])):
         assert abs(got[i].score - want) < 1e-5 and got[i].keep == (got[i].score >= 0.5), i
+
+
+def test_one_endless_url_changes_nothing_else(spark):
+    """A blocked url of 500,001 characters among 120 others; and a kind that has none but long ones."""
+    rows = [(i, f"https://news.good{i % 7}.org/fr/story/{i}") for i in range(60)] + [(100 + i, f"http://spam{i % 5}.a.net/win/cash{i}") for i in range(60)]
+    asked = [(300, "https://news.good1.info/story/5"), (301, "http://spam3.b.info/win/cash9")]
+    schema = "page_id long, url string"
+    before = {x.page_id: x for x in url_filter.url_filter(spark.createDataFrame(rows + asked, schema)).collect()}
+    assert (before[300].verdict, before[301].verdict) == ("allow", "block")
+    endless = (400, "http://long.net/" + "z" * 500_001)
+    after = {x.page_id: x for x in url_filter.url_filter(spark.createDataFrame([*rows, *asked, endless], schema)).collect()}
+    assert after.pop(400).verdict == "block" and after == before
+    only = [(i, u.replace("/win", "/" + "w" * 9_000)) if i >= 100 else (i, u) for i, u in rows]
+    long = {x.page_id: x for x in url_filter.url_filter(spark.createDataFrame([*only, *asked, (302, "http://spam3.b.info/" + "w" * 9_000)], schema)).collect()}
+    assert long[300].verdict == "allow" and long[302].verdict == "block"
+
+
+def plain_urls(rows, order=4):
+    """Verdict and score of each url: rules; else two interpolated models of all urls of a kind but every fifth hash, and the best threshold on the rest."""
+    parts, said = url_brute(rows), dict(url_filter.RULES)
+    lower = lambda u: "".join(c.lower() if c.isascii() else c for c in u.split("://", 1)[1]) if u and "://" in u else ""
+    texts = {i: lower(u) for i, u in rows}
+    known = {texts[i]: said[parts[i][2]] == "allow" for i in texts if parts[i][2] and texts[i]}
+    fold = {t: url_hash(t) % 5 for t in known}
+    count = {g: {} for g in (True, False)}
+    for t, g in known.items():
+        if fold[t]:
+            for k in range(1, order + 1):
+                for i in range(len(t) - k + 1):
+                    count[g][t[i : i + k]] = count[g].get(t[i : i + k], 0) + 1
+    follow = {g: {} for g in count}
+    for g, c in count.items():
+        for x, n in c.items():
+            have = follow[g].setdefault(x[:-1], [0, 0])
+            have[0] += n
+            have[1] += 1
+
+    def p(s, c, g):
+        below = p(s[1:], c, g) if s else 1 / url_filter.ALPHABET
+        n, kinds = follow[g].get(s, (0, 0))
+        return (count[g].get(s + c, 0) + kinds * below) / (n + kinds) if n else below
+
+    def mean(t):
+        return sum(math.log(p(t[max(0, i - order + 1) : i], t[i], True)) - math.log(p(t[max(0, i - order + 1) : i], t[i], False)) for i in range(len(t))) / len(t) if t else 0.0
+
+    held = sorted((max(-2000, min(2000, math.floor(100 * mean(t)))), g) for t, g in known.items() if not fold[t])
+    bins, best = sorted({b for b, _ in held}), (0.0, 0, 0.0)
+    good = max(1, sum(g for _, g in held))
+    bad = max(1, len(held) - sum(g for _, g in held))
+    for b, after in zip(bins, [*bins[1:], bins[-1] + 1], strict=True):
+        gain = sum(not g for x, g in held if x <= b) / bad - sum(g for x, g in held if x <= b) / good
+        if (gain, -abs(b)) > best[:2] and gain > 0:
+            best = (gain, -abs(b), (b + after) / 200)
+    return {i: (said[parts[i][2]] if parts[i][2] else "block" if round(mean(t), 12) < best[2] else "allow", mean(t)) for i, t in texts.items()}
+
+
+def url_hash(t):
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(t.encode(), 42)
+    return h - 2**64 if h >> 63 else h
+
+
+def test_urls_against_plain(spark):
+    """Sample, threshold, scores and verdicts of undecided urls against a plain version."""
+    g = random.Random(12)
+    word = lambda of: "".join(g.choice(of) for _ in range(g.randint(3, 9)))
+    rows = [(i, f"https://{word('aeinrst')}.org/fr/{word('aeinrst')}") for i in range(150)] + [(200 + i, f"http://{word('xzqkwe')}.net/{word('xzq018')}") for i in range(120)]
+    rows += [(500 + i, f"http://{word(g.choice(['aeinrst', 'xzqkwe', 'aexz1']))}.info/{word('aexz')}") for i in range(80)] + [(900, None), (901, "plain"), (902, "://")]
+    want = plain_urls(rows)
+    got = {x.page_id: x for x in url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string").repartition(3)).collect()}
+    assert {i: x.verdict for i, x in got.items()} == {i: v for i, (v, _) in want.items()}
+    assert max(abs(got[i].score - s) for i, (_, s) in want.items()) < 1e-8
+    assert {want[i][0] for i in range(500, 580)} == {"allow", "block"}
