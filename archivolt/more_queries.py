@@ -381,32 +381,48 @@ def resolve_files(spark, d):
     return resolve.combined(rows, "file", "target")
 
 
-SCORE_SQL = """s AS (SELECT p_partkey AS id, p_name AS name, p_size, split_part(p_name, ' ', 1) AS who FROM part),
-               x AS (SELECT id, p_size, CASE WHEN p_size % 4 = 0 THEN who || ' - ' || name WHEN p_size % 4 = 1 THEN who || 'x' || name ELSE name END AS txt, who FROM s),
-               h AS (SELECT *, regexp_matches(' ' || replace(replace(txt, '-', ' '), '  ', ' ') || ' ', ' ' || who || ' ') AS hit FROM x),
-               r AS (SELECT id, p_size, CASE WHEN hit THEN CASE WHEN length(who) <= 2 THEN least(75, v) ELSE v END END AS score
-                     FROM (SELECT *, CASE WHEN p_size % 3 = 0 OR txt = who THEN 100 ELSE 95 END + CASE WHEN p_size % 5 = 0 THEN 20 ELSE 0 END + CASE WHEN p_size % 7 = 0 THEN 30 ELSE 0 END + CASE WHEN p_size % 2 = 0 THEN 15 ELSE 0 END
-                                  + CASE WHEN p_size % 11 = 0 THEN 10 ELSE 0 END - CASE WHEN p_size % 13 = 0 THEN 100 ELSE 0 END AS v FROM h))"""
+#: Files of eight shapes named after parts, and the first word of a part's name as identity: by the statement of where a name stands and what that is worth.
+SCORE_SQL = r"""p0 AS (SELECT p_partkey AS id, p_size, split_part(p_name, ' ', 1) AS who, split_part(p_name, ' ', 2) AS what FROM part),
+               p1 AS (SELECT *, CASE p_size % 8 WHEN 0 THEN '[' || who || '] ' || what WHEN 1 THEN who || ' ' || what WHEN 2 THEN '(' || what || ' (' || who || ')) x' WHEN 3 THEN what || who || 'x' WHEN 4 THEN what || ' [' || who || ']'
+                                     WHEN 5 THEN upper(who) || '-' || what WHEN 6 THEN 'x' || left(who, length(who) - 1) || ' ' || what ELSE 'zz' || chr(12288) || who END AS raw,
+                             CASE WHEN p_size % 3 = 0 THEN who ELSE 'not ' || who END AS written, CASE WHEN p_size % 8 = 2 THEN [who] ELSE [] END AS creators, CASE WHEN p_size % 13 = 0 THEN [who || ' tag'] ELSE [] END AS tags FROM p0),
+               p2 AS (SELECT *, lower(replace(raw, chr(12288), ' ')) AS txt, length(who) AS n, list_concat(regexp_extract_all(replace(raw, chr(12288), ' '), '[\[\(]\s*([^\]\)]{1,80})\s*[\]\)]', 1), list_filter(string_split_regex(replace(raw, chr(12288), ' '), '[\s_\-]+')[1:4], lambda x: trim(x) <> '')) AS found FROM p1),
+               p3 AS (SELECT *, list_transform(found, lambda x: trim(lower(x))) AS places,
+                             list_filter(range(1, length(txt) - n + 2), lambda i: substr(txt, i, n) = who AND (i = 1 OR contains('[]()-_., ', substr(txt, i - 1, 1))) AND (i + n > length(txt) OR contains('[]()-_., ', substr(txt, i + n, 1))))[1] AS at_,
+                             list_filter(range(1, length(raw) - length(written) + 2), lambda i: lower(substr(raw, i, length(written))) = lower(written) AND (i = 1 OR contains('[]()-_., ' || chr(12288), substr(raw, i - 1, 1)))
+                                         AND (i + length(written) > length(raw) OR contains('[]()-_., ' || chr(12288), substr(raw, i + length(written), 1))))[1] AS raw_at FROM p2),
+               fz AS (SELECT id, max(greatest(CASE WHEN n >= 3 AND (contains(x, who) OR contains(who, x)) AND least(length(x), n) >= 3 AND least(length(x), n) * 100 // greatest(length(x), n) >= 60 THEN 40 ELSE 0 END,
+                                              CASE WHEN levenshtein(x, who) = 1 AND n >= 4 THEN 70 WHEN levenshtein(x, who) = 2 AND n >= 6 THEN 55 ELSE 0 END)) AS fuzzy FROM (SELECT id, who, n, unnest(places) AS x FROM p3) GROUP BY 1),
+               v AS (SELECT p3.id, p_size, n, at_, coalesce(fuzzy, 0) AS fuzzy, CASE WHEN p_size % 5 = 0 OR raw_at IS NOT NULL THEN 100 ELSE 95 END + CASE WHEN p_size % 4 = 1 THEN 20 ELSE 0 END + CASE WHEN list_contains(creators, who) THEN 30 ELSE 0 END
+                            + CASE WHEN regexp_matches(left(txt, at_ - 1), '^[\s\[({<]*$') THEN 15 ELSE 0 END + CASE WHEN at_ > 1 AND substr(txt, at_ - 1, 1) || substr(txt, at_ + n, 1) IN ('[]', '()') THEN 10 ELSE 0 END
+                            - CASE WHEN len(list_filter(tags, lambda t: contains(t, who))) > 0 THEN 100 ELSE 0 END AS value FROM p3 LEFT JOIN fz ON fz.id = p3.id),
+               r AS (SELECT id, p_size, CASE WHEN at_ IS NULL THEN CASE WHEN n <= 2 THEN least(40, fuzzy) ELSE fuzzy END ELSE greatest(0, CASE WHEN n <= 2 THEN least(75, value) ELSE value END) END AS score FROM v)"""
 
 
 def scored(spark, d) -> DataFrame:
     p, k = t(spark, d, "part"), F.col("p_size")
-    who = F.split_part("p_name", F.lit(" "), F.lit(1))
-    txt = F.when(k % 4 == 0, F.concat_ws(" - ", who, "p_name")).when(k % 4 == 1, F.concat(who, F.lit("x"), "p_name")).otherwise(F.col("p_name"))
-    score = scoring.identity_score(txt, who, k % 3 == 0, k % 5 == 0, k % 7 == 0, k % 2 == 0, k % 11 == 0, k % 13 == 0)
-    return p.select(F.col("p_partkey").alias("id"), "p_size", F.when(text.has_complete(txt, who), score).alias("score"))
+    who, what = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    shapes = [F.concat(F.lit("["), who, F.lit("] "), what), F.concat_ws(" ", who, what), F.concat(F.lit("("), what, F.lit(" ("), who, F.lit(")) x")), F.concat(what, who, F.lit("x")), F.concat(what, F.lit(" ["), who, F.lit("]")), F.concat_ws("-", F.upper(who), what), F.concat(F.lit("x"), F.left(who, F.length(who) - 1), F.lit(" "), what), F.concat(F.lit("zz　"), who)]
+    raw = F.element_at(F.array(*shapes), (k % 8 + 1).cast("int"))
+    none = F.array().cast("array<string>")
+    rows = p.select(F.col("p_partkey").alias("id"), "p_size", who.alias("who"), raw.alias("raw"), text.nfkc(raw).alias("form"))
+    score = scoring.identity_score(
+        scoring.search_form(F.col("form")), F.col("raw"), scoring.regions(F.col("form")), F.when(k % 8 == 2, F.array("who")).otherwise(none), F.when(k % 13 == 0, F.array(F.concat("who", F.lit(" tag")))).otherwise(none),
+        F.col("who"), F.when(k % 3 == 0, F.col("who")).otherwise(F.concat(F.lit("not "), "who")), k % 5 == 0, k % 4 == 1,
+    )
+    return rows.select("id", "p_size", score.alias("score"))
 
 
 @query(f"WITH {SCORE_SQL} SELECT id, score FROM r")
 def identity_scores(spark, d):
-    """Where a complete name stands."""
+    """Where a complete name stands in a file, or how near one of its regions comes."""
     return scored(spark, d).select("id", "score")
 
 
-@query(f"WITH {SCORE_SQL} SELECT p_size, id % 10 AS folder, max(score) + CASE WHEN count(CASE WHEN score >= 80 THEN 1 END) >= 2 THEN 20 ELSE 0 END AS score FROM r WHERE score IS NOT NULL GROUP BY 1, 2")
+@query(f"WITH {SCORE_SQL} SELECT p_size, id % 10 AS folder, max(score) + CASE WHEN count(CASE WHEN score >= 80 THEN 1 END) >= 2 THEN 20 ELSE 0 END AS score FROM r GROUP BY 1, 2")
 def folder_scores(spark, d):
     """The best identity of a folder, and more if several are good."""
-    return scoring.folder_scores(scored(spark, d).filter("score IS NOT NULL").withColumn("folder", F.col("id") % 10), ["p_size", "folder"])
+    return scoring.folder_scores(scored(spark, d).withColumn("folder", F.col("id") % 10), ["p_size", "folder"])
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 1 WHEN o_orderkey % 3 = 0 THEN 2 ELSE 3 END AS target, CASE WHEN o_orderkey % 7 = 0 THEN 'manual' WHEN o_orderkey % 3 = 0 THEN 'classic' ELSE 'scored' END AS "by"

@@ -425,28 +425,39 @@ def blocking_top24(spark, d):
     return blocks(spark, d)
 
 
-FUZZY_SQL = f"""{NAMES_SQL}, z AS (SELECT file, folder, least(length(file), length(folder)) AS lo, greatest(length(file), length(folder)) AS hi, levenshtein(file, folder) AS dist,
+#: By the statement: a name of three or more in or around the region; a distance of exactly 1 or 2; no more than 40 for names of two.
+FUZZY_SQL = f"""{NAMES_SQL}, z AS (SELECT file, folder, length(folder) AS n, least(length(file), length(folder)) AS lo, greatest(length(file), length(folder)) AS hi, levenshtein(file, folder) AS dist,
                      (contains(file, folder) OR contains(folder, file)) AS inside FROM k),
-               s AS (SELECT file, folder, greatest(CASE WHEN inside AND lo > 0 AND lo * 100 >= hi * 60 THEN CASE WHEN length(folder) = 3 THEN 45 ELSE 40 END ELSE 0 END,
-                     CASE WHEN dist <= 1 AND lo >= 4 THEN 70 WHEN dist <= 2 AND lo >= 6 THEN 55 ELSE 0 END) AS score FROM z)"""
+               s AS (SELECT file, folder, CASE WHEN n <= 2 THEN least(40, v) ELSE v END AS score
+                     FROM (SELECT *, greatest(CASE WHEN n >= 3 AND inside AND lo >= 3 AND lo * 100 // hi >= 60 THEN 40 ELSE 0 END, CASE WHEN dist = 1 AND n >= 4 THEN 70 WHEN dist = 2 AND n >= 6 THEN 55 ELSE 0 END) AS v FROM z))"""
 
 
 @query(f"WITH {FUZZY_SQL} SELECT file, folder, score FROM s")
 def fuzzy_score(spark, d):
-    """F17 E15-E16 J19."""
-    return blocks(spark, d).select("file", "folder", scoring.fuzzy_score(F.col("file"), F.col("folder")).alias("score"))
+    """F17 E16 J19."""
+    return blocks(spark, d).select("file", "folder", scoring.fuzzy_score(F.array("file"), F.col("folder")).alias("score"))
 
 
 @query(f"""WITH {FUZZY_SQL}, u AS (SELECT file, folder, CASE WHEN file = folder THEN 100 ELSE score END AS score FROM s),
-               r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, folder) AS r, lead(score) OVER (PARTITION BY file ORDER BY score DESC, folder) AS second,
-                            max(score) OVER (PARTITION BY file) AS best FROM u),
-               c AS (SELECT file, count(*) AS n FROM r WHERE score >= best - 20 GROUP BY 1),
-               d AS (SELECT r.file, folder, score, n, CASE WHEN score >= 100 AND score - coalesce(second, 0) >= 20 THEN 'Matched' WHEN score >= 60 THEN 'Choice' ELSE 'None' END AS status FROM r JOIN c ON c.file = r.file WHERE r = 1)
-           SELECT file, status, CASE WHEN status <> 'None' THEN folder END AS folder, score, CASE WHEN status = 'Choice' THEN n ELSE 0 END AS choices FROM d""")
+               r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, lower(folder), folder) AS r, lead(score, 1, 0) OVER (PARTITION BY file ORDER BY score DESC, lower(folder), folder) AS second,
+                            max(score) OVER (PARTITION BY file) AS best FROM u WHERE score > 0),
+               c AS (SELECT file, count(*) AS n, string_agg(folder, '|' ORDER BY r) AS folders FROM r WHERE score >= 60 AND score + 20 >= best GROUP BY 1),
+               d AS (SELECT a.file, folder, coalesce(score, 0) AS score, coalesce(second, 0) AS second, n, folders, CASE WHEN score >= 100 AND score - second >= 20 THEN 'Matched' WHEN score >= 60 THEN 'Choice' ELSE 'None' END AS status
+                     FROM (SELECT DISTINCT file FROM u) a LEFT JOIN r ON r.file = a.file AND r.r = 1 LEFT JOIN c ON c.file = a.file)
+           SELECT file, status, CASE WHEN status <> 'None' THEN folder END AS folder, score, second AS runner_up, CASE WHEN status = 'Choice' THEN n ELSE 0 END AS choices, CASE WHEN status = 'Choice' THEN folders ELSE '' END AS candidates FROM d""")
 def score_decide(spark, d):
-    """E17 E18."""
+    """E18."""
     s = fuzzy_score(spark, d).withColumn("score", F.when(F.col("file") == F.col("folder"), 100).otherwise(F.col("score")))
-    return scoring.decided(s, "file", "folder")
+    return scoring.decided(s, "file", "folder").withColumn("candidates", F.array_join("candidates", "|"))
+
+
+@query(f"WITH {NAMES_SQL} SELECT file, folder, hits FROM k")
+def blocking_prefix(spark, d):
+    """The same pairs, the commonest grams being joined only where they could change them."""
+    n = t(spark, d, "part").select("p_name").distinct()
+    left = n.select(F.replace("p_name", F.lit("o"), F.lit("0")).alias("file")).withColumn("file_name", F.col("file"))
+    right = n.select(F.col("p_name").alias("folder")).withColumn("folder_name", F.col("folder"))
+    return scoring.blocked_by_prefix(left, right, "file", "file_name", "folder", "folder_name")[0]
 
 
 # --- snapshots

@@ -287,27 +287,67 @@ def test_resolve_pieces(spark):
     assert got["one"] == "Matched" and got["shared"] == "Ambiguous"
 
 
-@pytest.mark.parametrize(("scores", "want"), [([59], "None"), ([60], "Choice"), ([99], "Choice"), ([100], "Matched"), ([100, 81], "Choice"), ([100, 80], "Matched"), ([60, 40, 39], "Choice")])
+@pytest.mark.parametrize(("scores", "want"), [([59], "None"), ([60], "Choice"), ([99], "Choice"), ([100], "Matched"), ([100, 81], "Choice"), ([100, 80], "Matched"), ([60, 40, 39], "Choice"), ([70, 55], "Choice"), ([120, 100, 99], "Matched"), ([110, 100, 89], "Choice"), ([0], "None")])
 def test_decision(spark, scores, want):
     df = spark.createDataFrame([("f", f"d{i}", s) for i, s in enumerate(scores)], "f string, d string, score int")
     r = scoring.decided(df, "f", "d").first()
-    assert r.status == want and (want != "Choice" or r.choices == sum(s >= scores[0] - 20 for s in scores))
+    able = [f"d{i}" for i, s in enumerate(scores) if s >= 60 and s + 20 >= scores[0]]
+    assert (r.status, r.score, r.runner_up) == (want, scores[0], scores[1] if len(scores) > 1 else 0)
+    assert list(r.candidates) == (able if want == "Choice" else []) and r.choices == len(r.candidates)
 
 
-@pytest.mark.parametrize(("a", "b", "want"), [("abcd", "abxd", 70), ("abc", "abx", 0), ("abcdef", "abxyef", 55), ("abcde", "abxye", 0), ("abcdefgh", "abcdef", 55), ("abcdefghi", "abcdef", 40), ("日本語x", "日本語", 45), ("ab", "ab", 40)])
-def test_fuzzy(spark, a, b, want):
-    assert one(spark, scoring.fuzzy_score(F.col("a"), F.col("b")), a=a, b=b) == want
+@pytest.mark.parametrize(("region", "name", "want"), [("abxd", "abcd", 70), ("abx", "abc", 0), ("abxyef", "abcdef", 55), ("abxye", "abcde", 0), ("abcdef", "abcdefgh", 55), ("abcdefghi", "abcdef", 40), ("日本語x", "日本語", 40), ("日本", "日本語", 45), ("ab", "ab", 0), ("abcd", "abc", 40), ("ab", "abc", 0), ("xab", "ab", 0), ("abd", "abcd", 70), ("abcd", "abcd", 40), ("", "abcd", 0)])
+def test_fuzzy(spark, region, name, want):
+    assert one(spark, scoring.fuzzy_score(F.array(F.lit("zzzzzzzz"), F.col("a")), F.col("b")), a=region, b=name) == want
 
 
 def test_scores(spark):
-    no = F.lit(False)
-    s = lambda t, i, **k: one(spark, scoring.identity_score(F.col("t"), F.col("i"), *[F.lit(k.get(x, False)) for x in ("alias", "folder", "structured", "front", "bracketed", "metadata")]), t=t, i=i)
-    assert no is not None and s("[abc] x", "abc") == 95 and s("abc", "abc") == 100 and s("[abc] x", "abc", folder=True, structured=True, front=True, bracketed=True) == 170
-    assert s("[abc] x", "abc", metadata=True) == -5 and s("[ab] x", "ab", folder=True) == 75
+    none = F.array().cast("array<string>")
+
+    def s(text, name, raw=None, alias=False, folder=False, creators=none, tags=none):
+        t = F.lit(text)
+        return one(spark, scoring.identity_score(scoring.search_form(t), t, scoring.regions(t), creators, tags, F.col("i"), F.lit(raw or name), F.lit(alias), F.lit(folder)), i=name)
+
+    assert s("[abc] x", "abc") == 125 and s("x [abc]", "abc") == 110 and s("x abc", "abc") == 100 and s("ABC", "abc") == 115
+    assert s("x abc", "abc", raw="a b c") == 95 and s("x abc", "abc", raw="a b c", alias=True) == 100
+    assert s("[abc] x", "abc", folder=True, creators=F.array(F.lit("abc"))) == 175
+    assert s("x abc", "abc", tags=F.array(F.lit("an abc tag"))) == 0 and s("[ab] x", "ab", folder=True) == 75
+    assert s("xabc", "abc") == 40 and s("xab", "ab") == 0 and s("a(b", "a(b") == 115 and s("", "abc") == 0 and s("abc", "") == 0
+    assert s("abcx abc", "abc") == 100  # the first complete place, not the first place
     df = spark.createDataFrame([("f", "d", 80), ("f", "d", 90), ("f", "e", 90)], "f string, d string, score int")
     assert {r.d: r.score for r in scoring.folder_scores(df, ["f", "d"]).collect()} == {"d": 110, "e": 90}
 
 
+def test_scores_from_file_to_decision(spark):
+    """Names of files, folders and aliases in; decisions out."""
+    files = spark.createDataFrame([(1, "(C99) [Circle (Some Artist)] work"), (2, "[somebody else] work"), (3, "xyz"), (4, "[Ａｌｉａｓ] work"), (5, "[pixiv] work"), (6, "some artizt - work")], "file long, name string")
+    folders = spark.createDataFrame([("A", "Some Artist", None), ("B", "[Somebody Else]", "Nick"), ("C", "pixiv", None)], "folder string, name string, preferred string")
+    aliases = spark.createDataFrame([("B", "alias")], "folder string, name string")
+    prepared = scoring.prepared_files(files, "file", "name")
+    identities = scoring.folder_identities(folders, aliases)
+    assert {(r.folder, r.norm, r.confirmed, r.own) for r in identities.collect()} == {("A", "some artist", False, True), ("B", "somebody else", False, True), ("B", "nick", False, True), ("B", "alias", True, False), ("C", "pixiv", False, True)}
+    pairs = files.select("file").crossJoin(folders.select("folder"))
+    scores = scoring.scored_pairs(pairs, prepared, identities, "file")
+    got = {r.file: (r.status, r.folder) for r in scoring.decided(scores, "file", "folder").collect()}
+    assert got[1] == ("Matched", "A") and got[2] == ("Matched", "B") and got[3] == ("None", None) and got[4] == ("Matched", "B") and got[6][0] == "None"
+
+
+def test_blocking_by_prefix(spark):
+    """What the join of all grams gives, ties and short names included, with fewer pairs looked at."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcd") for _ in range(r.randint(1, 9)))
+    left = spark.createDataFrame([(i, " ".join(word() for _ in range(r.randint(1, 3)))) for i in range(60)] + [(90, ""), (91, "a"), (92, "zz")], "id long, a string")
+    right = spark.createDataFrame([(i, word() + ("x" if i % 3 else "")) for i in range(150)] + [(900, "a"), (901, "")], "folder long, b string")
+    for top in (1, 5, 24):
+        want = {tuple(x) for x in scoring.blocked(left, right, "id", "a", "folder", "b", top).collect()}
+        got, report = scoring.blocked_by_prefix(left, right, "id", "a", "folder", "b", top)
+        assert {tuple(x) for x in got.collect()} == want
+        assert {x["round"] for x in report.collect()} == {1, 2}
+    all_pairs = scoring.blocked(left, right, "id", "a", "folder", "b", None).count()
+    first, second = (x.pairs for x in report.orderBy("round").collect())
+    assert first < all_pairs and second < all_pairs
+
+
 # --- snapshots
 
 
