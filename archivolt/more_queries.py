@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 from .functions import grammar, naming, rules, text
 from .operators import cdc, kb, resolve, scoring
 from .plans import planning, report
-from .queries import WORK_SQL, evidence, query, statuses, STATUS_SQL, t, urls, URL_SQL, work_rows
+from .queries import DELTA_SQL, WORK_SQL, evidence, order_snapshots, query, statuses, STATUS_SQL, t, urls, URL_SQL, work_rows
 from .sources import readers, writers
-from .streaming import changes
+from .streaming import changes, stateful
 
 
 def folder(spark, name: str) -> str:
@@ -706,6 +706,85 @@ def own_changes_apart(spark, d):
 # --- streams
 
 
+def told_in_turn(spark, name: str, parts: list[DataFrame]) -> tuple[str, T.StructType]:
+    """A folder into which parts are written one after another, as a stream's source sees them."""
+    path = folder(spark, name)
+    for p in parts:
+        p.coalesce(1).write.mode("append").parquet(path)
+    return path, parts[0].schema
+
+
+def to_end(stream: DataFrame, out: str, checkpoint: str) -> None:
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+SCANS_SQL = f"""{DELTA_SQL} SELECT 0 AS scan, 'Added' AS kind, count(*) AS n FROM o UNION ALL SELECT 1, kind, count(*) FROM x GROUP BY 2"""
+CHANGED_SQL = SCANS_SQL.replace("FROM x", "FROM x WHERE kind <> 'CacheHit'")
+
+
+def scans(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two snapshots as events of two hours, and the time that goes on."""
+    old, new = order_snapshots(spark, d)
+    at = lambda rows, hour: rows.select(F.col("key"), F.col("sig").alias("signature"), F.col("name").cast("string").alias("name"), F.col("ord").alias("pos"), F.lit(False).alias("gone"), F.lit(f"2026-01-01 {hour:02d}:00:00").cast("timestamp").alias("at"))
+    tick = spark.range(1).select(F.lit(None).cast("string").alias("key"), F.lit("").alias("signature"), F.lit("").alias("name"), F.lit(0).cast("long").alias("pos"), F.lit(False).alias("gone"), F.lit("2026-01-01 03:59:00").cast("timestamp").alias("at"))
+    return at(old, 1), at(new, 2), tick
+
+
+def scan_counters(spark, told: str) -> DataFrame:
+    first = F.unix_millis(F.lit("2026-01-01 01:00:00").cast("timestamp"))
+    rows = spark.read.parquet(told).withColumn("scan", F.floor((F.col("ms") - first) / 3_600_000).cast("int"))
+    return cdc.relocated(rows, "scan").filter("scan < 2").groupBy("scan", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SCANS_SQL}")
+def stream_scans(spark, d):
+    """Snapshots as a stream, what is known in the state store, what wasn't seen again by timers; the second scan comes after a restart from the checkpoint."""
+    own = stateful.stateful_session(spark)
+    old, new, tick = scans(spark, d)
+    path, schema = told_in_turn(spark, "scans", [old])
+    out, checkpoint = folder(spark, "scan-changes"), folder(spark, "scan-state")
+    stream = lambda: stateful.changes_of_paths(changes.snapshots(own, path, schema), "10 minutes", 5_400_000)
+    to_end(stream(), out, checkpoint)
+    for part in (new, tick, tick):
+        part.coalesce(1).write.mode("append").parquet(path)
+    to_end(stream(), out, checkpoint)
+    return scan_counters(spark, out)
+
+
+@query(f"WITH {CHANGED_SQL}")
+def stream_single_changes(spark, d):
+    """The same counters where only what changed is told, event by event."""
+    own = stateful.stateful_session(spark)
+    old, new, tick = scans(spark, d)
+    keys = ["key", "signature"]
+    lost = old.join(new, "key", "left_anti").withColumn("gone", F.lit(True)).withColumn("at", F.lit("2026-01-01 02:00:00").cast("timestamp"))
+    path, schema = told_in_turn(spark, "single", [old, lost.select(old.columns), new.join(old, keys, "left_anti").select(old.columns), tick])
+    out = folder(spark, "single-changes")
+    to_end(stateful.changes_of_paths(changes.snapshots(own, path, schema), "10 minutes"), out, folder(spark, "single-state"))
+    return scan_counters(spark, out)
+
+
+@query("""SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events x WHERE x.event_id % 4 = 0 AND x.user_id = e.user_id AND e.ts >= x.ts AND e.ts <= x.ts + INTERVAL 3600 SECOND)""")
+def stream_own_changes(spark, d):
+    """Announcements on a stream, each written after the events that it concerns; events wait for them, and they are forgotten by event time."""
+    own = stateful.stateful_session(spark)
+    e = t(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("path"), F.date_trunc("millisecond", "ts").alias("at"))
+    ends = e.agg(F.min("event_id"), F.max("event_id"), F.min("at"), F.max("at")).first()
+    span, a, b = ends[3] - ends[2], folder(spark, "own-events"), folder(spark, "own-said")
+    late = f"{int(span.total_seconds() * 0.6) + 7200} seconds"
+    tick = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast("string").alias("path"), F.lit(ends[3] + 4 * span).alias("at"))
+    halves = F.col("event_id") <= (ends[0] + ends[1]) // 2
+    for part in (halves, ~halves):
+        e.filter(part).coalesce(1).write.mode("append").parquet(a)
+        e.filter(part & (F.col("event_id") % 4 == 0)).select("path", "at").coalesce(1).write.mode("append").parquet(b)
+    for _ in range(2):
+        tick.write.mode("append").parquet(a)
+    out = folder(spark, "others-changes")
+    events_, said = (changes.snapshots(own, x, spark.read.parquet(x).schema) for x in (a, b))
+    to_end(stateful.others_changes_stream(events_, said, 3600, late), out, folder(spark, "own-state"))
+    return spark.read.schema("event_id long, path string, at timestamp").parquet(out).select("event_id")
+
+
 def streamed(spark, d, at: str, table: str) -> DataFrame:
     path = folder(spark, at)
     t(spark, d, table).repartition(4).write.parquet(path)

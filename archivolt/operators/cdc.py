@@ -30,6 +30,18 @@ def delta(old: DataFrame, new: DataFrame, key: str, signature: str, name: str, o
     return same.unionByName(moved).unionByName(added).unionByName(gone)
 
 
+def relocated(changes: DataFrame, scan: str) -> DataFrame:
+    """C3 of changes that came path by path (kind, key, signature, name, pos and the scan they belong to): scan, kind, old_key, new_key, as delta() has them.
+    Within a scan a signature relocates if exactly one lost path has it; the first new one in order takes it."""
+    gone = changes.filter(F.col("kind") == REMOVED).groupBy(scan, "signature").agg(F.count(F.lit(1)).alias("_c"), F.min("key").alias("old_key"), F.min("name").alias("_on")).filter("_c = 1")
+    first = changes.filter(F.col("kind") == ADDED).groupBy(scan, "signature").agg(F.min_by(F.struct("key", "name"), F.struct("pos", "key")).alias("_f"))
+    moved = gone.join(first, [scan, "signature"]).select(scan, F.when(F.col("_on") == F.col("_f.name"), MOVED).otherwise(RENAMED).alias("kind"), "old_key", F.col("_f.key").alias("new_key"))
+    key = F.col("key")
+    old, new = F.when(F.col("kind") != ADDED, key), F.when(F.col("kind") != REMOVED, key)
+    rest = changes.join(moved.select(scan, F.explode(F.array(F.struct(F.lit(REMOVED).alias("kind"), F.col("old_key").alias("key")), F.struct(F.lit(ADDED).alias("kind"), F.col("new_key").alias("key")))).alias("m")).select(scan, "m.*"), [scan, "kind", "key"], "left_anti")
+    return rest.select(scan, "kind", old.alias("old_key"), new.alias("new_key")).unionByName(moved)
+
+
 def with_signature(files: DataFrame) -> DataFrame:
     """key and signature of files (full_path, file_size, last_write_utc, creation_utc, extension)."""
     return files.withColumn("key", path_key("full_path")).withColumn("signature", rename_signature("file_size", "last_write_utc", "creation_utc", "extension"))
