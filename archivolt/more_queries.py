@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import grammar, naming, rules, text
-from .operators import cdc, kb, resolve, scoring
+from .operators import cdc, incremental, kb, resolve, scoring
 from .plans import planning, report
 from .queries import DELTA_SQL, WORK_SQL, evidence, order_snapshots, query, statuses, STATUS_SQL, t, urls, URL_SQL, work_rows
-from .sources import readers, writers
+from .sources import readers, versions, writers
 from .streaming import changes, stateful
 
 
@@ -194,6 +194,43 @@ def merge_replace_file(spark, d):
     return kb.replace_file(w, new, "N", last).groupBy("source_id", "source_file").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("""WITH w AS (SELECT l_returnflag AS s, CAST(l_orderkey AS VARCHAR) AS g, strftime(l_shipdate, '%Y') AS f, l_suppkey, p_brand, l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey),
+               k AS (SELECT * FROM w WHERE NOT (s = 'N' AND f = '1997') AND NOT (s = 'A' AND f = '1996' AND l_orderkey % 2 = 1)), n AS (SELECT s, g, max(f) AS f FROM k GROUP BY 1, 2), c AS (SELECT k.* FROM k JOIN n USING (s, g, f))
+          SELECT a.s AS source_id, CAST(a.l_suppkey AS VARCHAR) AS artist, b.p_brand AS "group", count(DISTINCT a.g) AS weight FROM c a JOIN c b ON a.s = b.s AND a.g = b.g GROUP BY 1, 2, 3""")
+def merge_incremental(spark, d):
+    """Years of shipping as files that come, go and are replaced; only the works of the changed ones are paired again."""
+    rows = work_rows(spark, d).withColumn("source_file", F.substring("source_file", 1, 4)).withColumn("gallery_id", F.col("gallery_id").cast("string"))
+    both = F.array(F.struct(F.lit("Artist").alias("kind"), F.col("l_suppkey").cast("string").alias("norm")), F.struct(F.lit("Group").alias("kind"), F.col("p_brand").alias("norm")))
+    e = rows.select("source_id", "source_file", "gallery_id", F.explode(both).alias("n")).select("source_id", "source_file", "gallery_id", "n.*").distinct()
+    store = incremental.PairStore(spark, folder(spark, "pairs"))
+    last = F.col("source_file") == "1998"
+    store.change(e.filter(~last))
+    store.change(e.filter(last), [("N", "1997")])
+    store.change(e.filter((F.col("source_id") == "A") & (F.col("source_file") == "1996") & (F.col("gallery_id").cast("long") % 2 == 0)))
+    store.change(withdrawn=[("nobody", "1990")])
+    return store.by_source()
+
+
+@query("""SELECT 1 AS version, c_mktsegment AS segment, count(*) AS n, CAST(sum(c_nationkey) AS BIGINT) AS total FROM customer WHERE c_custkey % 2 = 0 GROUP BY 2
+          UNION ALL SELECT 2, c_mktsegment, count(*), CAST(sum(CASE WHEN c_custkey % 3 = 0 THEN -1 ELSE c_nationkey END) AS BIGINT) FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0 GROUP BY 2
+          UNION ALL SELECT 3, c_mktsegment, count(*), CAST(sum(CASE WHEN c_custkey % 5 = 0 THEN -2 WHEN c_custkey % 3 = 0 THEN -1 ELSE c_nationkey END) AS BIGINT) FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0 OR c_custkey % 5 = 0 GROUP BY 2""")
+def published_versions(spark, d):
+    """SNK2 SNK3 J14: two writers upsert into one base; the second is refused, and applies its rows to what the first has published. Readers of each version see what it was."""
+    c = t(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    mark = lambda k, v: c.filter(F.col("c_custkey") % k == 0).withColumn("c_nationkey", F.lit(v))
+    table = versions.Versions(spark, folder(spark, "published"))
+    one = table.publish(c.filter("c_custkey % 2 = 0"), 0)
+    pinned = table.table(one)
+    two = table.publish(writers.upsert(table.table(one), mark(3, -1), ["c_custkey"]), one)
+    try:
+        table.publish(writers.upsert(table.table(one), mark(5, -2), ["c_custkey"]), one)
+        raise RuntimeError("two writers made the same version")
+    except versions.Conflict:
+        table.publish(writers.upsert(table.table(two), mark(5, -2), ["c_custkey"]), two)
+    seen = [pinned, table.table(two), table.table()]
+    return reduce(DataFrame.unionByName, [x.groupBy(F.lit(i + 1).alias("version"), F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"), F.sum("c_nationkey").cast("long").alias("total")) for i, x in enumerate(seen)])
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN 'Matched' ELSE 'Unresolved' END AS status, CASE WHEN o_custkey % 3 = 0 THEN 'k' || (o_custkey % 700) ELSE '' END AS entity_key FROM orders""")
 def merge_revalidate(spark, d):
     """Each distinct name is resolved once, and evidence takes the answer."""
