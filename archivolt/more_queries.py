@@ -634,25 +634,38 @@ def plan_statuses(spark, d):
     return planning.new_statuses(t(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey").select(F.col("o_orderkey").alias("id"), "status")
 
 
-@query("""SELECT c_custkey AS file, CASE WHEN c_custkey % 7 = 0 THEN c_custkey ELSE c_custkey - c_custkey % 7 END AS identity FROM customer WHERE c_custkey >= 7""")
+@query("""SELECT c_custkey AS file, c_custkey - c_custkey % 7 AS identity FROM customer""")
 def plan_linked(spark, d):
     """L2 H1: a file takes over the identity that an earlier file of a shared name planned."""
-    c = t(spark, d, "customer").filter("c_custkey >= 7")
+    c = t(spark, d, "customer")
     own = F.concat(F.lit("n"), F.floor(F.col("c_custkey") / 7))
     norms = F.when(F.col("c_custkey") % 7 == 0, F.array(own, F.concat(F.lit("m"), "c_custkey"))).otherwise(F.array(own, F.concat(F.lit("x"), "c_custkey")))
     return planning.linked_identities(c.select(F.col("c_custkey").alias("file"), norms.alias("norms")).withColumn("order", F.col("file")), "file", "order", "norms").select("file", "identity")
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN n_name || ' (' || c_name || ')' ELSE c_name END AS label FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 2 = 0""")
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 AND c_custkey % 5 <> 0 AND c_custkey % 4 <> 0 THEN n_name || ' (' || c_name || ')' ELSE c_name END AS label FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""")
 def canonical_labels(spark, d):
     """L4: "group (artist)" where exactly one related group has the society's name."""
     o = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     n = t(spark, d, "nation")
     files = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("artist"), F.when(F.col("o_orderkey") % 2 == 0, F.col("c_nationkey")).otherwise(-1).alias("society"), F.col("c_name").alias("artist_name"))
     groups = t(spark, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("artist"), F.col("n_nationkey").alias("group_norm"), F.col("n_nationkey").alias("group_id"), F.col("n_name").alias("group_name"))
+    # every fifth artist has no group, every fourth two of the same name
+    groups = groups.filter("artist % 5 <> 0")
+    groups = groups.unionByName(groups.filter("artist % 4 = 0").withColumn("group_id", F.col("group_id") + 1000))
     return planning.canonical_label(files, groups, "artist", "society").select("id", "label")
 
 
+@query("""WITH f AS (SELECT c_custkey AS file, c_custkey % 20 AS o, c_custkey // 20 AS chain FROM customer)
+          SELECT file, CASE WHEN o % 2 = 0 THEN file ELSE file - 1 END AS identity FROM f""")
+def plan_chained(spark, d):
+    """L2 H1: chains in which each file shares a name with the next alone, so makers alternate."""
+    k = F.col("c_custkey")
+    link = lambda i: F.concat_ws("-", F.floor(k / 20), i)
+    c = t(spark, d, "customer").select(k.alias("file"), k.alias("order"), F.array(link(k % 20), link(k % 20 + 1)).alias("norms"))
+    return planning.linked_identities(c, "file", "order", "norms")
+
+
 @query("SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'AlreadyInTarget' WHEN 1 THEN 'TargetExists' ELSE 'Movable' END AS state FROM orders")
 def terminal_states(spark, d):
     """L5."""

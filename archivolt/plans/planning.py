@@ -37,33 +37,54 @@ def new_statuses(files: DataFrame, identity: str, order: str) -> DataFrame:
     return files.join(first, identity).withColumn("status", F.when(F.col(order) == F.col("_f"), "NewAuthor").otherwise("NewAuthorReuse")).drop("_f")
 
 
-def linked_identities(files: DataFrame, file: str, order: str, norms: str) -> DataFrame:
+def linked_identities(files: DataFrame, file: str, order: str, norms: str, trace: list | None = None) -> DataFrame:
     """H1, L2: file, identity for files that match no folder: a file takes over the identity that an earlier file of a shared norm planned.
     As the sequential rule has it: a planned identity has the norms of the file that made it; a file belongs to the earliest such file
-    that shares a norm with it, and makes an identity itself if there is none.  In a round, a file whose earliest companion is settled as a maker
-    settles too; the others wait.  Files that match folders never come here, so what is left is small."""
-    n = files.select(file, order, F.explode(norms).alias("norm")).distinct()
-    n = settled(n)
-    open_ = n.select(file).distinct()
-    makers, taken = open_.limit(0), open_.limit(0).withColumn("identity", F.col(file))
+    that shares a norm with it, and makes an identity itself if there is none.
+
+    A round settles at once all files that no open file precedes in any of their norms: they are makers, and what shares a norm with a maker is taken. A
+    file that exactly one open file precedes is a maker exactly if that one isn't: such files point to it, and pointers are doubled until they leave the chain, so a chain
+    costs the logarithm of its length. Of each norm only the two earliest open files are looked at, found by aggregation, so a norm that many files share is
+    no join of them. trace gets a word for each round and each doubling."""
+    tell = trace.append if trace is not None else lambda _: None
+    n = settled(files.select(F.col(file).alias("f"), F.struct(F.col(order).alias("o"), F.col(file).alias("f")).alias("at"), F.explode(norms).alias("norm")).distinct())
+    open_, makers = n.select("f").distinct(), n.select("f", "norm").limit(0)
     while not open_.isEmpty():
-        live = n.join(open_.unionByName(makers), file, "left_semi")
-        least = live.groupBy("norm").agg(F.min(F.struct(order, file)).alias("_m"))
-        first = live.join(least, "norm").groupBy(file).agg(F.min("_m").alias("_m")).select(file, F.col(f"_m.{file}").alias("identity"))
-        first = settled(first)
-        makers = first.filter(F.col(file) == F.col("identity")).select(file)
-        makers = settled(makers)
-        taken = taken.unionByName(first.join(makers.withColumnRenamed(file, "identity"), "identity", "left_semi").join(makers, file, "left_anti").select(file, "identity"))
-        taken = settled(taken)
-        open_ = open_.join(makers, file, "left_anti").join(taken.select(file), file, "left_anti")
-        open_ = settled(open_)
-    return taken.unionByName(makers.withColumn("identity", F.col(file)))
+        tell("round")
+        live = n.join(open_, "f", "left_semi")
+        first = live.groupBy("norm").agg(F.min("at").alias("one"))
+        second = live.join(first, "norm").filter("at > one").groupBy("norm").agg(F.min("at").alias("two"))
+        rows = live.join(first, "norm").join(second, "norm", "left")
+        before = F.collect_set(F.when(F.col("at") > F.col("one"), F.col("one.f")))
+        status = settled(rows.groupBy("f").agg(before.alias("before"), F.max(F.coalesce(F.col("at") > F.col("two"), F.lit(False))).alias("many")))
+        roots = status.filter(F.size("before") == 0).select("f")
+        # whether a file is a maker follows from the one it points to, turned around at each step
+        chain = settled(status.filter((F.size("before") == 1) & ~F.col("many")).select("f", F.element_at("before", 1).alias("to"), F.lit(True).alias("turned")))
+        while not chain.join(chain.select(F.col("f").alias("to")), "to", "left_semi").isEmpty():
+            tell("doubling")
+            ahead = chain.select(F.col("f").alias("to"), F.col("to").alias("_to"), F.col("turned").alias("_turned"))
+            chain = settled(chain.join(ahead, "to", "left").select("f", F.coalesce("_to", "to").alias("to"), F.when(F.col("_to").isNull(), F.col("turned")).otherwise(F.col("turned") != F.col("_turned")).alias("turned")))
+        ended = chain.join(roots.select(F.col("f").alias("to")), "to", "left_semi")
+        new = settled(roots.unionByName(ended.filter("NOT turned").select("f")))
+        by = n.join(new, "f", "left_semi").select("f", "norm")
+        makers = settled(makers.unionByName(by))
+        near = n.join(by.select("norm").distinct(), "norm", "left_semi").select("f")
+        open_ = settled(open_.join(near, "f", "left_anti").join(ended.select("f"), "f", "left_anti").join(new, "f", "left_anti"))
+    whose = makers.join(n.select("f", "at").distinct(), "f").select("norm", F.col("at").alias("maker"))
+    taken = n.join(whose, "norm").filter("maker <= at").groupBy("f").agg(F.min("maker").alias("maker"))
+    return taken.select(F.col("f").alias(file), F.col("maker.f").alias("identity"))
 
 
 def canonical_label(files: DataFrame, groups: DataFrame, artist: str, society: str) -> DataFrame:
-    """L4: "group (artist)" if exactly one related group's norm is the society's."""
-    hit = files.join(groups, [artist]).filter(F.col("group_norm") == F.col(society)).groupBy(*files.columns).agg(F.countDistinct("group_id").alias("_n"), F.min("group_name").alias("_g"))
-    return hit.withColumn("label", F.when(F.col("_n") == 1, F.concat("_g", F.lit(" ("), "artist_name", F.lit(")"))).otherwise(F.col("artist_name"))).drop("_n", "_g")
+    """L4: "group (artist)" if exactly one related group has the society's norm among its own; else, and where there is no group or no society, the artist.
+    groups: artist, group_norm, group_id, group_name, a row for each norm of a group; a group without a name is called by the society's text, if files have society_name."""
+    pairs = files.select(artist, society).distinct()
+    hit = pairs.join(groups, [artist]).filter(F.col("group_norm") == F.col(society)).groupBy(artist, society).agg(F.countDistinct("group_id").alias("_n"), F.min("group_name").alias("_g"))
+    called = F.nullif(F.trim("_g"), F.lit(""))
+    if "society_name" in files.columns:
+        called = F.coalesce(called, "society_name")
+    label = F.when((F.col("_n") == 1) & called.isNotNull(), F.concat(called, F.lit(" ("), "artist_name", F.lit(")"))).otherwise(F.col("artist_name"))
+    return files.join(hit, [artist, society], "left").select(*files.columns, label.alias("label"))
 
 
 def terminal_state(source: Column, target: Column, exists: Column) -> Column:
