@@ -400,12 +400,21 @@ def overlay_view(spark, d):
     c = t(spark, d, "customer")
     entity = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("canonical_name"))
     alias = c.select(F.col("c_custkey").alias("entity_id"), F.lower("c_name").alias("norm"))
-    off = F.when(F.col("c_custkey") % 8 == 0, F.array(F.lower("c_name"))).otherwise(F.array().cast("array<string>"))
-    o = c.filter("c_custkey % 4 = 0").select(F.col("c_custkey").alias("entity_id"), F.concat(F.lit("renamed "), "c_custkey").alias("canonical_name"), F.array(F.concat(F.lit("Added "), "c_custkey")).alias("added_aliases"), off.alias("disabled_names"))
+    off = F.when(F.col("c_custkey") % 8 == 0, F.array(F.concat(F.lit(" "), F.upper("c_name"), F.lit("　")))).otherwise(F.array().cast("array<string>"))
+    o = c.filter("c_custkey % 4 = 0").select(F.col("c_custkey").alias("entity_id"), F.concat(F.lit("renamed "), "c_custkey").alias("canonical_name"), F.array(F.concat(F.lit("　Ａｄｄｅｄ  "), "c_custkey")).alias("added_aliases"), off.alias("disabled_names"))
     names, aliases = resolve.overlaid(entity, alias, o)
     return names.withColumnRenamed("id", "entity_id").join(kb.listed(aliases, ["entity_id"], "norm", "names", "|"), "entity_id")
 
 
+@query("""SELECT c_custkey AS artist_id, c_nationkey AS group_id, 'Public' AS source, true AS confirmed FROM customer UNION ALL SELECT c_custkey, -n_nationkey, 'User', n_nationkey % 2 = 0 FROM customer JOIN nation ON n_nationkey < c_custkey % 4 WHERE c_custkey % 5 = 0 AND n_nationkey <> 1""")
+def overlay_relations(spark, d):
+    """Relations that overrides add, but for those they have disabled."""
+    c = t(spark, d, "customer")
+    group = lambda i: F.struct(F.lit(i).cast("long").alias("circle_id"), F.lit(i % 2 == 0).alias("user_confirmed"), F.lit(i == 1).alias("disabled"))
+    o = c.filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("entity_id"), F.slice(F.array(*[group(i) for i in range(4)]), 1, (F.col("c_custkey") % 4).cast("int")).alias("user_groups"))
+    return resolve.overlaid_relations(c.select(F.col("c_custkey").alias("artist_id"), F.col("c_nationkey").alias("group_id")), o)
+
+
 @query("""WITH c AS (SELECT l_orderkey AS f, l_linenumber * 1000000 + l_suppkey AS pos, CASE WHEN l_partkey % 6 = 0 THEN 'Ambiguous' WHEN l_partkey % 6 < 4 THEN 'Matched' ELSE 'NotFound' END AS status, CASE WHEN l_partkey % 6 IN (1, 2, 3) THEN l_suppkey END AS target, l_partkey % 7 = 0 AS known, l_partkey % 5 = 0 AS cautious FROM lineitem),
                a AS (SELECT f, min(CASE WHEN known AND target IS NOT NULL THEN pos END) AS at_, max(CASE WHEN status = 'Ambiguous' THEN 1 ELSE 0 END) AS unsure, count(DISTINCT CASE WHEN NOT cautious THEN target END) AS n, min(CASE WHEN NOT cautious THEN target END) AS tt,
                             count(DISTINCT CASE WHEN cautious THEN target END) AS cn, min(CASE WHEN cautious THEN target END) AS ct FROM c GROUP BY 1)
@@ -927,6 +936,30 @@ def source_manifest(spark, d):
     return readers.manifest(c, "Customer", ".csv")
 
 
+@query("""SELECT 'aliases' AS list, 'reference' AS fault, CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_custkey % 10 = 3 OR c_custkey = 0 UNION ALL SELECT 'authors', 'id', '0' FROM customer WHERE c_custkey = 0
+          UNION ALL SELECT 'circles', 'id', CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_nationkey = 0 OR n_nationkey % 6 = 1 UNION ALL SELECT 'name_decisions', 'reference', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 4 = 2 AND CASE WHEN c_nationkey < 12 THEN c_custkey % 10 = 3 ELSE c_custkey >= 25 END
+          UNION ALL SELECT 'public_overrides', 'id', 'o' || c_custkey FROM customer WHERE c_custkey % 9 = 4 UNION ALL SELECT 'public_overrides', 'list', 'o' || c_custkey FROM customer WHERE c_custkey % 9 = 4 AND c_custkey % 2 = 0
+          UNION ALL SELECT DISTINCT 'public_overrides', 'reference', CAST(c_nationkey + 20 AS VARCHAR) FROM customer WHERE c_custkey % 9 = 4 AND c_nationkey + 20 >= 25
+          UNION ALL SELECT 'legacy_alias_groups', 'name', 'g' || s_suppkey FROM supplier WHERE s_suppkey % 3 = 0""")
+def library_checks(spark, d):
+    """SRC9: all that forbids saving a library, which is written as JSON and read again."""
+    path, c, n, s = folder(spark, "library"), t(spark, d, "customer"), t(spark, d, "nation"), t(spark, d, "supplier")
+    k = F.col("c_custkey")
+    one = lambda rows, into, **fields: rows.agg(F.collect_list(F.struct(*[v.alias(x) for x, v in fields.items()])).alias(into))
+    twice = n.unionByName(n.filter("n_nationkey % 6 = 1"))
+    names = F.array().cast("array<string>")
+    o = c.filter(k % 9 == 4)
+    parts = [
+        one(c.filter(k % 10 != 3), "authors", id=k), one(twice, "circles", id=F.col("n_nationkey")), one(c, "aliases", author_id=k, alias=F.col("c_name")),
+        one(c.filter(k % 4 == 2), "name_decisions", name=F.col("c_name"), entity_type=F.when(F.col("c_nationkey") < 12, "Artist").otherwise("Group"), entity_id=k, status=F.lit("Confirmed")),
+        one(o.unionByName(o), "public_overrides", id=F.concat(F.lit("o"), k), added_aliases=names, disabled_names=names, original_names=F.when(k % 2 == 1, names), user_groups=F.array(F.struct((F.col("c_nationkey") + 20).alias("circle_id")))),
+        one(s, "legacy_alias_groups", id=F.concat(F.lit("g"), "s_suppkey"), canonical=F.col("s_name"), names=F.array(F.when(F.col("s_suppkey") % 3 == 0, " ").otherwise(F.col("s_name"))), author_id=F.lit(0)),
+    ]
+    whole = reduce(lambda a, b: a.join(b, F.lit(True)), parts)  # one row each: a library is one document
+    whole.write.json(path)
+    return readers.library_faults(readers.library(spark, path))
+
+
 @query("SELECT 'aliases' AS list, c_custkey AS id FROM customer WHERE c_custkey % 10 = 3 UNION ALL SELECT 'author_circles', c_custkey FROM customer WHERE c_custkey % 10 = 3 UNION ALL SELECT 'author_circles', n_nationkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2")
 def library_references(spark, d):
     """SRC9: a user library written as JSON and read again, and what in it refers to nothing."""

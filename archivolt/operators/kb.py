@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.grammar import norm as norm_of
 from ..functions.text import is_non_ascii, normalize
 from ..sources.readers import first_per_key
 from ..sources.writers import numbered, settled
@@ -257,10 +258,21 @@ def listed(rows: DataFrame, keys: list[str], value: str, out: str, sep: str = ",
     return rows.select(*keys, value).distinct().groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(F.col(value).cast("string"))), sep).alias(out))
 
 
-def searched(entity: DataFrame, alias: DataFrame, text: str, offset: int = 0, limit: int = 50) -> DataFrame:
-    """A page of the entities whose name or alias contains text; the page size is clamped to 1..500."""
-    hit = alias.filter(F.contains("norm", F.lit(text.lower()))).select(F.col("entity_id").alias("id")).unionByName(entity.filter(F.contains("norm", F.lit(text.lower()))).select("id")).distinct()
-    return entity.join(hit, "id", "left_semi").orderBy("canonical_name", "id").offset(max(0, offset)).limit(min(500, max(1, limit)))
+def searched(entity: DataFrame, alias: DataFrame, text: str, offset: int = 0, limit: int = 50, identity: DataFrame | None = None) -> DataFrame:
+    """A page of the entities whose norm, alias or provider's tag is LIKE the normalised text, by kind and name; without a text the newest of all. As
+    in LIKE, % and _ in the text stand for any characters; the page size is clamped to 1..500. entity: id, kind, canonical_name, norm;
+    alias: entity_id, norm; identity: entity_id, norm."""
+    page = lambda rows: rows.offset(max(0, offset)).limit(min(500, max(1, limit)))
+    wanted = norm_of(text)
+    if not wanted:
+        return page(entity.orderBy(F.desc("id")))
+    like = F.lower("norm").like("%" + wanted.replace("\\", "\\\\") + "%")
+    hit = entity.filter(like).select("id")
+    for rows in (alias, identity):
+        if rows is not None:
+            hit = hit.unionByName(rows.filter(like).select(F.col("entity_id").alias("id")))
+    kind = [c for c in ("kind",) if c in entity.columns]
+    return page(entity.join(hit.distinct(), "id", "left_semi").orderBy(*kind, "canonical_name", "id"))
 
 
 def related_groups(relation: DataFrame, entity: DataFrame) -> DataFrame:

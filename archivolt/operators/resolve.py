@@ -101,12 +101,20 @@ def structured_entities(queries: DataFrame, groups: DataFrame, artists: DataFram
 
 
 def overlaid(entity: DataFrame, alias: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entities and aliases with bound overrides: names replaced, aliases added, names disabled.  overrides: entity_id, canonical_name, added_aliases, disabled_names."""
+    """Entities and aliases with bound overrides: names replaced, aliases added, names disabled, whatever their form.  overrides: entity_id, canonical_name, added_aliases, disabled_names."""
     o = overrides.select(F.col("entity_id").alias("id"), F.col("canonical_name").alias("_c"))
-    names = entity.join(o, "id", "left").withColumn("canonical_name", F.coalesce(F.nullif("_c", F.lit("")), "canonical_name")).drop("_c")
-    off = overrides.select("entity_id", F.explode("disabled_names").alias("norm"))
-    on = overrides.select("entity_id", F.explode("added_aliases").alias("alias")).withColumn("norm", F.lower("alias"))
-    return names, alias.select("entity_id", "norm").unionByName(on.select("entity_id", "norm")).distinct().join(off, ["entity_id", "norm"], "left_anti")
+    names = entity.join(o, "id", "left").withColumn("canonical_name", F.coalesce(F.when(F.trim("_c") != "", F.col("_c")), "canonical_name")).drop("_c")
+    off = overrides.select("entity_id", F.explode("disabled_names").alias("name")).select("entity_id", normalize("name").alias("norm")).distinct()
+    on = overrides.select("entity_id", F.explode("added_aliases").alias("name")).select("entity_id", normalize("name").alias("norm"))
+    return names, alias.select("entity_id", "norm").unionByName(on).filter("norm <> ''").distinct().join(off, ["entity_id", "norm"], "left_anti")
+
+
+def overlaid_relations(relation: DataFrame, overrides: DataFrame) -> DataFrame:
+    """artist_id, group_id, source, confirmed: the public relations, and those that bound overrides add and haven't disabled; a user's own group has its id
+    negated, so it is none of the public ones. overrides: entity_id, user_groups (circle_id, user_confirmed, disabled)."""
+    public = relation.select("artist_id", "group_id", F.lit("Public").alias("source"), F.lit(True).alias("confirmed"))
+    own = overrides.select("entity_id", F.explode("user_groups").alias("g")).filter("NOT coalesce(g.disabled, false)")
+    return public.unionByName(own.select(F.col("entity_id").alias("artist_id"), (-F.col("g.circle_id")).alias("group_id"), F.lit("User").alias("source"), F.coalesce("g.user_confirmed", F.lit(False)).alias("confirmed"))).distinct()
 
 
 def bound(overrides: DataFrame, keys: DataFrame, version: str) -> DataFrame:

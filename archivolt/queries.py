@@ -179,13 +179,16 @@ def kb_profile(spark, d):
     return kb.profile(t(spark, d, "documents").withColumnRenamed("lang", "kind"), "kind", "text")
 
 
-@query("""SELECT p_partkey AS id, p_name AS canonical_name FROM part WHERE contains(lower(p_name), 'widget') OR contains(lower(p_brand), 'widget') ORDER BY p_name, p_partkey LIMIT 40 OFFSET 5""")
+@query("""WITH e AS (SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'Group' ELSE 'Artist' END AS kind, p_name AS canonical_name, lower(p_name) AS norm FROM part),
+               m AS (SELECT id FROM e WHERE norm LIKE '%wid_et%' UNION SELECT p_partkey FROM part WHERE p_size = 7 AND 'b' || lower(p_type) || ' widget' LIKE '%wid_et%' UNION SELECT p_partkey FROM part WHERE p_size = 9 AND 'widxet ' || p_brand LIKE '%wid_et%')
+          SELECT e.id, kind, canonical_name FROM m JOIN e ON e.id = m.id ORDER BY kind, canonical_name, e.id LIMIT 40 OFFSET 5""")
 def kb_search_page(spark, d):
-    """P8 O2 J10."""
+    """By names, aliases and providers' tags; the text is normalised, and has a wildcard."""
     p = t(spark, d, "part")
-    entity = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("canonical_name"), F.lower("p_name").alias("norm"))
-    alias = p.select(F.col("p_partkey").alias("entity_id"), F.lower("p_brand").alias("norm"))
-    return kb.searched(entity, alias, "widget", 5, 40).drop("norm")
+    entity = p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 2 == 0, "Group").otherwise("Artist").alias("kind"), F.col("p_name").alias("canonical_name"), F.lower("p_name").alias("norm"))
+    alias = p.filter("p_size = 7").select(F.col("p_partkey").alias("entity_id"), F.concat(F.lit("b"), F.lower("p_type"), F.lit(" widget")).alias("norm"))
+    identity = p.filter("p_size = 9").select(F.col("p_partkey").alias("entity_id"), F.concat(F.lit("widxet "), "p_brand").alias("norm"))
+    return kb.searched(entity, alias, " ＷＩＤ_ＥＴ", 5, 40, identity).drop("norm")
 
 
 @query("""SELECT p_brand, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS types FROM part GROUP BY 1""")

@@ -127,7 +127,8 @@ LIBRARY = T.StructType(
         T.StructField("circle_aliases", _list(("circle_id", L), ("alias", S), ("alias_type", S), ("source", S), ("disabled", B))),
         T.StructField("author_circles", _list(("author_id", L), ("circle_id", L), ("source", S), ("user_confirmed", B), ("disabled", B))),
         T.StructField("name_decisions", _list(("name", S), ("entity_type", S), ("entity_id", L), ("status", S))),
-        T.StructField("public_overrides", _list(("id", S), ("public_entity_key", S), ("database_version", S), ("original_public_id", L), ("entity_type", S), ("canonical_name", S), ("added_aliases", T.ArrayType(S)), ("disabled_names", T.ArrayType(S)), ("user_groups", _list(("group_id", L), ("name", S))), ("status", S))),
+        T.StructField("public_overrides", _list(("id", S), ("public_entity_key", S), ("database_version", S), ("original_public_id", L), ("entity_type", S), ("canonical_name", S), ("added_aliases", T.ArrayType(S)), ("disabled_names", T.ArrayType(S)), ("original_names", T.ArrayType(S)), ("user_groups", _list(("circle_id", L), ("group_id", L), ("name", S), ("user_confirmed", B), ("disabled", B))), ("status", S))),
+        T.StructField("legacy_alias_groups", _list(("id", S), ("canonical", S), ("names", T.ArrayType(S)), ("author_id", L))),
         T.StructField("lookup_cache", _list(("provider", S), ("query", S), ("query_norm", S), ("status", S), ("author_id", L), ("checked_utc", S), ("detail", S))),
     ]
 )
@@ -141,6 +142,43 @@ def broken_references(lists: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def library_faults(lists: dict[str, DataFrame]) -> DataFrame:
+    """SRC9: list, fault, id: what forbids saving a library. id: an entry's id is missing, not positive, blank or there twice; null: an entry is null; reference: it
+    refers to an author or circle that isn't there (decisions only where they are confirmed, alias groups only where they name an author); list: an
+    override lacks one of its lists; name: an alias group has no canonical name, no list of names or a blank one."""
+    authors, circles = (lists[n].filter("id > 0").select(F.col("id").alias("_id")).distinct() for n in ("authors", "circles"))
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    found = []
+
+    def add(name: str, fault: str, rows: DataFrame, key) -> None:
+        found.append(rows.select(F.lit(name).alias("list"), F.lit(fault).alias("fault"), key.cast("string").alias("id")))
+
+    def references(name: str, rows: DataFrame, key: str, to: DataFrame) -> None:
+        add(name, "reference", rows.filter("NOT absent").select(F.col(key).alias("id")).join(to, F.col("id") == F.col("_id"), "left_anti"), F.col("id"))
+
+    # an entry that is null comes out as a row whose every field is null
+    of = {n: rows.withColumn("absent", F.forall(F.array(*[F.col(c).isNull() for c in rows.columns]), lambda x: x)) for n, rows in lists.items()}
+    for name in ("authors", "aliases", "circles", "circle_aliases", "author_circles", "name_decisions", "public_overrides", "legacy_alias_groups"):
+        add(name, "null", of[name].filter("absent"), F.lit(None))
+    for name, ids in (("authors", True), ("circles", True), ("public_overrides", False), ("legacy_alias_groups", False)):
+        rows = of[name].filter("NOT absent")
+        add(name, "id", rows.filter((F.coalesce(F.col("id"), F.lit(0)) <= 0) if ids else blank("id")), F.col("id"))
+        add(name, "id", rows.groupBy("id").count().filter("count > 1"), F.col("id"))
+    for name, key, to in (("aliases", "author_id", authors), ("circle_aliases", "circle_id", circles), ("author_circles", "author_id", authors), ("author_circles", "circle_id", circles)):
+        references(name, of[name], key, to)
+    confirmed = of["name_decisions"].filter("status = 'Confirmed'")
+    references("name_decisions", confirmed.filter("entity_type = 'Artist'"), "entity_id", authors)
+    references("name_decisions", confirmed.filter("entity_type IS DISTINCT FROM 'Artist'"), "entity_id", circles)
+    over = of["public_overrides"].filter("NOT absent")
+    add("public_overrides", "list", over.filter("added_aliases IS NULL OR disabled_names IS NULL OR original_names IS NULL OR user_groups IS NULL"), F.col("id"))
+    own = over.select(F.explode("user_groups").alias("g"))
+    references("public_overrides", own.select(F.col("g.circle_id").alias("circle_id"), F.lit(False).alias("absent")), "circle_id", circles)
+    groups = of["legacy_alias_groups"].filter("NOT absent")
+    add("legacy_alias_groups", "name", groups.filter(blank("canonical") | F.col("names").isNull() | F.exists("names", lambda x: F.trim(F.coalesce(x, F.lit(""))) == "")), F.col("id"))
+    references("legacy_alias_groups", groups.filter("author_id > 0"), "author_id", authors)
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
 def library(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """SRC9: a user library as a table for each of its lists."""
     whole = spark.read.schema(LIBRARY).option("multiLine", True).json(path)
