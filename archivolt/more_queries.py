@@ -762,6 +762,60 @@ def own_changes_apart(spark, d):
     return cdc.others_changes(e, e.filter("event_id % 4 = 0").select("path", "at"), 3600).select("event_id")
 
 
+SCOPED_SQL = """f AS (SELECT o_orderkey AS id, 'LIB\\' || upper(o_orderpriority) || '\\' || o_orderstatus AS dir, o_orderkey % 3 AS m FROM orders),
+               s AS (SELECT 'all' AS scope_key, 'LIB' AS root, true AS recursive UNION ALL SELECT 'top', 'LIB', false UNION ALL SELECT DISTINCT 'p' || o_orderpriority, 'LIB\\' || upper(o_orderpriority), o_orderpriority > '3' FROM orders UNION ALL SELECT DISTINCT o_orderpriority || o_orderstatus, 'LIB\\' || upper(o_orderpriority) || '\\' || o_orderstatus, false FROM orders),
+               m AS (SELECT scope_key, id FROM f JOIN s ON dir = root OR recursive AND starts_with(dir, root || '\\'))"""
+
+
+def scoped_orders(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Orders as files in a tree, and scopes on three levels of it."""
+    o = t(spark, d, "orders")
+    under = lambda *c: F.concat_ws("/", F.lit("lib"), *c)
+    files = o.select(F.col("o_orderkey").alias("file_id"), under("o_orderpriority", "o_orderstatus").alias("directory"))
+    fixed = spark.createDataFrame([("all", "lib/", True), ("top", "Lib", False)], "scope_key string, root string, recursive boolean")
+    two = o.select(F.concat(F.lit("p"), "o_orderpriority"), under("o_orderpriority"), F.col("o_orderpriority") > "3").distinct()
+    three = o.select(F.concat("o_orderpriority", "o_orderstatus"), under("o_orderpriority", "o_orderstatus"), F.lit(False)).distinct()
+    return files, fixed.union(two).union(three)
+
+
+@query(f"WITH {SCOPED_SQL} SELECT scope_key, count(*) AS n, CAST(sum(id) AS BIGINT) AS total FROM m GROUP BY 1")
+def scope_members(spark, d):
+    """P5 C4: files and a table of scopes, nested ones too, in one pass."""
+    files, scopes = scoped_orders(spark, d)
+    return rules.scopes_of(files, "file_id", "directory", scopes).groupBy("scope_key").agg(F.count(F.lit(1)).alias("n"), F.sum("file_id").alias("total"))
+
+
+@query(f"""WITH {SCOPED_SQL}, r AS (SELECT scope_key, scope_key NOT LIKE '%1-URGENT%' AS known, scope_key LIKE '%F' AS soft FROM s),
+               seen AS (SELECT scope_key, id FROM m WHERE scope_key <> 'all' AND id % 3 <> 0 OR scope_key = 'all' AND id % 2 = 0), lost AS (SELECT m.*, soft FROM m JOIN r ON r.scope_key = m.scope_key AND r.known WHERE NOT EXISTS (SELECT 1 FROM seen n WHERE n.scope_key = m.scope_key AND n.id = m.id)),
+               held AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM lost WHERE lost.scope_key = m.scope_key AND lost.id = m.id)),
+               gone AS (SELECT id FROM lost WHERE (NOT soft OR id NOT IN (SELECT id FROM held)) AND id NOT IN (SELECT id FROM seen)),
+               after_ AS (SELECT * FROM held WHERE id NOT IN (SELECT id FROM gone) UNION SELECT * FROM seen)
+           SELECT scope_key, count(*) AS members, CAST(sum(id) AS BIGINT) AS total FROM after_ GROUP BY 1 UNION ALL SELECT 'files', count(*), CAST(sum(id) AS BIGINT) FROM f WHERE id NOT IN (SELECT id FROM gone)""")
+def cdc_scopes(spark, d):
+    """What scans of many scopes at once, some unknown, some shallow, leave of memberships and files."""
+    files, scopes = scoped_orders(spark, d)
+    members = rules.scopes_of(files, "file_id", "directory", scopes)
+    k, i = F.col("scope_key"), F.col("file_id")
+    seen = members.filter(F.when(k == "all", i % 2 == 0).otherwise(i % 3 != 0))
+    kinds = scopes.select(k, (~F.contains(k, F.lit("1-URGENT"))).alias("known"), F.endswith(k, F.lit("F")).alias("shallow"), F.lit(False).alias("safe"))
+    held, left = cdc.scoped_many(members, files, seen, kinds)
+    sums = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name), F.sum("file_id").alias("total"))
+    return sums(held.groupBy("scope_key"), "members").unionByName(sums(left.groupBy(F.lit("files").alias("scope_key")), "members"))
+
+
+@query("""WITH r AS (SELECT p_partkey AS ord, p_partkey % 4 AS kind, CASE p_partkey % 4 WHEN 0 THEN lower(p_brand) WHEN 1 THEN left(lower(p_name), 1 + p_partkey % 7) WHEN 2 THEN right(lower(p_type), 1 + p_partkey % 5) ELSE substr(lower(p_name), 1 + p_partkey % 5, 1 + p_partkey % 4) END AS pattern FROM part WHERE p_size % 5 = 0),
+               x AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 3 = 1 THEN p_name || ' ' || p_type ELSE p_type || ' ' || p_brand END AS txt FROM part),
+               h AS (SELECT DISTINCT txt, ord FROM (SELECT DISTINCT txt FROM x) JOIN r ON pattern <> '' AND CASE kind WHEN 0 THEN lower(txt) = pattern WHEN 1 THEN starts_with(lower(txt), pattern) WHEN 2 THEN suffix(lower(txt), pattern) ELSE contains(lower(txt), pattern) END)
+          SELECT id, 'r' || min(ord) AS rule FROM x JOIN h ON h.txt = x.txt GROUP BY 1""")
+def rule_table_hits(spark, d):
+    """Rules as a table as large as the texts' own; every kind meets its texts by equality."""
+    p, k = t(spark, d, "part"), F.col("p_partkey")
+    cut = [F.upper("p_brand"), F.left("p_name", 1 + k % 7), F.right("p_type", 1 + k % 5), F.substring("p_name", 1 + k % 5, 1 + k % 4)]
+    table = p.filter("p_size % 5 = 0").select(k.alias("ord"), F.concat(F.lit("r"), k).alias("name"), F.element_at(F.array(*map(F.lit, (rules.EXACT, rules.STARTS, rules.ENDS, rules.CONTAINS))), (k % 4 + 1).cast("int")).alias("kind"), F.element_at(F.array(*cut), (k % 4 + 1).cast("int")).alias("pattern"))
+    txt = F.when(k % 3 == 0, F.col("p_brand")).when(k % 3 == 1, F.concat_ws(" ", "p_name", "p_type")).otherwise(F.concat_ws(" ", "p_type", "p_brand"))
+    return rules.first_hit_by_table(p.select(k.alias("id"), txt.alias("txt")), "id", "txt", table)
+
+
 # --- streams
 
 

@@ -74,6 +74,20 @@ def scoped(members: DataFrame, files: DataFrame, seen: DataFrame, scope: str, kn
     return kept.join(gone, "file_id", "left_anti").unionByName(now).distinct(), files.join(gone, "file_id", "left_anti")
 
 
+def scoped_many(members: DataFrame, files: DataFrame, seen: DataFrame, scopes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """C5, C6 for many scopes scanned at once: memberships and files afterwards. members, seen: scope_key, file_id; scopes: scope_key, known, shallow, safe.
+    An unknown scope removes nothing. A known one loses what it didn't see; such a file goes altogether, whatever other scopes hold it, unless the scan
+    was shallow or safe and some scope still holds it; a file that any of the scans saw stays."""
+    keys = ["scope_key", "file_id"]
+    now = seen.select(*keys).distinct()
+    lost = members.join(scopes.filter("known").select("scope_key", (F.col("shallow") | F.col("safe")).alias("soft")), "scope_key").join(now, keys, "left_anti")
+    held = members.join(lost.select(*keys), keys, "left_anti")
+    hard = lost.filter("NOT soft").select("file_id")
+    soft = lost.filter("soft").select("file_id").join(held.select("file_id"), "file_id", "left_anti")
+    gone = hard.unionByName(soft).distinct().join(now.select("file_id"), "file_id", "left_anti")
+    return held.join(gone, "file_id", "left_anti").unionByName(now).distinct(), files.join(gone, "file_id", "left_anti")
+
+
 def shallow_children(files: DataFrame, directory: str, root: str) -> DataFrame:
     """C4: what a shallow scan may find moved: direct children alone."""
     return files.filter(in_scope(F.col(directory), F.lit(root), recursive=False))

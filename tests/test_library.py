@@ -477,6 +477,42 @@ def test_linked_identities(spark):
     assert {x.file: x.identity for x in planning.linked_identities(df, "file", "pos", "norms").collect()} == want
 
 
+def test_rules_as_a_table(spark):
+    """Against the rules as Columns, regular expressions, short and empty patterns included; no join without an equality."""
+    r = random.Random(5)
+    word = lambda most: "".join(r.choice("abAB.") for _ in range(r.randint(0, most)))
+    own = [rules.Rule(f"r{i}", r.choice([rules.EXACT, rules.STARTS, rules.ENDS, rules.CONTAINS]), word(5)) for i in range(60)] + [rules.Rule("x", rules.REGEX, "^b+a")]
+    r.shuffle(own)
+    rows = spark.createDataFrame([(i, word(9)) for i in range(120)] + [(500, None)], "id long, n string")
+    table = spark.createDataFrame([(i, x.name, x.kind, x.pattern) for i, x in enumerate(own)], "ord long, name string, kind string, pattern string")
+    got = rules.first_hit_by_table(rows, "id", "n", table)
+    want = rows.select("id", rules.first_hit(F.coalesce("n", F.lit("")), [x for x in own if x.pattern]).alias("rule")).filter("rule IS NOT NULL")
+    assert {tuple(x) for x in got.collect()} == {tuple(x) for x in want.collect()}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    paths = spark.createDataFrame([("root/" + "/".join(word(3) or "z" for _ in range(r.randint(1, 4))), "root") for _ in range(80)], "path string, root string").distinct()
+    assert {tuple(x) for x in rules.folder_hit_by_table(paths, "path", "root", table).collect()} == {tuple(x) for x in rules.folder_hit(paths, "path", "root", [x for x in own if x.pattern]).collect()}
+
+
+def test_scopes_at_once(spark):
+    """Each scope alone against all of them together."""
+    files = spark.createDataFrame([(1, "a"), (2, "a/b"), (3, "A\\B\\c"), (4, "ab"), (5, "a/b/")], "file_id long, directory string")
+    scopes = spark.createDataFrame([("x", "a", True), ("y", "a/b", False), ("z", "a\\b", True)], "scope_key string, root string, recursive boolean")
+    got = {(r.scope_key, r.file_id) for r in rules.scopes_of(files, "file_id", "directory", scopes).collect()}
+    for s in scopes.collect():
+        want = {r.file_id for r in files.filter(rules.in_scope(F.col("directory"), F.lit(s.root), s.recursive)).collect()}
+        assert {f for k, f in got if k == s.scope_key} == want
+    members = spark.createDataFrame([(k, f) for k in "pq" for f in range(6)], "scope_key string, file_id long")
+    every, seen = members.select("file_id").distinct(), spark.createDataFrame([(1,), (2,), (9,)], "file_id long")
+    for known in (True, False):
+        for shallow in (True, False):
+            want = cdc.scoped(members, every, seen, "p", known, shallow)
+            one = spark.createDataFrame([("p", known, shallow, False)], "scope_key string, known boolean, shallow boolean, safe boolean")
+            got = cdc.scoped_many(members, every, seen.select(F.lit("p").alias("scope_key"), "file_id"), one)
+            for a, b in zip(got, want, strict=True):
+                assert {tuple(x) for x in a.collect()} == {tuple(x) for x in b.select(a.columns).collect()}
+
+
 def test_long_chains_of_names(spark):
     """A chain of 10,000 links in 20 steps at most; a name that all share; and what hangs between two chains."""
     rows = spark.range(10_000).select(F.col("id").alias("file"), F.col("id").alias("pos"), F.array(F.concat(F.lit("n"), "id"), F.concat(F.lit("n"), F.col("id") + 1)).alias("norms"))
