@@ -84,7 +84,69 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_bpe, op4_exact_dedup, op5_url_filter, op6_language_model, op7_substring_dedup, op8_near_dedup, op9_toxicity, op10_decontaminate, op11_importance, op12_whitening, op13_simhash)}
 
+#: XXH64's primes.
+PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def simhash_sql(seed: int = 42) -> str:
+    """op13 in SQL: XXH64 of each distinct shingle by whole-number arithmetic of 128 bits, bits counted by document, links between all pairs of fingerprints."""
+    m = "18446744073709551616::UHUGEINT"
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in PRIMES)
+    number = lambda x: f"{x % 2**64}::UHUGEINT"
+    times = lambda a, b: f"(({a}) * ({b}) % {m})"
+    plus = lambda a, b: f"((({a}) + ({b})) % {m})"
+    turned = lambda a, r: f"(({a}) * {2**r}::UHUGEINT % {m} + ({a}) // {2 ** (64 - r)}::UHUGEINT)"
+    turn = lambda a, r: f"list_transform([{a}], lambda q: {turned('q', r)})[1]"  # noqa: E731  a is computed once
+    mixed = lambda a, w: times(turn(plus(a, times(w, p2)), 31), p1)
+    little = lambda at, n: "CAST('0x' || " + " || ".join(f"substr(h, 2 * ({at}) + {2 * k + 1}, 2)" for k in reversed(range(n))) + " AS UBIGINT)::UHUGEINT"
+    lane = lambda j, start: f"list_reduce(list_transform(range(0, n // 32), lambda i: words[4 * i + {j + 1}]), lambda a, w: {mixed('a', 'w')}, {number(start)})"
+    merged = lambda v: f"CASE WHEN n >= 32 THEN {plus(times(f'xor(b, {mixed(number(0), v)})', p1), p4)} ELSE b END"
+    return rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+             s AS (SELECT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+                                              WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS g FROM d),
+             c AS (SELECT doc_id, g, count(*) AS c FROM s GROUP BY ALL),
+             x0 AS (SELECT g, hex(encode(g)) AS h, length(hex(encode(g))) // 2 AS n FROM (SELECT DISTINCT g FROM c)),
+             x1 AS (SELECT *, list_transform(range(0, n // 8), lambda i: {little("8 * i", 8)}) AS words FROM x0),
+             x2 AS (SELECT *, {lane(0, seed + PRIMES[0] + PRIMES[1])} AS v1, {lane(1, seed + PRIMES[1])} AS v2, {lane(2, seed)} AS v3, {lane(3, seed - PRIMES[0])} AS v4 FROM x1),
+             x3 AS (SELECT *, CASE WHEN n >= 32 THEN ({turned("v1", 1)} + {turned("v2", 7)} + {turned("v3", 12)} + {turned("v4", 18)}) % {m} ELSE {number(seed + PRIMES[4])} END AS b FROM x2),
+             x4 AS (SELECT * REPLACE ({merged("v1")} AS b) FROM x3), x5 AS (SELECT * REPLACE ({merged("v2")} AS b) FROM x4),
+             x6 AS (SELECT * REPLACE ({merged("v3")} AS b) FROM x5), x7 AS (SELECT * REPLACE ({merged("v4")} AS b) FROM x6),
+             x8 AS (SELECT g, h, n, list_reduce(words[n // 32 * 4 + 1:], lambda a, w: {plus(times(turn(f"xor(a, {mixed(number(0), 'w')})", 27), p1), p4)}, (b + n::UHUGEINT) % {m}) AS b FROM x7),
+             x9 AS (SELECT g, h, n, CASE WHEN n % 8 >= 4 THEN {plus(times(turn(f"xor(b, {times(little('n // 8 * 8', 4), p1)})", 23), p2), p3)} ELSE b END AS b FROM x8),
+             xa AS (SELECT g, list_reduce(list_transform(range(n // 4 * 4, n), lambda i: {little("i", 1)}), lambda a, w: {times(turn(f"xor(a, {times('w', p5)})", 11), p1)}, b) AS b FROM x9),
+             xb AS (SELECT g, {times(f"xor(b, b // {2**33}::UHUGEINT)", p2)} AS b FROM xa), xc AS (SELECT g, {times(f"xor(b, b // {2**29}::UHUGEINT)", p3)} AS b FROM xb),
+             hash AS (SELECT g, CAST(xor(b, b // {2**32}::UHUGEINT) AS UBIGINT) AS b FROM xc),
+             bits AS (SELECT doc_id, i, sum(c * ((b >> i) & 1)) * 2 > sum(c) AS one FROM c JOIN hash ON hash.g = c.g, (SELECT unnest(range(0, 64))::UBIGINT AS i) GROUP BY 1, 2),
+             p AS (SELECT d.doc_id, coalesce(v, 0::UBIGINT) AS print FROM d LEFT JOIN (SELECT doc_id, bit_or(CASE WHEN one THEN CAST(pow(2, i) AS UBIGINT) ELSE 0::UBIGINT END) AS v FROM bits GROUP BY 1) f ON f.doc_id = d.doc_id),
+             f AS (SELECT print, min(doc_id) AS least FROM p GROUP BY 1),
+             e AS (SELECT a.print AS x, b.print AS y FROM f a JOIN f b ON a.print <> b.print AND bit_count(CAST(xor(a.print, b.print) AS HUGEINT)) <= 3),
+             r AS (SELECT print AS x, print AS y FROM f UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+             k AS (SELECT r.x, min(f.least) AS component_id FROM r JOIN f ON f.print = r.y GROUP BY 1)
+        SELECT doc_id, lower(lpad(hex(print), 16, '0')) AS fingerprint, component_id FROM p JOIN k ON k.x = p.print"""
+
+
 ORACLE: dict[str, str] = {
+    "op11_importance": r"""
+        WITH t AS (SELECT list_transform(range(0, 256), lambda k: list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k)) AS crc),
+             w AS (SELECT kind, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+                   FROM (SELECT 's' AS kind, doc_id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark)),
+             f AS (SELECT kind, doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS g FROM w),
+             n AS (SELECT kind, doc_id, g, count(*) AS n FROM f GROUP BY ALL),
+             u AS (SELECT g, hex(encode(g)) AS h FROM (SELECT DISTINCT g FROM n)),
+             c AS (SELECT g, CAST(xor(4294967295, list_reduce(list_transform(range(0, length(h) // 2), lambda i: (instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1),
+                           lambda s, b: xor(s >> 8, t.crc[xor(s & 255, b) + 1]), 4294967295)) % 10000 AS BIGINT) AS bucket FROM u, t),
+             b AS (SELECT bucket, coalesce(sum(n) FILTER (kind = 's'), 0) AS s, coalesce(sum(n) FILTER (kind = 't'), 0) AS t FROM n JOIN c ON c.g = n.g GROUP BY bucket),
+             z AS (SELECT sum(s) AS s, sum(t) AS t FROM b),
+             k AS (SELECT bucket, CAST(floor(1000 * ln((CAST(b.t AS DOUBLE) + 1) * (CAST(z.s AS DOUBLE) + 10000) / ((CAST(b.s AS DOUBLE) + 1) * (CAST(z.t AS DOUBLE) + 10000)))) AS BIGINT) AS gain FROM b, z),
+             m AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total FROM n JOIN c ON c.g = n.g JOIN k ON k.bucket = c.bucket WHERE kind = 's' GROUP BY doc_id),
+             r AS (SELECT w.doc_id, len(ws) AS words, coalesce(n_features, 0) AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+                          CAST('0x' || substr(sha256('7:' || CAST(w.doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN m ON m.doc_id = w.doc_id WHERE kind = 's'),
+             x AS (SELECT *, CAST(weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0))) AS BIGINT) AS score FROM r),
+             o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM x WHERE words >= 20), q AS (SELECT 25 * count(*) // 100 AS quota FROM o)
+        SELECT x.doc_id, n_features, weight, score, CASE WHEN place <= quota THEN place END AS rank FROM x LEFT JOIN o ON o.doc_id = x.doc_id, q""",
+    "op13_simhash": simhash_sql(),
     "op1_suffix_dedup": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
              w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s

@@ -601,3 +601,104 @@ def test_urls_against_plain(spark):
     assert {i: x.verdict for i, x in got.items()} == {i: v for i, (v, _) in want.items()}
     assert max(abs(got[i].score - s) for i, (_, s) in want.items()) < 1e-8
     assert {want[i][0] for i in range(500, 580)} == {"allow", "block"}
+
+
+def plain_toxicity(texts, labels, bits, folds=5, rounds=80):
+    """The probabilities of the chain, document by document with dictionaries: two kinds by a mixture, then the label; earlier probabilities out of fold."""
+    import zlib
+
+    sigmoid = lambda z: 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+    def slots(t):
+        words = {w.strip(toxicity.EDGES) for w in t.lower().split()} - {b""}
+        return sorted({zlib.crc32(x) % 2**bits for w in words for x in (w, b"4" + w[:4], b"6" + w[:6])})
+
+    own = {d: slots(t) for d, t in texts.items()}
+    ids = sorted(labels)
+    fold = {d: zlib.crc32(str(d).encode()) % folds for d in ids}
+
+    def fitted(y, extra, use):
+        pos, neg = [d for d in use if y[d]], [d for d in use if not y[d]]
+        k = len(next(iter(extra.values())))
+        if not pos or not neg:
+            return {}, [0.0] * k, 30.0 if pos else -30.0
+        n = {}
+        for d in use:
+            for s in own[d]:
+                n.setdefault(s, [0.5, 0.5])[0 if y[d] else 1] += 1
+        ratio = {s: math.log(a / (len(pos) + 1)) - math.log(b / (len(neg) + 1)) for s, (a, b) in n.items() if a + b >= 4}
+        ratio = {s: v for s, v in ratio.items() if abs(v) > 0.7}
+        keys = [*ratio, *range(-k, 0), "bias"]
+        w, past = dict.fromkeys(keys, 0.0), dict.fromkeys(keys, 1e-8)
+        for _ in range(rounds):
+            slope = {key: 1e-5 * v if key != "bias" else 0.0 for key, v in w.items()}
+            for d in use:
+                x = {**{s: ratio[s] for s in own[d] if s in ratio}, **dict(zip(range(-k, 0), extra[d], strict=True)), "bias": 1.0}
+                miss = (sigmoid(sum(w[key] * v for key, v in x.items())) - y[d]) / len(use)
+                for key, v in x.items():
+                    slope[key] += miss * v
+            for key, v in slope.items():
+                past[key] += v * v
+                w[key] -= 0.3 * v / math.sqrt(past[key])
+        return {s: w[s] * v for s, v in ratio.items()}, [w[j] for j in range(-k, 0)], w["bias"]
+
+    def says(model, d, extra):
+        return sigmoid(sum(model[0].get(s, 0.0) for s in own[d]) + sum(a * b for a, b in zip(model[1], extra, strict=True)) + model[2])
+
+    bad = [d for d in ids if labels[d]]
+    freq = {}
+    for d in ids:
+        for s in own[d]:
+            freq.setdefault(s, [0, 0])[0 if labels[d] else 1] += 1
+    marks = sorted(s for s, (a, b) in freq.items() if a >= 3 and math.log((a + 0.5) / (len(bad) + 1)) - math.log((b + 0.5) / (len(ids) - len(bad) + 1)) > 1.5)
+    kind = {d: (0, 0) for d in ids}
+    if len(marks) >= 2:
+        have = {d: [s for s in own[d] if s in set(marks)] for d in bad}
+        first = max(marks, key=lambda s: (freq[s][0], -s))
+        apart = {s: sum((1 if first not in have[d] else -1) for d in bad if s in have[d]) for s in marks}
+        second = max(marks, key=lambda s: (apart[s], -s))
+        share = {d: (0.9, 0.1) if first in have[d] and second not in have[d] else (0.1, 0.9) if second in have[d] and first not in have[d] else (0.5, 0.5) for d in bad}
+        some = [d for d in bad if have[d]]
+        for _ in range(40):
+            count = [dict.fromkeys(marks, 0.5) for _ in range(2)]
+            for d in bad:
+                for s in have[d]:
+                    for j in range(2):
+                        count[j][s] += share[d][j]
+            total = [sum(c.values()) for c in count]
+            prior = [math.log(sum(share[d][j] for d in some) + 1) for j in range(2)]
+            for d in some:
+                z = [prior[j] + sum(math.log(count[j][s] / total[j]) for s in have[d]) for j in range(2)]
+                e = [math.exp(v - max(z)) for v in z]
+                share[d] = (e[0] / sum(e), e[1] / sum(e))
+        for d in some:
+            kind[d] = (1, 0) if share[d][0] >= share[d][1] else (0, 1)
+    extra, out = {d: [] for d in ids}, {d: [] for d in texts}
+    for y in ({d: kind[d][0] for d in ids}, {d: kind[d][1] for d in ids}, labels):
+        parts = [fitted(y, extra, [d for d in ids if fold[d] != f]) for f in range(folds)]
+        model = fitted(y, extra, ids)
+        held = {d: says(parts[fold[d]], d, extra[d]) for d in ids}
+        for d in texts:
+            out[d].append(says(model, d, out[d]))
+        extra = {d: [*extra[d], held[d]] for d in ids}
+    return {d: [0.0] * 3 if not texts[d].split() else p for d, p in out.items()}
+
+
+def test_toxicity_against_plain(spark):
+    """All probabilities of all documents."""
+    g = random.Random(14)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows, labels = [], {}
+    for i in range(140):
+        kind = i % 3
+        extra = g.sample(["vequa!", "Vequo", "vexed"], 2) if kind == 1 else g.sample(["zonk", "zinker", "ZONK,"], 2) if kind == 2 and i % 2 else []
+        rows.append((i, " ".join(g.sample(vocabulary, 15) + extra)))
+        if i < 110:
+            labels[i] = int(bool(extra))
+    rows += [(500, None), (501, "  "), (502, "zonk")]
+    want = plain_toxicity({i: (t or "").encode() for i, t in rows}, labels, toxicity.BITS)
+    got = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")).collect()}
+    for i, p in want.items():
+        assert [abs(got[i][f"p_{c}"] - v) < 1e-5 for c, v in zip(toxicity.CHAIN, p, strict=True)] == [True] * 3, (i, p, got[i])
+        assert got[i].toxic == (got[i].p_toxic >= 0.5)
+    assert any(p[0] > 0.5 for p in want.values()) and any(p[1] > 0.5 for p in want.values())
