@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize, structured_parts, work_score
+from ..sources.writers import settled
 
 FOUND, AMBIGUOUS, NOT_FOUND = "Matched", "Ambiguous", "NotFound"
 
@@ -80,7 +81,15 @@ def structured_entities(queries: DataFrame, groups: DataFrame, artists: DataFram
     """Key, status, artist_id: artists of the creator's name that belong to a group of the society's name.  A tie goes to the only one with
     an alias "society (creator)" whose society is a norm of the query's or of its groups; else to the one whose aliases contain more of the
     creator's norms (of two characters or more), at least two.  queries: key, society, creator (norms).  groups: norm, group_id.  artists: norm,
-    artist_id.  aliases: artist_id, alias (as written)."""
+    artist_id.  aliases: artist_id, alias (as written).  What several keys ask alike is resolved once."""
+    asked = settled(queries.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("society", "creator"))).alias("_asked")))
+    once = settled(asked.select("_asked").distinct().withColumn("_q", F.monotonically_increasing_id()))
+    own = once.select("_q", F.explode("_asked").alias("r")).select("_q", "r.society", "r.creator")
+    found = _structured_entities(own, groups, artists, relation, "_q", aliases)
+    return asked.join(once.join(found, "_q"), "_asked").select(key, "status", "artist_id")
+
+
+def _structured_entities(queries: DataFrame, groups: DataFrame, artists: DataFrame, relation: DataFrame, key: str, aliases: DataFrame) -> DataFrame:
     society = queries.select(key, F.col("society").alias("norm")).distinct()
     g = society.join(groups, "norm").select(key, "group_id").distinct()
     a = queries.select(key, F.col("creator").alias("norm")).distinct().join(artists, "norm").select(key, "artist_id").distinct()
