@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import grammar, naming, rules, text
-from .operators import cdc, incremental, kb, resolve, scoring
+from .operators import cdc, incremental, kb, providers, resolve, scoring
 from .plans import planning, report
 from .queries import DELTA_SQL, WORK_SQL, evidence, order_snapshots, query, statuses, STATUS_SQL, t, urls, URL_SQL, work_rows
 from .sources import readers, versions, writers
@@ -252,6 +252,22 @@ def merge_provider_results(spark, d):
     return kb.provider_results(library, results).select("id", "canonical_name")
 
 
+@query("""WITH r AS (SELECT o_custkey * 2 AS ext, min(o_orderkey) AS seq FROM orders GROUP BY 1), m AS (SELECT max(c_custkey) AS top FROM customer),
+               n AS (SELECT ext, row_number() OVER (ORDER BY seq) + top AS id FROM r, m WHERE ext > top)
+          SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN CASE WHEN r.ext IS NULL OR c_custkey % 5 = 0 THEN '' ELSE 'T ' || ext END ELSE c_name END AS canonical_name, CASE WHEN r.ext IS NULL OR c_custkey % 5 = 0 THEN '' ELSE 'T_' || ext END AS eh_artist_tag,
+                 CAST(c_custkey AS VARCHAR) AS external_id FROM customer LEFT JOIN r ON r.ext = c_custkey UNION ALL SELECT id, 'T ' || ext, 'T_' || ext, CAST(ext AS VARCHAR) FROM n""")
+def provider_merge(spark, d):
+    """Results find the one author of their id, or make it once; confirmed ones stay."""
+    c, o, k = t(spark, d, "customer"), t(spark, d, "orders"), F.col("c_custkey")
+    text_, none = F.lit(""), F.array().cast("array<string>")
+    authors = c.select(k.alias("id"), F.when(k % 3 == 0, "").otherwise(F.col("c_name")).alias("canonical_name"), text_.alias("roman_name"), text_.alias("eh_artist_tag"), text_.alias("nh_artist_tag"), F.lit("E-Hentai").alias("source"), k.cast("string").alias("external_id"), F.lit("Artist").alias("entity_type"), text_.alias("verification_source"), F.lit("artist").alias("eh_namespace"), text_.alias("eh_tag"), F.lit(False).alias("verified"), (k % 5 == 0).alias("user_confirmed"))
+    empty = lambda schema: spark.createDataFrame([], schema)
+    library = providers.Library(authors, empty("author_id long, alias string, alias_type string, source string"), empty("id long, canonical_name string, eh_group_tag string, nh_group_tag string, source string"), empty("author_id long, circle_id long, source string"), empty("provider string, query string, query_norm string, status string, author_id long, checked_utc string, detail string"))
+    ext = (F.col("o_custkey") * 2).cast("string")
+    results = o.select(F.col("o_orderkey").alias("seq"), F.lit("E-Hentai").alias("provider"), text_.alias("query"), ext.alias("external_id"), F.concat(F.lit("T_"), ext).alias("tag"), F.lit("artist").alias("namespace"), F.lit("Artist").alias("entity_type"), F.array(F.lit("E-Hentai/Tag")).alias("evidence"), none.alias("other_names"), text_.alias("group_name"), F.lit("now").alias("checked_utc"))
+    return providers.merged(library, results).authors.select("id", "canonical_name", "eh_artist_tag", "external_id")
+
+
 # --- joins
 
 

@@ -610,6 +610,39 @@ def test_faults_of_a_library(spark, tmp_path):
         assert got == ({want} if want else set()), (want, got)
 
 
+def test_provider_results(spark):
+    """Found, made once, kept as confirmed; aliases, groups and lookups."""
+    from archivolt.operators import providers
+
+    author = "id long, canonical_name string, roman_name string, eh_artist_tag string, nh_artist_tag string, source string, external_id string, entity_type string, verification_source string, eh_namespace string, eh_tag string, verified boolean, user_confirmed boolean"
+    result = "seq long, provider string, query string, external_id string, tag string, namespace string, entity_type string, evidence array<string>, other_names array<string>, group_name string, checked_utc string"
+    lib = providers.Library(
+        spark.createDataFrame([(1, "", "", "some_tag", "", "E-Hentai", "7", "Artist", "", "artist", "some_tag", False, False), (2, "Mine", "", "", "mine", "nHentai", "9", "Artist", "", "artist", "mine", False, True), (3, "Eh", "eh", "eh_x", "eh_x", "E-Hentai", "5", "Artist", "EHTagExact", "artist", "eh_x", False, False), (4, "t", "", "twice", "", "E-Hentai", "", "Artist", "", "artist", "", False, False), (5, "t", "", "twice", "", "E-Hentai", "", "Artist", "", "artist", "", False, False)], author),
+        spark.createDataFrame([(1, "Some Tag", "x", "x")], "author_id long, alias string, alias_type string, source string"), spark.createDataFrame([(20, "Circle One", "", "", "u")], "id long, canonical_name string, eh_group_tag string, nh_group_tag string, source string"),
+        spark.createDataFrame([(1, 20, "u")], "author_id long, circle_id long, source string"), spark.createDataFrame([("EH", "q", "q one", "none", 0, "old", ""), ("EH", "z", "z", "none", 0, "old", "")], "provider string, query string, query_norm string, status string, author_id long, checked_utc string, detail string"),
+    )
+    eh, nh = ["E-Hentai/Tag"], ["nHentai/Tag"]
+    rows = [
+        (1, "eh", "Q　One", "7", "some_tag", "artist", "Artist", eh, ["別名_x"], "circle one", "now"), (2, "nHentai", "mine", "9", "mine", "artist", "Artist", nh, [], "g", "now"), (3, "nHentai", "ehx", "", "eh_x", None, None, nh, None, None, "now"),
+        (4, "nHentai", "fresh", "50", "fresh_name", "artist", None, nh, [], "New_Group", "now"), (5, "nHentai", "fresh again", "50", "fresh_name", "artist", "", nh, ["日本"], "new group", "now"), (6, "EH", "two", "", "twice", "artist", "", ["E-Hentai/TitleSearch"], [], None, "now"),
+        (7, "x", "no", "", "t", "group", "", eh, [], None, "now"), (8, "x", "no", "", "t", "artist", "Group", eh, [], None, "now"), (9, "x", "no", "", "t", "artist", "Artist", ["EhTagTranslation/x"], [], None, "now"),
+    ]
+    out = providers.merged(lib, spark.createDataFrame(rows, result))
+    a = {r.id: r for r in out.authors.collect()}
+    assert set(a) == {1, 2, 3, 4, 5, 6, 7} and (a[2].canonical_name, a[2].source) == ("Mine", "nHentai") and a[2].user_confirmed
+    assert (a[1].canonical_name, a[1].roman_name, a[1].verification_source) == ("別名 x", "some tag", "EHTagExact")
+    assert a[3].source == "E-Hentai" and a[3].nh_artist_tag == "eh_x"  # verified by better evidence
+    assert (a[6].canonical_name, a[6].nh_artist_tag, a[6].external_id, a[6].entity_type) == ("fresh name", "fresh_name", "50", "Artist") and (a[7].eh_artist_tag, a[7].verification_source) == ("twice", "EHTitleBridge")
+    names = {(r.author_id, r.alias): r.alias_type for r in out.aliases.collect()}
+    assert names[1, "Some Tag"] == "x" and names[1, "some_tag"] == "provider_tag" and names[1, "Q　One"] == "query" and names[1, "別名_x"] == "other_name" and (1, "some tag") not in names
+    assert names[6, "fresh again"] == "query" and names[6, "日本"] == "other_name" and not any(i in (2, 3) for i, _ in names)
+    c = {r.id: r for r in out.circles.collect()}
+    assert set(c) == {20, 21, 22} and {(c[i].canonical_name, c[i].nh_group_tag) for i in (21, 22)} == {("New Group", "New_Group"), ("new group", "new group")}
+    assert {(r.author_id, r.circle_id) for r in out.author_circles.collect()} == {(1, 20), (6, 21), (6, 22)}
+    seen = {(r.provider.lower(), r.query_norm): r for r in out.lookups.collect()}
+    assert seen["eh", "q one"].author_id == 1 and seen["eh", "z"].status == "none" and seen["nhentai", "mine"].detail == providers.PRESERVED and seen["nhentai", "ehx"].author_id == 3 and len(seen) == 7
+
+
 def test_plan_pieces(spark):
     rows = spark.createDataFrame([(3, "b"), (1, "a"), (2, "B")], "id long, k string")
     assert [(r.id, r.n) for r in writers.numbered(rows, ["id"], "n").orderBy("id").collect()] == [(1, 0), (2, 1), (3, 2)]
