@@ -753,6 +753,33 @@ def cdc_unknown_scope(spark, d):
     return kept.groupBy("scope_key").agg(F.count(F.lit(1)).alias("members"))
 
 
+@query("""WITH n AS (SELECT c_custkey AS id, c_custkey % 60 AS norm FROM customer), i AS (SELECT s_suppkey AS folder, s_suppkey % 6 AS role, s_suppkey * 7 % 70 AS norm FROM supplier),
+               h AS (SELECT id, role + 1 AS stage, folder FROM n JOIN i ON i.norm = n.norm WHERE role < 5 UNION SELECT id, 7, folder FROM n JOIN i ON i.norm = n.norm WHERE role = 5
+                     UNION SELECT id, 6, folder FROM n JOIN i ON i.norm IN (n.norm + 1, n.norm + 2) WHERE role < 5 AND n.norm % 3 = 0 AND n.norm % 7 <> 0),
+               m AS (SELECT id, min(stage) AS stage FROM h GROUP BY 1), r AS (SELECT h.id, h.stage, count(*) AS k, min(folder) AS f FROM h JOIN m ON m.id = h.id AND m.stage = h.stage GROUP BY 1, 2),
+               a AS (SELECT n.id, norm, stage, k, f, norm % 7 = 0 AND coalesce(stage, 7) > 5 AS late FROM n LEFT JOIN r ON r.id = n.id)
+          SELECT id, CASE WHEN late THEN 6 ELSE stage END AS stage, CASE WHEN late THEN 'Ambiguous' WHEN k = 1 THEN 'Matched' ELSE 'Choice' END AS status, CASE WHEN NOT late AND k = 1 THEN f END AS folder, CASE WHEN late THEN 0 ELSE k END AS targets FROM a WHERE late OR stage IS NOT NULL""")
+def resolve_roles(spark, d):
+    """Role after role, then every name of the entity in all roles."""
+    k, s = F.col("c_custkey") % 60, F.col("s_suppkey")
+    names = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), k.cast("string").alias("norm"))
+    index = t(spark, d, "supplier").select(s.alias("folder"), (s % 6).alias("role"), (s * 7 % 70).cast("string").alias("norm"))
+    entities = t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(k % 7 == 0, resolve.AMBIGUOUS).when(k % 3 == 0, resolve.FOUND).otherwise(resolve.NOT_FOUND).alias("status"), k.alias("entity_id"))
+    known = t(spark, d, "customer").select(k.alias("entity_id"), F.explode(F.array((k + 1).cast("string"), (k + 2).cast("string"))).alias("norm")).distinct()
+    return resolve.role_cascade(names, index, entities, known, "id", "folder")
+
+
+@query("""SELECT o_orderkey AS file_id, c_name AS name, l_linenumber AS plan FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND l_linenumber % 3 = 1""")
+def session_plans(spark, d):
+    """A session's files and their plans, made under a configuration that goes on from the asked one."""
+    o, li, n = t(spark, d, "orders"), t(spark, d, "lineitem"), F.col("l_linenumber")
+    members = o.select(F.col("o_orderpriority").alias("session_id"), F.col("o_orderkey").alias("file_id"))
+    files = o.join(t(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("file_id"), F.col("c_name").alias("name"))
+    config = F.when(n % 3 == 0, "v1").when(n % 3 == 1, F.concat(F.lit("v1|AuthorDependency="), n)).otherwise(F.concat(F.lit("v12|AuthorDependency="), n))
+    plans = li.select(F.col("l_orderkey").alias("file_id"), config.alias("config_key"), n.alias("plan"))
+    return cdc.session_plans(members, files, plans, "1-URGENT", "v1", dependent=True).select("file_id", "name", "plan")
+
+
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 THEN 'third/' WHEN o_orderkey % 2 = 0 THEN 'second/' ELSE 'first/' END || o_orderkey AS full_path FROM orders")
 def cdc_own_moves(spark, d):
     """The program's own moves, the last of each path counting."""

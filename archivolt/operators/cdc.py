@@ -98,6 +98,16 @@ def session(files: DataFrame, order: list[str], most: int) -> DataFrame:
     return files.orderBy(*order).limit(most)
 
 
+def session_plans(members: DataFrame, files: DataFrame, plans: DataFrame, session_id, config: str, dependent: bool = False) -> DataFrame:
+    """The plans of a session's files (members: session_id, file_id; files: file_id and others; plans: file_id, config_key and others) that were made under a
+    configuration, or, dependent, under any that goes on from it with what it depends on. The session and the configuration are tested before
+    anything is joined."""
+    mark = f"{config}|AuthorDependency="
+    fits = F.startswith("config_key", F.lit(mark)) if dependent else F.col("config_key") == config
+    own = members.filter(F.col("session_id") == session_id).select("file_id")
+    return own.join(files, "file_id").join(plans.filter(fits), "file_id")
+
+
 def newest_sessions(sessions: DataFrame, at: str, key: str, most: int = 16) -> DataFrame:
     """The newest sessions; a bounded list that others are purged by."""
     return sessions.orderBy(F.desc(at), F.desc(key)).limit(most)

@@ -29,6 +29,27 @@ def cascade(stages: Sequence[tuple[DataFrame, str]], key: str, target: str) -> D
     return hit.select(key, "stage", F.when(F.col("targets") == 1, FOUND).otherwise(F.col("_many")).alias("status"), F.when(F.col("targets") == 1, F.col("_t")).alias(target), "targets")
 
 
+#: The roles in which a folder's index holds a norm.
+DIRECT, SOCIETY, CREATOR, SEGMENT, GENERIC, CAUTIOUS = range(6)
+
+
+def role_cascade(names: DataFrame, index: DataFrame, entities: DataFrame, identity_names: DataFrame, key: str, target: str) -> DataFrame:
+    """Key, stage, status, target, targets: a name as a whole, as a society, as a creator, as a segment of a society's name, in its generic form; then by the
+    entity that it names, whose every name is looked for in all these roles; then cautiously. One role after another: the first that finds anything decides, one
+    folder being a match and several a choice. An entity that isn't the only one of its name ends the search as ambiguous; one without folders doesn't.
+    names: key, norm; index: target, role, norm; entities: key, status, entity_id; identity_names: entity_id, norm."""
+    of = lambda *roles: index.filter(F.col("role").isin(*roles)).select(target, "norm")
+    found = entities.filter(F.col("status") == FOUND).join(identity_names, "entity_id").select(key, "norm")
+    stages = [norm_join(names, of(r), key, target) for r in (DIRECT, SOCIETY, CREATOR, SEGMENT, GENERIC)]
+    stages += [norm_join(found, of(DIRECT, SOCIETY, CREATOR, SEGMENT, GENERIC), key, target), norm_join(names, of(CAUTIOUS), key, target)]
+    hits = cascade([(s, "Choice") for s in stages], key, target)
+    unsure = entities.filter(F.col("status") == AMBIGUOUS).select(key, F.lit(True).alias("_unsure")).distinct()
+    r = hits.join(unsure, key, "full")
+    late = F.coalesce("_unsure", F.lit(False)) & (F.coalesce("stage", F.lit(len(stages))) > GENERIC + 1)
+    kind = hits.schema[target].dataType
+    return r.select(key, F.when(late, GENERIC + 2).otherwise(F.col("stage")).alias("stage"), F.when(late, AMBIGUOUS).otherwise(F.col("status")).alias("status"), F.when(late, F.lit(None).cast(kind)).otherwise(F.col(target)).alias(target), F.when(late, 0).otherwise(F.col("targets")).alias("targets"))
+
+
 def structured_hits(society: DataFrame, creator: DataFrame, key: str, target: str) -> DataFrame:
     """Targets of either side; where both sides share some, only those."""
     both = society.join(creator, [key, target])

@@ -66,6 +66,11 @@ def session_block(session: DataFrame, items: DataFrame, order: list[str]) -> Dat
     return head.unionByName(session.select(F.lit(1).cast("long").alias("at"), quoted(session).alias("line"))).unionByName(lines)
 
 
+def history_file(session: DataFrame, items: DataFrame, order: list[str], path: str) -> None:
+    """SNK1: session_block() as text. Its parts, in the order of their names, make up the file; lines are sorted in ranges, not in one task."""
+    session_block(session, items, order).orderBy("at").select("line").write.mode("overwrite").text(path)
+
+
 def replace_whole(df: DataFrame, path: str) -> None:
     """SNK2, SRC9: rows are staged in full before the old ones go, and what fails half way leaves the old. Between the two renames there is no table at
     the path: readers that can't wait read a version that stage() and activate() publish."""

@@ -643,6 +643,14 @@ def test_provider_results(spark):
     assert seen["eh", "q one"].author_id == 1 and seen["eh", "z"].status == "none" and seen["nhentai", "mine"].detail == providers.PRESERVED and seen["nhentai", "ehx"].author_id == 3 and len(seen) == 7
 
 
+def test_history_file(spark, tmp_path):
+    session = spark.createDataFrame([("s1", 2)], "session string, files long")
+    items = spark.createDataFrame([(2, 'b"x'), (1, "a,b"), (3, None)], "n long, name string")
+    writers.history_file(session, items, ["n"], str(tmp_path / "h"))
+    text_ = "".join(p.read_text() for p in sorted((tmp_path / "h").glob("part-*")))
+    assert text_.split("\n")[:-1] == ['\ufeff"session","files"', '"s1","2"', "", '"n","name"', '"1","a,b"', '"2","b""x"', '"3",""']
+
+
 def test_plan_pieces(spark):
     rows = spark.createDataFrame([(3, "b"), (1, "a"), (2, "B")], "id long, k string")
     assert [(r.id, r.n) for r in writers.numbered(rows, ["id"], "n").orderBy("id").collect()] == [(1, 0), (2, 1), (3, 2)]
