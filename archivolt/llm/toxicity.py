@@ -21,7 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, id_out, plain
@@ -128,19 +128,42 @@ def kinds(rows: list[np.ndarray], toxic: np.ndarray, size: int, rounds: int = 40
     return out
 
 
-def fit_chain(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, size: int) -> list[np.ndarray]:
-    """labels: a column for each category, in the chain's order."""
+def fit_chain(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, size: int, fits=None) -> list[np.ndarray]:
+    """labels: a column for each category, in the chain's order. fits(extra, y, which): the weights of train() for each set of rows in which."""
     x, extra, models = Sparse(rows, size), np.zeros((len(rows), 0)), []
+    fits = fits or (lambda extra, y, which: [train(x, extra, y, use) for use in which])
     for c in range(labels.shape[1]):
         y, held = labels[:, c], np.zeros(len(rows))
-        for f in range(FOLDS):
-            w = train(x, extra, y, folds != f)
+        *parts, whole = fits(extra, y, [*(folds != f for f in range(FOLDS)), np.ones(len(rows), bool)])
+        for f, w in enumerate(parts):
             held = np.where(folds == f, sigmoid(x.dot(w) + extra @ w[size:-1] + w[-1]), held)
-        models.append(train(x, extra, y, np.ones(len(rows), bool)))
+        models.append(whole)
         extra = np.column_stack([extra, held])
     return models
 
 
+def fits_as_tasks(spark: SparkSession, rows: list[np.ndarray], size: int):
+    """fits for fit_chain(): a category's folds don't wait for each other, so each is a task. What a task gets are the bounded sample's features."""
+    ends = np.cumsum([0, *map(len, rows)])
+    flat = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
+
+    def fits(extra, y, which):
+        def run(batches):
+            for b in batches:
+                for k in b.column(0).to_pylist():
+                    x = Sparse([flat[lo:hi].astype(np.int64) for lo, hi in zip(ends, ends[1:], strict=False)], size)
+                    w = train(x, extra, y, which[k])
+                    at = np.flatnonzero(w).astype("<i4")
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([at.tobytes()], pa.binary()), pa.array([w[at].tobytes()], pa.binary())], names=["k", "at", "w"])
+
+        out = [np.zeros(size + extra.shape[1] + 1) for _ in which]
+        for r in spark.range(0, len(which), 1, len(which)).mapInArrow(run, "k long, at binary, w binary").collect():
+            out[r[0]][np.frombuffer(r[1], "<i4")] = np.frombuffer(r[2])
+        return out
+
+    return fits
+
+
 def apply_chain(rows: list[np.ndarray], models: list[np.ndarray], size: int) -> np.ndarray:
     x, extra = Sparse(rows, size), np.zeros((len(rows), 0))
     for w in models:
@@ -166,7 +189,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
     toxic = np.array([r[1] > 0 for r in rows], float)
     target = np.column_stack([kinds(slots, toxic, size), toxic])
     folds = np.array([zlib.crc32(str(r[0]).encode()) % FOLDS for r in rows], np.int64)
-    models = [(np.flatnonzero(w).astype(np.int32), w[np.flatnonzero(w)]) for w in fit_chain(slots, target, folds, size)]
+    models = [(np.flatnonzero(w).astype(np.int32), w[np.flatnonzero(w)]) for w in fit_chain(slots, target, folds, size, fits_as_tasks(docs.sparkSession, slots, size))]
 
     def run(batches):
         own, full = Words(), []
