@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, chunks, cut, id_out, parts, plain
 
 BUCKETS, ORDER, PERCENT, LEAST_WORDS, SEED = 10_000, 2, 25, 20, 7
-NODES, TEXT_BYTES, PIECE = 300_000, 1 << 20, 1 << 19
+NODES, TEXT_BYTES, PIECE = 60_000, 1 << 18, 1 << 18
 #: Words are letters and digits; A-Z becomes a-z, any other ASCII character parts words.
 LETTERS = bytes(b if chr(b).isalnum() and b < 128 or b > 127 else 32 for b in range(256)).lower()
 
@@ -47,16 +47,40 @@ class Trie:
         self.clear()
 
     def clear(self) -> None:
-        self.first, self.below = _First(self), _Below(self)
+        self.first: dict[bytes, int] = {}
+        self.below: dict[int, int] = {}  # by parent and word
         self.words: list[bytes | None] = []
         self.states: list[int] = []
+        self.spaced: list[int] = []  # the state after a space, of nodes that can have children
         self.counts, self.gains = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.told = 0
 
-    def add(self, state: int, word: bytes | None) -> int:
-        self.states.append(state)
-        self.words.append(word)
-        return len(self.states) - 1
+    def _add(self, states: list[int], words: list[bytes] | None, leaves: bool) -> range:
+        at = range(len(self.states), len(self.states) + len(states))
+        self.states += states
+        self.words += words or [None] * len(states)
+        self.spaced += [0] * len(states) if leaves else [zlib.crc32(b" ", x) for x in states]
+        return at
+
+    def _of_words(self, words: list[bytes]) -> np.ndarray:
+        """Nodes of single words; new ones are made together."""
+        got = list(map(self.first.get, words))
+        if None in got:
+            new = list(dict.fromkeys(w for w, n in zip(words, got, strict=True) if n is None))
+            self.first.update(zip(new, self._add(list(map(zlib.crc32, new)), new, self.order == 1), strict=True))
+            got = list(map(self.first.__getitem__, words))
+        return np.array(got, np.int64)
+
+    def _of_paths(self, keys: np.ndarray, leaves: bool) -> np.ndarray:
+        """Nodes of longer paths, by distinct keys of parent and word: a new one's CRC goes on from its parent's state."""
+        listed = keys.tolist()
+        got = list(map(self.below.get, listed))
+        if None in got:
+            new = [k for k, n in zip(listed, got, strict=True) if n is None]
+            words, spaced, crc = self.words, self.spaced, zlib.crc32
+            self.below.update(zip(new, self._add([crc(words[k & 0xFFFFFFFF], spaced[k >> 32]) for k in new], None, leaves), strict=True))
+            got = list(map(self.below.__getitem__, listed))
+        return np.array(got, np.int64)
 
     def _grown(self) -> None:
         """Arrays reach as far as the nodes, and new nodes have their gains."""
@@ -75,7 +99,7 @@ class Trie:
         owner = np.repeat(np.arange(len(pieces)), lens)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(lens) - lens, lens)
         own = at >= context[owner]
-        word = np.fromiter(map(self.first.__getitem__, chain.from_iterable(w for w, _ in pieces)), np.int64, len(owner))
+        word = self._of_words(list(chain.from_iterable(w for w, _ in pieces)))
         path = word
         for k in range(1, self.order + 1):
             if k > 1:
@@ -83,7 +107,7 @@ class Trie:
                 keys = (path[:-1] << 32) | word[1:]
                 fits = at[1:] >= k - 1
                 distinct, back = np.unique(keys[fits], return_inverse=True)
-                nodes = np.fromiter(map(self.below.__getitem__, distinct.tolist()), np.int64, len(distinct))
+                nodes = self._of_paths(distinct, k == self.order)
                 path = np.zeros_like(word)
                 path[1:][fits] = nodes[back]
             counted = own & (at >= k - 1)
@@ -114,29 +138,6 @@ class Trie:
         return n, total
 
 
-class _First(dict):
-    """Nodes of single words."""
-
-    def __init__(self, trie: Trie):
-        self.trie = trie
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = self.trie.add(zlib.crc32(word), word)
-        return n
-
-
-class _Below(dict):
-    """Nodes of longer paths, by parent and word: the CRC goes on from the parent's state."""
-
-    def __init__(self, trie: Trie):
-        self.trie = trie
-
-    def __missing__(self, key: int) -> int:
-        t = self.trie
-        self[key] = n = t.add(zlib.crc32(t.words[key & 0xFFFFFFFF], zlib.crc32(b" ", t.states[key >> 32])), None)
-        return n
-
-
 def pieces_of(text: bytes, order: int) -> Iterator[tuple[list[bytes], int]]:
     """The text's words, about PIECE bytes at a time; later pieces begin with the last words of what came before, as context."""
     t = text.translate(LETTERS)
@@ -154,7 +155,7 @@ def pieces_of(text: bytes, order: int) -> Iterator[tuple[list[bytes], int]]:
 
 
 def blocks(texts: list[bytes], order: int) -> Iterator[tuple[list[int], list[tuple[list[bytes], int]]]]:
-    """Pieces of texts, and the text of each, about TEXT_BYTES words at a time."""
+    """Pieces of texts, and the text of each, about a quarter of TEXT_BYTES words at a time."""
     owners, pieces, size = [], [], 0
     for i, t in enumerate(texts):
         for words, context in pieces_of(t, order):
