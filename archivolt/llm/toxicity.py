@@ -143,16 +143,20 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, folds: np.ndarray, siz
 
 
 def fits_as_tasks(spark: SparkSession, rows: list[np.ndarray], size: int):
-    """fits for fit_chain(): a category's folds don't wait for each other, so each is a task. What a task gets are the bounded sample's features."""
-    ends = np.cumsum([0, *map(len, rows)])
-    flat = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
+    """fits for fit_chain(), and what ends them: a category's folds don't wait for each other, so each is a task. What tasks get is broadcast once: the bounded
+    sample's features, without the slots of fewer than three rows, which train() leaves out wherever they are."""
+    lens = np.array([len(r) for r in rows], np.int64)
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    common = np.bincount(flat, minlength=size)[flat] >= 3
+    ends = np.concatenate([[0], np.cumsum(common)])[np.concatenate([[0], np.cumsum(lens)])]
+    shared = spark.sparkContext.broadcast((flat[common].astype(np.int32), ends))
 
     def fits(extra, y, which):
         def run(batches):
+            slots, ends = shared.value
             for b in batches:
                 for k in b.column(0).to_pylist():
-                    x = Sparse([flat[lo:hi].astype(np.int64) for lo, hi in zip(ends, ends[1:], strict=False)], size)
-                    w = train(x, extra, y, which[k])
+                    w = train(Sparse([slots[lo:hi].astype(np.int64) for lo, hi in zip(ends, ends[1:], strict=False)], size), extra, y, which[k])
                     at = np.flatnonzero(w).astype("<i4")
                     yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([at.tobytes()], pa.binary()), pa.array([w[at].tobytes()], pa.binary())], names=["k", "at", "w"])
 
@@ -161,7 +165,7 @@ def fits_as_tasks(spark: SparkSession, rows: list[np.ndarray], size: int):
             out[r[0]][np.frombuffer(r[1], "<i4")] = np.frombuffer(r[2])
         return out
 
-    return fits
+    return fits, shared.destroy
 
 
 def apply_chain(rows: list[np.ndarray], models: list[np.ndarray], size: int) -> np.ndarray:
@@ -189,7 +193,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
     toxic = np.array([r[1] > 0 for r in rows], float)
     target = np.column_stack([kinds(slots, toxic, size), toxic])
     folds = np.array([zlib.crc32(str(r[0]).encode()) % FOLDS for r in rows], np.int64)
-    models = [(np.flatnonzero(w).astype(np.int32), w[np.flatnonzero(w)]) for w in fit_chain(slots, target, folds, size, fits_as_tasks(docs.sparkSession, slots, size))]
+    fits, done = fits_as_tasks(docs.sparkSession, slots, size)
+    models = [(np.flatnonzero(w).astype(np.int32), w[np.flatnonzero(w)]) for w in fit_chain(slots, target, folds, size, fits)]
+    done()
 
     def run(batches):
         own, full = Words(), []
