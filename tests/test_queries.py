@@ -58,3 +58,5 @@ def test_without_optional_folders(tmp_path):
     shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "corpus_pipeline.py", "spark-warehouse"))
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path / "r", capture_output=True, text=True, check=True)
     assert out.stdout.split() == [str(len(library.QUERIES)), str(len(library.ORACLE))]
+    run = subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "tests/test_library.py", "-k", "normalize or pieces or versions"], cwd=tmp_path / "r", capture_output=True, text=True)
+    assert run.returncode == 0, run.stdout[-2000:]
