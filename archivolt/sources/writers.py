@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,15 +17,21 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+#: Folders of our own, by application; they go with the process.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; one of our own only where none is named and everything runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
+        context = spark.sparkContext
+        if context.master != "local" and not context.master.startswith(("local[", "local,")):
             raise RuntimeError("spark.checkpoint.dir names no folder that executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="archivolt-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = tempfile.mkdtemp(prefix="archivolt-")
+            atexit.register(shutil.rmtree, _OWN[context.applicationId], ignore_errors=True)
+        base = "file://" + _OWN[context.applicationId]
     return f"{base.rstrip('/')}/archivolt"
 
 
