@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.writers import shared_folder
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: What a null id counts as while it is worked on; it comes out as null again.
 NULL_ID = -(2**63)
@@ -33,17 +34,6 @@ def id_out(name: str = "doc_id"):
     return F.nullif(F.col(name), F.lit(NULL_ID)).alias(name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, as the session names it; one of our own only where none is named and everything runs in one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
-            raise RuntimeError("spark.checkpoint.dir names no folder that executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="archivolt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 _LOCK, _WRITING = threading.Lock(), {}
 
 
@@ -71,7 +61,7 @@ def cut(df: DataFrame, label: str, done: tuple[DataFrame, ...] = ()) -> DataFram
     loss costs no more than the stage that was running.  The shuffle files that led to it go, and so do
     the tables in done: results of cut() that nothing reads any more."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/archivolt/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     _cleaning(spark, 1)
     try:
         df.write.parquet(path)
