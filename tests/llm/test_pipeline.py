@@ -95,6 +95,26 @@ def test_stages_keep_texts_that_share_an_id(spark):
     assert {r.source for r in near} == {"a", "b", "c", "f", "g", "h"} and len(near) == 6
 
 
+def test_columns_of_any_name_and_no_rows(spark, tmp_path):
+    """Columns called like those that stages use come out as they went in; of rows that repeat id and text the smallest stays; an empty table goes through."""
+    text = [" ".join(f"w{j}x{i}" for i in range(60)) for j in range(3)]
+    names = ["key", "digest", "row", "_key", "_digest", "c0", "last", "rep", "least", "size", "kept", "chosen"]
+    rows = [(i % 5, text[i % 3], *[f"{n}{i}" for n in names]) for i in range(30)] + [(None, None, *[None] * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)).repartition(5)
+    for stage in (corpus_pipeline.exact_stage, corpus_pipeline.near_stage):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        got = {tuple(r) for r in out.collect()}
+        assert got <= set(rows) and got == {tuple(r) for r in stage(spark, docs.repartition(3), "").collect()}
+        assert len(got) == 4
+        for r in got:  # the first of its copies by the other columns
+            assert r == min((x for x in rows if x[:2] == r[:2]), key=str)
+    for n in ("documents", "benchmark"):
+        key = "doc_id" if n == "documents" else "item_id"
+        spark.createDataFrame([], f"{key} long, text string").write.parquet(f"{tmp_path}/{n}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_encoding_fails_where_ids_decode_to_another_text(spark, tmp_path, monkeypatch):
     import base64
 
