@@ -64,13 +64,12 @@ MERGE_SQL = f"""{WORK_SQL}, w2 AS (SELECT CASE source_id WHEN 'N' THEN 'nh-metad
                                    coalesce(own.works, 0) AS works, CASE WHEN b.id IS NULL THEN own.source_id END AS source_id FROM base_identity b FULL JOIN own ON own.kind = 'Artist' AND own.provider = b.provider AND own.norm = b.norm),
              named AS (SELECT id, norm, name AS alias, 'provider_tag' AS alias_type, 0 AS rank, source_id FROM p WHERE id IS NOT NULL AND NOT conflict UNION ALL SELECT id, pretty_norm, pretty, 'roman', 1, source_id FROM p WHERE id IS NOT NULL AND NOT conflict),
              aliases AS (SELECT entity_id, norm, alias, alias_type, s.id AS source_id FROM (SELECT id AS entity_id, norm, alias, alias_type, source_id AS key, row_number() OVER (PARTITION BY id, norm ORDER BY rank, source_id, alias) AS n FROM named) JOIN sources s ON s.source_key = key WHERE n = 1),
-             ws AS (SELECT a.source_id, ia.id AS artist_id, ig.id AS group_id, count(DISTINCT a.gallery_id) AS weight
-                    FROM ev a JOIN ev g ON a.source_id = g.source_id AND a.source_file = g.source_file AND a.gallery_id = g.gallery_id AND a.kind = 'Artist' AND g.kind = 'Group'
-                         JOIN files f ON f.source_id = a.source_id AND f.source_file = a.source_file
-                         JOIN (SELECT w2.source_id, gallery_id, max(w2.source_file) AS newest FROM w2 JOIN files f2 ON f2.source_id = w2.source_id AND f2.source_file = w2.source_file WHERE f2.state = 'imported' GROUP BY 1, 2) m
-                           ON m.source_id = a.source_id AND m.gallery_id = a.gallery_id AND m.newest = a.source_file
-                         JOIN p ia ON ia.source_id = a.source_id AND ia.kind = 'Artist' AND ia.norm = a.norm JOIN p ig ON ig.source_id = g.source_id AND ig.kind = 'Group' AND ig.norm = g.norm
-                    WHERE f.state = 'imported' AND a.source_id <> 'eh-tag-aggregate' AND NOT ia.conflict AND NOT ig.conflict AND ia.id IS NOT NULL AND ig.id IS NOT NULL AND ia.id <> ig.id GROUP BY 1, 2, 3),
+             newest AS (SELECT w2.source_id, gallery_id, max(w2.source_file) AS source_file FROM w2 JOIN files f2 ON f2.source_id = w2.source_id AND f2.source_file = w2.source_file WHERE f2.state = 'imported' GROUP BY 1, 2),
+             known AS MATERIALIZED (SELECT DISTINCT source_id, kind, norm, id FROM p WHERE id IS NOT NULL AND NOT conflict),
+             side AS MATERIALIZED (SELECT DISTINCT e.source_id, e.gallery_id, e.kind, k.id FROM ev e JOIN newest n ON n.source_id = e.source_id AND n.gallery_id = e.gallery_id AND n.source_file = e.source_file
+                                   JOIN known k ON k.source_id = e.source_id AND k.kind = e.kind AND k.norm = e.norm WHERE e.source_id <> 'eh-tag-aggregate'),
+             ws AS (SELECT a.source_id, a.id AS artist_id, g.id AS group_id, count(DISTINCT a.gallery_id) AS weight FROM side a JOIN side g ON a.source_id = g.source_id AND a.gallery_id = g.gallery_id
+                    WHERE a.kind = 'Artist' AND g.kind = 'Group' AND a.id <> g.id GROUP BY 1, 2, 3),
              relations AS (SELECT artist_id, group_id, max(weight) AS weight FROM ws GROUP BY 1, 2)"""
 
 
