@@ -603,6 +603,22 @@ def test_urls_against_plain(spark):
     assert {want[i][0] for i in range(500, 580)} == {"allow", "block"}
 
 
+@pytest.mark.parametrize("limit", [url_filter.BROADCAST, 0])
+def test_urls_learn_from_all_that_rules_decide(spark, monkeypatch, limit):
+    """More than 20,000 urls of a kind, and several of more than 8,000 characters: scores, threshold and verdicts are those of all of them, by either join."""
+    monkeypatch.setattr(url_filter, "BROADCAST", limit)
+    g = random.Random(5)
+    word = lambda of, n=5: "".join(g.choice(of) for _ in range(n))
+    rows = [(i, f"http://{word('aeinrst')}.org/fr/{i}") for i in range(26_000)] + [(30_000 + i, f"http://{word('xzqkwe')}.net/{word('xzqk018')}") for i in range(300)]
+    rows += [(40_000 + i, f"http://{word('aexz')}.net/{word('qzé日', 9_000)}") for i in range(6)]
+    rows += [(50_000 + i, f"http://{word(g.choice(['aeinrst', 'xzqkwe', 'aexz1']))}.info/{word('aexz日')}") for i in range(80)]
+    want = plain_urls(rows)
+    got = {x.page_id: x for x in url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string").repartition(3)).collect()}
+    assert {i: x.verdict for i, x in got.items()} == {i: v for i, (v, _) in want.items()}
+    assert max(abs(got[i].score - s) for i, (_, s) in want.items()) < 1e-8
+    assert {want[i][0] for i in range(50_000, 50_080)} == {"allow", "block"}
+
+
 def plain_toxicity(texts, labels, bits, folds=5, rounds=80):
     """The probabilities of the chain, document by document with dictionaries: two kinds by a mixture, then the label; earlier probabilities out of fold."""
     import zlib
