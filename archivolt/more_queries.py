@@ -326,7 +326,7 @@ def role_rows(spark, d) -> tuple[DataFrame, DataFrame]:
 def role_join(spark, d):
     """A society meets societies and a creator creators."""
     q, r = role_rows(spark, d)
-    return resolve.norm_join(q, r, "id", "folder", ["role", "norm"]).groupBy("id").agg(F.count(F.lit(1)).alias("folders"), F.min("folder").alias("first"))
+    return resolve.reached(q, r, "id", "folder", ["role", "norm"]).select("id", F.col("targets").alias("folders"), F.col("folder").alias("first"))
 
 
 @query(f"""WITH {ROLES_SQL}, s AS (SELECT DISTINCT id, folder FROM q JOIN r ON q.society = r.society), c AS (SELECT DISTINCT id, folder FROM q JOIN r ON q.creator = r.creator),

@@ -1,5 +1,5 @@
-"""From candidate names to entities and folders.  A cascade is one long table of (candidate, stage, target): the first stage that
-fires is a minimum, and how many targets it has is a distinct count."""
+"""From candidate names to entities and folders.  A cascade is one long table of (candidate, stage, targets): the first stage that
+fires is a minimum, and how many targets it has is counted by name, not pair by pair."""
 
 from __future__ import annotations
 
@@ -20,15 +20,59 @@ def norm_join(left: DataFrame, right: DataFrame, key: str, target: str, on: Sequ
     return left.select(key, *on).distinct().join(right.select(target, *on).distinct(), list(on)).select(key, target).distinct()
 
 
-def cascade(stages: Sequence[tuple[DataFrame, str]], key: str, target: str) -> DataFrame:
-    """Key, stage, status, target, targets.  stages: hits (key, target) in order, each with what several targets mean (Choice or
+def alike(rows: DataFrame, key: str, on: Sequence[str] = ("norm",)) -> tuple[DataFrame, DataFrame]:
+    """Keys of the same names as one: key, _set; and the names of each set (key, on), where the set's number stands for the key."""
+    return _alike(settled(rows.groupBy(key).agg(_names(on))), key)
+
+
+def _names(on: Sequence[str]) -> Column:
+    return F.array_sort(F.collect_set(F.struct(*on))).alias("_names")
+
+
+def _alike(own: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    sets = settled(own.select("_names").distinct().withColumn("_set", F.monotonically_increasing_id()))
+    return own.join(sets, "_names").select(key, "_set"), sets.select(F.col("_set").alias(key), F.explode("_names").alias("_r")).select(key, "_r.*")
+
+
+def counted(hits: DataFrame, held: DataFrame, key: str, target: str) -> DataFrame:
+    """key, targets, target (the least) of distinct hits (key, target) whose targets are sets. held: target, _set."""
+    sizes = held.groupBy("_set").agg(F.count(F.lit(1)).alias("_n"), F.min(target).alias("_t"))
+    return hits.withColumnRenamed(target, "_set").join(sizes, "_set").groupBy(key).agg(F.sum("_n").alias("targets"), F.min("_t").alias(target))
+
+
+def of_members(found: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """What was found for sets, for each of their keys. asked: key, _set."""
+    return asked.join(found.withColumnRenamed(key, "_set"), "_set").select(found.columns)
+
+
+def reached(names: DataFrame, index: DataFrame, key: str, target: str, on: Sequence[str] = ("norm",)) -> DataFrame:
+    """Key, targets, target: how many targets norm_join finds for a key, and the least of them, without making the pairs. Targets are counted by name. Only of
+    keys that find some by several names are the targets compared, keys of the same names being one, and so are targets of the same names."""
+    held = index.select(target, *on).distinct()
+    sizes = held.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.min(target).alias("_t"))
+    found = names.join(sizes, list(on)).groupBy(key).agg(F.max("_n").alias("targets"), F.min("_t").alias(target), _names(on))
+    found = settled(found.withColumn("_names", F.when(F.size("_names") > 1, F.col("_names"))))
+    one = found.filter("_names IS NULL").drop("_names")
+    several = found.filter("_names IS NOT NULL").select(key, "_names")
+    if several.isEmpty():
+        return one
+    (asked, sets), (owners, classes) = _alike(several, key), alike(held, target, on)
+    return one.unionByName(of_members(counted(norm_join(sets, classes, key, target, on), owners, key, target), asked, key))
+
+
+def first_stage(stages: Sequence[tuple[DataFrame, str]], key: str, target: str) -> DataFrame:
+    """Key, stage, status, target, targets.  stages: key, targets, target (the least of them), in order, each with what several targets mean (Choice or
     Ambiguous)."""
-    long = reduce(DataFrame.unionByName, [h.select(key, F.lit(i).alias("stage"), target, F.lit(m).alias("_many")) for i, (h, m) in enumerate(stages, 1)])
-    first = long.groupBy(key).agg(F.min("stage").alias("stage"))
-    hit = long.join(first, [key, "stage"]).groupBy(key, "stage").agg(F.countDistinct(target).alias("targets"), F.min(target).alias("_t"), F.first("_many").alias("_many"))
+    long = reduce(DataFrame.unionByName, [c.select(key, F.struct(F.lit(i).alias("stage"), F.col("targets"), F.col(target).alias("_t"), F.lit(m).alias("_many")).alias("_s")) for i, (c, m) in enumerate(stages, 1)])
+    hit = long.groupBy(key).agg(F.min("_s").alias("_s")).select(key, "_s.*")
     return hit.select(key, "stage", F.when(F.col("targets") == 1, FOUND).otherwise(F.col("_many")).alias("status"), F.when(F.col("targets") == 1, F.col("_t")).alias(target), "targets")
 
 
+def cascade(stages: Sequence[tuple[DataFrame, str]], key: str, target: str) -> DataFrame:
+    """first_stage() of hits (key, target)."""
+    return first_stage([(h.groupBy(key).agg(F.countDistinct(target).alias("targets"), F.min(target).alias(target)), m) for h, m in stages], key, target)
+
+
 #: The roles in which a folder's index holds a norm.
 DIRECT, SOCIETY, CREATOR, SEGMENT, GENERIC, CAUTIOUS = range(6)
 
@@ -39,10 +83,10 @@ def role_cascade(names: DataFrame, index: DataFrame, entities: DataFrame, identi
     folder being a match and several a choice. An entity that isn't the only one of its name ends the search as ambiguous; one without folders doesn't.
     names: key, norm; index: target, role, norm; entities: key, status, entity_id; identity_names: entity_id, norm."""
     of = lambda *roles: index.filter(F.col("role").isin(*roles)).select(target, "norm")
-    found = entities.filter(F.col("status") == FOUND).join(identity_names, "entity_id").select(key, "norm")
-    stages = [norm_join(names, of(r), key, target) for r in (DIRECT, SOCIETY, CREATOR, SEGMENT, GENERIC)]
-    stages += [norm_join(found, of(DIRECT, SOCIETY, CREATOR, SEGMENT, GENERIC), key, target), norm_join(names, of(CAUTIOUS), key, target)]
-    hits = cascade([(s, "Choice") for s in stages], key, target)
+    stages = [reached(names, of(r), key, target) for r in (DIRECT, SOCIETY, CREATOR, SEGMENT, GENERIC)]
+    of_entity = norm_join(identity_names, of(DIRECT, SOCIETY, CREATOR, SEGMENT, GENERIC), "entity_id", target)
+    stages += [reached(entities.filter(F.col("status") == FOUND), of_entity, key, target, ["entity_id"]), reached(names, of(CAUTIOUS), key, target)]
+    hits = first_stage([(s, "Choice") for s in stages], key, target)
     unsure = entities.filter(F.col("status") == AMBIGUOUS).select(key, F.lit(True).alias("_unsure")).distinct()
     r = hits.join(unsure, key, "full")
     late = F.coalesce("_unsure", F.lit(False)) & (F.coalesce("stage", F.lit(len(stages))) > GENERIC + 1)
