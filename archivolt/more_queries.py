@@ -340,9 +340,12 @@ def resolve_structured_stages(spark, d):
     q, r = role_rows(spark, d)
     side = lambda rows, role: rows.filter(F.col("role") == role).drop("role")
     flat = lambda rows, key: side(rows, 1).withColumnRenamed("norm", "s").join(side(rows, 2).withColumnRenamed("norm", "c"), key).select(key, F.concat_ws(" ", "s", "c").alias("norm"))
-    one = resolve.norm_join(flat(q, "id"), flat(r.filter("folder % 5 = 0"), "folder"), "id", "folder").withColumn("folder", F.col("folder") + 1_000_000)
-    hits = [resolve.norm_join(side(q, k), side(r, k), "id", "folder") for k in (1, 2)]
-    return resolve.cascade([(one, "Ambiguous"), (resolve.structured_hits(*hits, "id", "folder"), "Choice")], "id", "folder")
+    asked, sets = resolve.alike(q, "id", ["role", "norm"])
+    owners, held = resolve.alike(r, "folder", ["role", "norm"])
+    one = resolve.reached(flat(sets, "id"), flat(r.filter("folder % 5 = 0"), "folder"), "id", "folder").withColumn("folder", F.col("folder") + 1_000_000)
+    hits = [resolve.norm_join(side(sets, k), side(held, k), "id", "folder") for k in (1, 2)]
+    two = resolve.counted(resolve.structured_hits(*hits, "id", "folder"), owners, "id", "folder")
+    return resolve.of_members(resolve.first_stage([(one, "Ambiguous"), (two, "Choice")], "id", "folder"), asked, "id")
 
 
 @query("""WITH k AS (SELECT c_custkey AS id, c_custkey % 90 AS entity FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT s_suppkey % 90 AS entity, lower(s_name) AS norm FROM supplier),
