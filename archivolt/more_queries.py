@@ -865,12 +865,16 @@ def rule_table_hits(spark, d):
 # --- streams
 
 
-def told_in_turn(spark, name: str, parts: list[DataFrame]) -> tuple[str, T.StructType]:
-    """A folder into which parts are written one after another, as a stream's source sees them."""
-    path = folder(spark, name)
-    for p in parts:
-        p.coalesce(1).write.mode("append").parquet(path)
-    return path, parts[0].schema
+#: Files that a stream takes in one batch at most.
+PER_BATCH = 1_000
+
+
+def told(stream, out: str, checkpoint: str, parts: list[list[tuple[DataFrame, str]]]) -> None:
+    """Parts are written one after another into the folders that a stream reads; after each the stream goes on from its checkpoint to the end of its input. stream: makes it anew."""
+    for part in parts:
+        for rows, path in part:
+            rows.write.mode("append").parquet(path)
+        to_end(stream(), out, checkpoint)
 
 
 def to_end(stream: DataFrame, out: str, checkpoint: str) -> None:
@@ -889,9 +893,9 @@ def scans(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     return at(old, 1), at(new, 2), tick
 
 
-def scan_counters(spark, told: str) -> DataFrame:
+def scan_counters(spark, out: str) -> DataFrame:
     first = F.unix_millis(F.lit("2026-01-01 01:00:00").cast("timestamp"))
-    rows = spark.read.parquet(told).withColumn("scan", F.floor((F.col("ms") - first) / 3_600_000).cast("int"))
+    rows = spark.read.parquet(out).withColumn("scan", F.floor((F.col("ms") - first) / 3_600_000).cast("int"))
     return cdc.relocated(rows, "scan").filter("scan < 2").groupBy("scan", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -900,13 +904,9 @@ def stream_scans(spark, d):
     """Snapshots as a stream, what is known in the state store, what wasn't seen again by timers; the second scan comes after a restart from the checkpoint."""
     own = stateful.stateful_session(spark)
     old, new, tick = scans(spark, d)
-    path, schema = told_in_turn(spark, "scans", [old])
-    out, checkpoint = folder(spark, "scan-changes"), folder(spark, "scan-state")
-    stream = lambda: stateful.changes_of_paths(changes.snapshots(own, path, schema), "10 minutes", 5_400_000)
-    to_end(stream(), out, checkpoint)
-    for part in (new, tick, tick):
-        part.coalesce(1).write.mode("append").parquet(path)
-    to_end(stream(), out, checkpoint)
+    path, out = folder(spark, "scans"), folder(spark, "scan-changes")
+    stream = lambda: stateful.changes_of_paths(changes.snapshots(own, path, old.schema, PER_BATCH), "10 minutes", 5_400_000)
+    told(stream, out, folder(spark, "scan-state"), [[(old, path)], [(new, path), (tick, path)]])
     return scan_counters(spark, out)
 
 
