@@ -917,9 +917,9 @@ def stream_single_changes(spark, d):
     old, new, tick = scans(spark, d)
     keys = ["key", "signature"]
     lost = old.join(new, "key", "left_anti").withColumn("gone", F.lit(True)).withColumn("at", F.lit("2026-01-01 02:00:00").cast("timestamp"))
-    path, schema = told_in_turn(spark, "single", [old, lost.select(old.columns), new.join(old, keys, "left_anti").select(old.columns), tick])
-    out = folder(spark, "single-changes")
-    to_end(stateful.changes_of_paths(changes.snapshots(own, path, schema), "10 minutes"), out, folder(spark, "single-state"))
+    path, out = folder(spark, "single"), folder(spark, "single-changes")
+    stream = lambda: stateful.changes_of_paths(changes.snapshots(own, path, old.schema, PER_BATCH), "10 minutes")
+    told(stream, out, folder(spark, "single-state"), [[(old, path)], [(lost.select(old.columns), path), (new.join(old, keys, "left_anti").select(old.columns), path), (tick, path)]])
     return scan_counters(spark, out)
 
 
