@@ -928,19 +928,14 @@ def stream_own_changes(spark, d):
     """Announcements on a stream, each written after the events that it concerns; events wait for them, and they are forgotten by event time."""
     own = stateful.stateful_session(spark)
     e = t(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("path"), F.date_trunc("millisecond", "ts").alias("at"))
-    ends = e.agg(F.min("event_id"), F.max("event_id"), F.min("at"), F.max("at")).first()
-    span, a, b = ends[3] - ends[2], folder(spark, "own-events"), folder(spark, "own-said")
+    first, last = e.agg(F.min("at"), F.max("at")).first()
+    span, a, b, out = last - first, folder(spark, "own-events"), folder(spark, "own-said"), folder(spark, "others-changes")
     late = f"{int(span.total_seconds() * 0.6) + 7200} seconds"
-    tick = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast("string").alias("path"), F.lit(ends[3] + 4 * span).alias("at"))
-    halves = F.col("event_id") <= (ends[0] + ends[1]) // 2
-    for part in (halves, ~halves):
-        e.filter(part).coalesce(1).write.mode("append").parquet(a)
-        e.filter(part & (F.col("event_id") % 4 == 0)).select("path", "at").coalesce(1).write.mode("append").parquet(b)
-    for _ in range(2):
-        tick.write.mode("append").parquet(a)
-    out = folder(spark, "others-changes")
-    events_, said = (changes.snapshots(own, x, spark.read.parquet(x).schema) for x in (a, b))
-    to_end(stateful.others_changes_stream(events_, said, 3600, late), out, folder(spark, "own-state"))
+    tick = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(None).cast("string").alias("path"), F.lit(last + 4 * span).alias("at"))
+    early = F.col("at") <= F.lit(first + span / 2)  # by time: no event of a half is later than `late`, in whatever order the half is read
+    said = e.filter("event_id % 4 = 0").select("path", "at")
+    stream = lambda: stateful.others_changes_stream(*(changes.snapshots(own, path, rows.schema, PER_BATCH) for path, rows in ((a, e), (b, said))), 3600, late)
+    told(stream, out, folder(spark, "own-state"), [[(e.filter(early), a), (said.filter(early), b)], [(e.filter(~early), a), (said.filter(~early), b), (tick, a)]])
     return spark.read.schema("event_id long, path string, at timestamp").parquet(out).select("event_id")
 
 
