@@ -191,8 +191,13 @@ def hits_by_table(rows: DataFrame, key: str, c: str, rules: DataFrame) -> DataFr
 
 
 def first_hit_by_table(rows: DataFrame, key: str, c: str, rules: DataFrame) -> DataFrame:
-    """P1 with rules as a table: key, rule: the first in order of those that hit."""
-    return hits_by_table(rows, key, c, rules).groupBy(key).agg(F.min_by("name", "ord").alias("rule"))
+    """P1 with rules as a table: key, rule: the first in order of those that hit. Equal texts are judged once, and of equal rules only the first is tried."""
+    given = rows.select(key, text_of(c).alias("_given"))
+    texts = given.select("_given").distinct().withColumn("_of", F.col("_given"))
+    pattern = F.when(F.col("kind") == REGEX, F.col("pattern")).otherwise(F.lower("pattern")).alias("pattern")
+    once = rules.groupBy("kind", pattern).agg(F.min(F.struct("ord", "name")).alias("_r")).select("_r.ord", "_r.name", "kind", "pattern")
+    first = hits_by_table(texts, "_of", "_given", once).groupBy("_of").agg(F.min(F.struct("ord", "name")).alias("_h"))
+    return given.join(first, F.col("_given") == F.col("_of")).groupBy(key).agg(F.min("_h").alias("_h")).select(key, F.col("_h.name").alias("rule"))
 
 
 def folder_hit_by_table(paths: DataFrame, path: str, root: str, rules: DataFrame) -> DataFrame:
