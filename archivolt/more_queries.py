@@ -360,10 +360,10 @@ def resolve_entity_then_cautious(spark, d):
     known = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 90).alias("entity"))
     names = s.select((F.col("s_suppkey") % 90).alias("entity"), F.lower("s_name").alias("norm"))
     folders = s.filter("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("folder"), F.lower("s_name").alias("norm"))
-    one = resolve.norm_join(known.join(names, "entity").select("id", "norm"), folders, "id", "folder")
+    one = resolve.reached(known, resolve.norm_join(names, folders, "entity", "folder"), "id", "folder", ["entity"])
     cautious = lambda name, word, left, right: text.normalize_cautious(F.concat(F.lit(left), F.replace(F.lower(name), F.lit(word), F.lit("x・")), F.lit(right)), compat=False)
-    two = resolve.norm_join(c.select(F.col("c_custkey").alias("id"), cautious("c_name", "customer", "「", "」").alias("norm")), s.select((F.col("s_suppkey") + 1000).alias("folder"), cautious("s_name", "supplier", "", ".").alias("norm")), "id", "folder")
-    return resolve.cascade([(one, "Choice"), (two, "Choice")], "id", "folder")
+    two = resolve.reached(c.select(F.col("c_custkey").alias("id"), cautious("c_name", "customer", "「", "」").alias("norm")), s.select((F.col("s_suppkey") + 1000).alias("folder"), cautious("s_name", "supplier", "", ".").alias("norm")), "id", "folder")
+    return resolve.first_stage([(one, "Choice"), (two, "Choice")], "id", "folder")
 
 
 @query("""WITH g AS (SELECT p_partkey AS id, replace(p_brand, '#', '') AS name FROM part), n AS (SELECT DISTINCT name FROM g),
