@@ -317,10 +317,10 @@ def resolve_cascade(spark, d):
     c = candidate_names(spark, d)
     s = t(spark, d, "supplier").select("s_suppkey", F.regexp_replace("s_name", "^Supplier#0*", "").alias("norm"), F.col("s_nationkey").cast("string").alias("nation"))
     folders = t(spark, d, "customer").filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("target"), text.normalize("c_name", compat=False).alias("norm"))
-    one = resolve.norm_join(c.select("c_custkey", F.regexp_replace("whole", r"^\[|\]$", "").alias("norm")), folders, "c_custkey", "target")
-    two = resolve.norm_join(c.select("c_custkey", F.col("digits").alias("norm")), s.select((F.col("s_suppkey") + 1_000_000).alias("target"), "norm"), "c_custkey", "target")
-    three = resolve.norm_join(c.select("c_custkey", F.col("c_nationkey").cast("string").alias("norm")), s.filter("s_suppkey % 7 = 0").select((F.col("s_suppkey") + 2_000_000).alias("target"), F.col("nation").alias("norm")), "c_custkey", "target")
-    return resolve.cascade([(one, "Choice"), (two, "Choice"), (three, "Ambiguous")], "c_custkey", "target")
+    one = resolve.reached(c.select("c_custkey", F.regexp_replace("whole", r"^\[|\]$", "").alias("norm")), folders, "c_custkey", "target")
+    two = resolve.reached(c.select("c_custkey", F.col("digits").alias("norm")), s.select((F.col("s_suppkey") + 1_000_000).alias("target"), "norm"), "c_custkey", "target")
+    three = resolve.reached(c.select("c_custkey", F.col("c_nationkey").cast("string").alias("norm")), s.filter("s_suppkey % 7 = 0").select((F.col("s_suppkey") + 2_000_000).alias("target"), F.col("nation").alias("norm")), "c_custkey", "target")
+    return resolve.first_stage([(one, "Choice"), (two, "Choice"), (three, "Ambiguous")], "c_custkey", "target")
 
 
 @query("""WITH q AS (SELECT o_orderkey AS id, c_nationkey AS society, o_custkey % 40 AS creator FROM orders JOIN customer ON c_custkey = o_custkey),
